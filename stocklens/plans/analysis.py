@@ -30,8 +30,15 @@ class Analysis:
     thresholds: rules.Thresholds = field(default_factory=rules.Thresholds)
 
     @staticmethod
-    def from_tables(spark: SparkSession, sf_dir: str) -> "Analysis":
-        """Roles derived from the driver tables in ``sf_dir``."""
+    def from_tables(spark: SparkSession, sf_dir: str, stage: bool = True) -> "Analysis":
+        """Roles derived from the driver tables in ``sf_dir``.
+
+        With ``stage`` (default) the derived role tables are written once per
+        source folder and read back (see ``fixture.staged_roles``); without
+        it every query plans the derivation from the raw tables.
+        """
+        if stage:
+            return Analysis(fixture.staged_roles(spark, sf_dir))
         return Analysis(fixture.fixture_roles(spark, sf_dir))
 
     # -- comparison and populations ------------------------------------------
@@ -45,6 +52,17 @@ class Analysis:
         out.__dict__["comparison"] = cmp
         return out
 
+    def materialized(self) -> "Analysis":
+        """The comparison written once to the shared folder (S7, the CTAS).
+
+        Later populations, counts and histograms scan its parquet files (one
+        or two columns each, with pushed filters) instead of re-running the
+        four joins, and a lost executor only costs a re-read.
+        """
+        from stocklens.session import materialize
+
+        return self.with_comparison(materialize(self.comparison, "comparison"))
+
     @property
     def final(self) -> DataFrame:
         """Population classified by the rules."""
