@@ -82,6 +82,10 @@ class Analysis:
     def histogram(self, name: str) -> DataFrame:
         return histogram.spec_histogram(populations.existing(self.comparison), histogram.SPECS[name])
 
+    def histograms(self) -> DataFrame:
+        """All six histograms of the analysis in two passes over F2."""
+        return histogram.histograms(populations.existing(self.comparison), histogram.SPECS)
+
     def segment_snapshot_count(self) -> DataFrame:
         return rollups.count_rows(
             populations.segment_snapshot(self.roles, self.snapshot, self.segment)

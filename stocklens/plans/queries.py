@@ -121,6 +121,7 @@ REGISTRY["summary"] = lambda a: a.summary()
 for _key in ("hist_final_su", "hist_final_su_cycle", "hist_reco_su", "hist_final_days",
              "hist_reco_days", "hist_cov"):
     REGISTRY[_key] = (lambda k: lambda a: a.histogram(k))(_key)
+REGISTRY["histograms_all"] = lambda a: a.histograms()
 
 # --- scenarios, limits (J8, P16, L1, L2) -------------------------------------
 REGISTRY["scenario_pair"] = lambda a: a.scenario_pair()

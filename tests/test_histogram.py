@@ -67,3 +67,17 @@ def test_matches_numpy_on_edge_values(spark):
     values = edges.tolist() + [0.1 * i for i in range(-50, 50)]
     counts, _ = np.histogram(np.array(values), bins=bins)
     assert [r["n"] for r in _hist(spark, values, bins)] == counts.tolist()
+
+
+def test_multi_histogram_equals_single(spark):
+    from stocklens.operators.histogram import HistogramSpec, histograms
+
+    rows = [(float(i % 37) - 18.0, (i * 7 % 11) / 10.0 if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    specs = {"ha": HistogramSpec("a", -10.0, 10.0, 7), "hb": HistogramSpec("b", 0.1, 0.8, 4),
+             "hc": HistogramSpec("a", 100.0, 200.0, 3)}
+    multi = histograms(df, specs)
+    for name, s in specs.items():
+        one = histogram(df, s.column, s.lower, s.upper, s.bins)
+        got = sorted(tuple(r)[1:] for r in multi.filter(multi.name == name).collect())
+        assert got == sorted(tuple(r) for r in one.collect()), name
