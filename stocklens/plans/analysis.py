@@ -102,6 +102,32 @@ class Analysis:
             F.sum("final_usd").alias("total_usd"),
         )
 
+    # -- SQL views (S8) ----------------------------------------------------------
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temp views for SQL users, one per table/view of the analysis.
+
+        A view over a DataFrame is only a name for its plan: nothing runs
+        until a query reads it, and each query is optimised as a whole
+        (filters still reach the scans).
+        """
+        views = {
+            "comparison": self.comparison,
+            "existing_in_both": populations.existing(self.comparison),
+            "final_units": populations.final_units(self.comparison),
+            "final_su": self.final,
+            "reco": populations.reco(self.comparison),
+            "nonzero_candidate": populations.nonzero_candidate(self.comparison),
+            "flagged": self.flagged,
+            "classified": self.classified,
+            "class_rollup": rollups.class_rollup(self.classified),
+            "summary": self.summary(),
+        }
+        names = []
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
     # -- scenarios -------------------------------------------------------------
     def scenario_catalog(self) -> dict[str, DataFrame]:
         out = {"first": self.roles.candidate}

@@ -1,7 +1,6 @@
 """Histogram bins (H2, H3, E18-E20), checked against numpy.histogram."""
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -116,3 +116,14 @@ def test_timestamp_snapshot_matches_whole_day(spark):
     )
     pred = compare.snapshot_predicate(df, "ts", dt.date(2001, 12, 31))
     assert df.filter(pred).count() == 1
+
+
+def test_sql_views(spark, a):
+    names = a.register_views("t_")
+    assert "t_summary" in names
+    n = spark.sql("SELECT COUNT(*) AS n FROM t_final_su").first()["n"]
+    assert n == a.final.count()
+    by_sql = spark.sql(
+        "SELECT label, COUNT(*) AS n_rows FROM t_classified GROUP BY label").collect()
+    by_df = rollups.class_rollup(a.classified).select("label", "n_rows").collect()
+    assert sorted(by_sql) == sorted(by_df)

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import math
-import os
 from collections import Counter
 
 import duckdb
