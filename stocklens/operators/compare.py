@@ -6,12 +6,14 @@ kept, and duplicate keys on a right side fan out (no de-duplication).
 Physical shape. The three joins on (product, location) -- baseline, CoV,
 service level -- share one hash partitioning, so the candidate is shuffled
 once and the three sort-merge joins run in the same stage. The factor join is
-keyed on product only; it is placed last so it does not break that shared
-partitioning, and AQE turns it into a broadcast join when the factor table is
-measured under ``spark.sql.autoBroadcastJoinThreshold`` (otherwise it stays a
-sort-merge join; a hot product is then split by AQE's skew-join handling,
-which applies to the preserved side of a left join). No side is broadcast by
-hint: none of these tables has a size bound.
+keyed on product only; it is applied to the baseline snapshot before that
+(see ``baseline_with_factor``), so its different key costs one shuffle of
+baseline rows instead of a re-shuffle of the wide joined rows. AQE turns it
+into a broadcast join when the factor table is measured under
+``spark.sql.autoBroadcastJoinThreshold``; otherwise it stays a sort-merge join
+and a hot product is split by AQE's skew-join handling, which applies to the
+preserved (baseline) side of a left join. No side is broadcast by hint: none
+of these tables has a size bound.
 
 The snapshot predicate is applied to the baseline *before* the join so that
 it is pushed into the baseline scan and every candidate row is still kept.
@@ -156,15 +158,28 @@ def baseline_snapshot(roles: Roles, snapshot: dt.date) -> DataFrame:
     return i.filter(snapshot_predicate(i, "i_snapshot", snapshot))
 
 
+def baseline_with_factor(i: DataFrame, c: DataFrame) -> DataFrame:
+    """J2 applied to the baseline side: snapshot rows LEFT JOIN factor.
+
+    ``k LEFT JOIN i LEFT JOIN c ON i.product = c.product`` equals
+    ``k LEFT JOIN (i LEFT JOIN c ON i.product = c.product)``: the factor
+    predicate only reads baseline columns and is never true for a missing
+    baseline row, so unmatched candidates get NULL factor columns either way,
+    and duplicate factor rows fan out the same matches. Joining the factor
+    here means the only re-shuffle caused by its different key (product)
+    moves narrow baseline rows, never the wide joined comparison rows.
+    """
+    return i.join(c, F.col("i_product") == F.col("c_product"), "left")
+
+
 def joined(roles: Roles, snapshot: dt.date) -> DataFrame:
     """J1-J4 on bound columns, before the measures are derived."""
     k, i, c, cv, sl = _bound(roles)
-    i = i.filter(snapshot_predicate(i, "i_snapshot", snapshot))
+    i = baseline_with_factor(i.filter(snapshot_predicate(i, "i_snapshot", snapshot)), c)
     return (
         k.join(i, _same_site("k", "i"), "left")
         .join(cv, _same_site("k", "cv"), "left")
         .join(sl, _same_site("k", "sl"), "left")
-        .join(c, F.col("i_product") == F.col("c_product"), "left")
     )
 
 
@@ -204,12 +219,11 @@ def comparison_concat_key(roles: Roles, snapshot: dt.date) -> DataFrame:
         _date_key(F.col("i_snapshot")),
     )
     k = k.withColumn("_key", k_key)
-    i = i.withColumn("_ikey", i_key)
+    i = baseline_with_factor(i.withColumn("_ikey", i_key), c)
     j = (
         k.join(i, F.col("_key") == F.col("_ikey"), "left")
         .join(cv, _same_site("k", "cv"), "left")
         .join(sl, _same_site("k", "sl"), "left")
-        .join(c, F.col("i_product") == F.col("c_product"), "left")
     )
     return _project(j)
 
