@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from stocklens import schema as S
 from stocklens.functions.arith import pct_diff, safe_div, su_to_unit, unit_to_su
+from stocklens.functions.memo import per_application
 from stocklens.sources.roles import Roles
 
 # Output columns of ``comparison`` in order: (name, source expression).
@@ -78,6 +79,7 @@ MEASURES = [
 COLUMNS = [name for name, _ in _PASS_THROUGH] + MEASURES
 
 
+@per_application
 def measures() -> list[Column]:
     """Derived measures P2-P7 over the bound, joined columns."""
     cand_days = F.col("k_ss_days")
@@ -117,8 +119,13 @@ def measures() -> list[Column]:
     ]
 
 
+@per_application
+def _projection() -> list[Column]:
+    return [F.col(src).alias(name) for name, src in _PASS_THROUGH] + measures()
+
+
 def _project(joined: DataFrame) -> DataFrame:
-    return joined.select(*[F.col(src).alias(name) for name, src in _PASS_THROUGH], *measures())
+    return joined.select(*_projection())
 
 
 def snapshot_predicate(df: DataFrame, column: str, snapshot: dt.date) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.arith import safe_div
+from stocklens.functions.memo import per_application
 from stocklens.schema import NO, NO_CFR_INFO, NULL_STRING, YES
 
 
@@ -159,6 +160,12 @@ def code_present(tr: Column) -> Column:
     return tr != F.lit(NULL_STRING)
 
 
+@per_application
+def ladders(t: Thresholds) -> tuple[Column, Column]:
+    """(label ladder, code ladder) as code-valued expressions."""
+    return fold(rule_list(label_present, t)), fold(rule_list(code_present, t))
+
+
 def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Add ``label`` (P13) and ``code`` (P14) to flagged rows.
 
@@ -166,9 +173,6 @@ def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     projection, so each ladder appears once in the generated code.
     """
     cols = df.columns
-    coded = df.select(
-        "*",
-        fold(rule_list(label_present, t)).alias("_label_code"),
-        fold(rule_list(code_present, t)).alias("code"),
-    )
+    label_ladder, code_ladder = ladders(t)
+    coded = df.select("*", label_ladder.alias("_label_code"), code_ladder.alias("code"))
     return coded.select(*cols, label_of(F.col("_label_code")).alias("label"), "code")
