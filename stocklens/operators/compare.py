@@ -139,8 +139,11 @@ def snapshot_predicate(df: DataFrame, column: str, snapshot: dt.date) -> Column:
     c = F.col(column)
     if isinstance(dtype, T.DateType):
         return c == F.lit(snapshot)
-    start = dt.datetime.combine(snapshot, dt.time())
-    return (c >= F.lit(start)) & (c < F.lit(start + dt.timedelta(days=1)))
+    # Day bounds as text cast to the column's own type: midnight in the
+    # session time zone for TIMESTAMP, wall-clock midnight for TIMESTAMP_NTZ.
+    start = F.lit(f"{snapshot.isoformat()} 00:00:00").cast(dtype)
+    end = F.lit(f"{(snapshot + dt.timedelta(days=1)).isoformat()} 00:00:00").cast(dtype)
+    return (c >= start) & (c < end)
 
 
 def _bound(roles: Roles):

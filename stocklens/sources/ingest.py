@@ -78,14 +78,16 @@ def scan_role(
     When ``schema`` is given, the normalised columns are cast to it by name
     (missing columns raise), so every role arrives with its declared types.
     """
-    df = spark.read.format(fmt).options(**options).load(path)
-    df = nan_to_null(normalize_headers(df))
-    if schema is None:
-        return df
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+    df = normalize_headers(spark.read.format(fmt).options(**options).load(path))
+    if schema is not None:
+        missing = [f.name for f in schema.fields if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"{path}: missing columns {missing}")
+        df = df.select(
+            *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+        )
+    # after the cast: a text cell "NaN" only becomes a NaN double here
+    return nan_to_null(df)
 
 
 def write_table(df: DataFrame, name: str, allow_schema_change: bool = True) -> None:

@@ -105,3 +105,13 @@ def test_roles_round_trip(spark, tmp_path):
     back = Roles.read(spark, str(tmp_path / "roles"))
     for name, df in r.items():
         assert sorted(getattr(back, name).collect()) == sorted(df.collect()), name
+
+
+def test_scan_role_nan_text_becomes_null_after_cast(spark, tmp_path):
+    path = str(tmp_path / "fac.csv")
+    with open(path, "w") as fh:
+        fh.write("Material,converter factor\nP1,NaN\nP2,2.5\n")
+    out = ingest.scan_role(spark, path, S.factor_schema(), fmt="csv", header="true")
+    assert out.schema == S.factor_schema()  # "converter factor" -> converter_factor
+    got = {r["Material"]: r["converter_factor"] for r in out.collect()}
+    assert got == {"P1": None, "P2": 2.5}

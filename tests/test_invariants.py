@@ -127,3 +127,14 @@ def test_sql_views(spark, a):
         "SELECT label, COUNT(*) AS n_rows FROM t_classified GROUP BY label").collect()
     by_df = rollups.class_rollup(a.classified).select("label", "n_rows").collect()
     assert sorted(by_sql) == sorted(by_df)
+
+
+def test_timestamp_ntz_snapshot_matches_whole_day(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame(
+        [(dt.datetime(2001, 12, 31, 23, 59),), (dt.datetime(2001, 12, 30, 23, 59),)],
+        "ts timestamp_ntz",
+    )
+    pred = compare.snapshot_predicate(df, "ts", dt.date(2001, 12, 31))
+    assert df.filter(pred).count() == 1
