@@ -152,16 +152,24 @@ def service_schema(cols: ServiceCols = ServiceCols()) -> T.StructType:
 def _bind(df: DataFrame, cols, prefix: str, rename: dict[str, str] | None = None) -> DataFrame:
     """Project a role table onto canonical names ``prefix + attribute``.
 
-    Only a ``Project`` of column references: Catalyst prunes what later
-    operators do not read, so binding costs nothing at the scan.
+    A ``Project`` of column references (keys cast to text, a no-op for text
+    keys): Catalyst prunes what later operators do not read, so binding costs
+    nothing at the scan.
     """
     rename = rename or {}
-    return df.select(
-        *[
-            F.col(f"`{getattr(cols, f.name)}`").alias(rename.get(f.name, prefix + f.name))
-            for f in fields(cols)
-        ]
-    )
+    out = []
+    for f in fields(cols):
+        c = F.col(f"`{getattr(cols, f.name)}`")
+        if f.name in KEY_ATTRS:
+            # keys are text on every side: an export with numeric ids must
+            # not make the join cast the other side's text ids to numbers
+            c = c.cast("string")
+        out.append(c.alias(rename.get(f.name, prefix + f.name)))
+    return df.select(*out)
+
+
+# Attributes that are join keys in every role.
+KEY_ATTRS = ("product", "location")
 
 
 def bind_candidate(df: DataFrame, cols: CandidateCols = CandidateCols()) -> DataFrame:

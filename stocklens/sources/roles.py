@@ -43,9 +43,16 @@ class Roles:
 
         This is the lineage cut: later analyses read files, so a lost executor
         costs a re-read, not a re-run of the derivation.
+
+        The baseline is partitioned by its snapshot date: a history of many
+        snapshots then answers the snapshot predicate by partition pruning
+        (only the chosen day's folder is listed and read).
         """
         for name, df in self.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            writer = df.write.mode("overwrite")
+            if name == "baseline":
+                writer = writer.partitionBy(S.BaselineCols().snapshot)
+            writer.parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str, with_candidate2: bool = True) -> "Roles":
@@ -54,7 +61,8 @@ class Roles:
         for name, schema_fn in ROLE_SCHEMAS.items():
             if name == "candidate2" and not with_candidate2:
                 continue
-            out[name] = spark.read.schema(schema_fn()).parquet(f"{path}/{name}")
+            df = spark.read.schema(schema_fn()).parquet(f"{path}/{name}")
+            out[name] = df.select(*schema_fn().fieldNames())  # declared column order
         return Roles(**out)
 
     def with_candidate(self, df: DataFrame) -> "Roles":

@@ -138,3 +138,48 @@ def test_timestamp_ntz_snapshot_matches_whole_day(spark):
     )
     pred = compare.snapshot_predicate(df, "ts", dt.date(2001, 12, 31))
     assert df.filter(pred).count() == 1
+
+
+def test_concat_key_separator_keeps_keys_apart(spark):
+    from edge import Case, roles as make_roles
+    from stocklens.sources.roles import Roles
+
+    r = make_roles(spark, [Case("A1")])
+    # same text once product and location are glued together without separator
+    cand = r.candidate.selectExpr("'A1' AS PartName", "'23' AS PartSite",
+                                  *[c for c in r.candidate.columns[2:]])
+    base = r.baseline.selectExpr("'A12' AS PRDID", "'3' AS LOCID", *r.baseline.columns[2:])
+    rr = Roles(cand, base, r.factor, r.cov, r.service)
+    import datetime as dt
+    out = compare.comparison_concat_key(rr, dt.date(2001, 12, 31)).collect()
+    assert len(out) == 1 and out[0]["base_product"] is None
+
+
+def test_numeric_keys_compare_as_text(spark):
+    import datetime as dt
+
+    from edge import Case, roles as make_roles
+    from stocklens.sources.roles import Roles
+
+    r = make_roles(spark, [Case("x")])
+    rest = r.candidate.columns[2:]
+    cand = r.candidate.selectExpr("CAST(1 AS BIGINT) AS PartName", "PartSite", *rest).union(
+        r.candidate.selectExpr("CAST(2 AS BIGINT) AS PartName", "PartSite", *rest))
+    brest = r.baseline.columns[1:]
+    base = r.baseline.selectExpr("'001' AS PRDID", *brest).union(
+        r.baseline.selectExpr("'2' AS PRDID", *brest))
+    rr = Roles(cand, base, r.factor, r.cov, r.service)
+    got = {row["product"]: row["base_product"]
+           for row in compare.comparison(rr, dt.date(2001, 12, 31)).collect()}
+    assert got == {"1": None, "2": "2"}  # '001' is not 1 as text
+
+
+def test_written_roles_prune_baseline_partitions(spark, a, tmp_path):
+    from stocklens.sources.roles import Roles
+
+    path = str(tmp_path / "roles")
+    a.roles.write(path)
+    back = Analysis(Roles.read(spark, path))
+    plan = back.comparison._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(KEYFIGUREDATE" in plan
+    assert sorted(back.summary().collect()) == sorted(a.summary().collect())
