@@ -41,9 +41,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's, or a new local one.
 
-    A folder is only created here when the session names none (tests, local
-    runs); on a cluster ``spark.checkpoint.dir`` points at shared storage and
-    is used as is.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage and is
+    used as is. A folder is only created here in local mode (tests, local
+    runs), where driver and executors share one machine; on a cluster with no
+    setting this raises rather than fall back to a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                f"set {CHECKPOINT_CONF} to a folder on shared storage (HDFS, object store)"
+            )
         conf = tempfile.mkdtemp(prefix="stocklens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
