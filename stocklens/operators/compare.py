@@ -155,19 +155,12 @@ def _bound(roles: Roles):
     return k, i, c, cv, sl
 
 
-
 def _same_site(left: str, right: str) -> Column:
     return (F.col(f"{left}_product") == F.col(f"{right}_product")) & (
         F.col(f"{left}_location") == F.col(f"{right}_location")
     )
 
 
-def baseline_snapshot(roles: Roles, snapshot: dt.date) -> DataFrame:
-    """Bound baseline rows of one snapshot day."""
-    i = S.bind_baseline(roles.baseline)
-    return i.filter(snapshot_predicate(i, "i_snapshot", snapshot))
-
-
 def baseline_with_factor(i: DataFrame, c: DataFrame) -> DataFrame:
     """J2 applied to the baseline side: snapshot rows LEFT JOIN factor.
 

@@ -12,7 +12,6 @@ rollup, a streaming aggregation with at most 21 groups.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +32,7 @@ def candidate_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 def classified_stream(stream: DataFrame, static: Roles, snapshot: dt.date,
                       thresholds: rules.Thresholds = rules.Thresholds()) -> DataFrame:
     """Classified rows (P13/P14) of each arriving candidate row."""
-    cmp = compare.comparison(replace(static, candidate=stream), snapshot)
+    cmp = compare.comparison(static.with_candidate(stream), snapshot)
     return rules.classify(rules.flags(populations.final_su(cmp)), thresholds)
 
 
