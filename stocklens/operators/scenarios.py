@@ -47,8 +47,8 @@ def scenario_pair(
     cols: S.CandidateCols = S.CandidateCols(),
 ) -> DataFrame:
     """J8 + P16: scenario one LEFT JOIN scenario two on (product, location)."""
-    a = one.select(*[F.col(f"`{getattr(cols, f)}`").alias(f"one_{f}") for f in _fields()])
-    b = two.select(*[F.col(f"`{getattr(cols, f)}`").alias(f"two_{f}") for f in _fields()])
+    a = S.bind(one, cols, "one_")
+    b = S.bind(two, cols, "two_")
     j = a.join(
         b,
         (F.col("one_product") == F.col("two_product"))
@@ -58,10 +58,6 @@ def scenario_pair(
     return j.select(*[F.col(f"{side}_{attr}").alias(name) for name, side, attr in PAIR_COLUMNS])
 
 
-def _fields() -> list[str]:
-    return sorted({attr for _, _, attr in PAIR_COLUMNS})
-
-
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     """L1/L2: the first ``n`` rows in key order (a top-k, not a full sort)."""
     return df.orderBy(*order).limit(n)

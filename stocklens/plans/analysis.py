@@ -24,6 +24,12 @@ from stocklens.sources.roles import Roles
 
 @dataclass
 class Analysis:
+    """The analysis of one candidate against one baseline snapshot.
+
+    ``snapshot`` and ``segment`` default to the fixture's values; pass the
+    snapshot date and subsector of your own data.
+    """
+
     roles: Roles
     snapshot: dt.date = fixture.SNAPSHOT
     segment: str = fixture.SEGMENT
@@ -33,9 +39,10 @@ class Analysis:
     def from_tables(spark: SparkSession, sf_dir: str, stage: bool = True) -> "Analysis":
         """Roles derived from the driver tables in ``sf_dir``.
 
-        With ``stage`` (default) the derived role tables are written once per
-        source folder and read back (see ``fixture.staged_roles``); without
-        it every query plans the derivation from the raw tables.
+        With ``stage`` (default) the lineitem aggregate behind every role is
+        written once per source folder and read back (see
+        ``fixture.staged_pair``); without it every query plans the derivation
+        from the raw tables.
         """
         if stage:
             return Analysis(fixture.staged_roles(spark, sf_dir))
@@ -49,7 +56,7 @@ class Analysis:
     def with_comparison(self, cmp: DataFrame) -> "Analysis":
         """Same analysis over an already built (e.g. materialised) comparison."""
         out = Analysis(self.roles, self.snapshot, self.segment, self.thresholds)
-        out.__dict__["comparison"] = cmp
+        out.__dict__["comparison"] = cmp  # pre-fills the cached property
         return out
 
     def materialized(self) -> "Analysis":
@@ -136,4 +143,6 @@ class Analysis:
         return out
 
     def scenario_pair(self) -> DataFrame:
+        if self.roles.candidate2 is None:
+            raise ValueError("the scenario pair needs a second candidate (roles.candidate2)")
         return scenarios.scenario_pair(self.roles.candidate, self.roles.candidate2)

@@ -149,7 +149,7 @@ def service_schema(cols: ServiceCols = ServiceCols()) -> T.StructType:
     return _struct(cols, {"product": T.StringType(), "location": T.StringType()})
 
 
-def _bind(df: DataFrame, cols, prefix: str, rename: dict[str, str] | None = None) -> DataFrame:
+def bind(df: DataFrame, cols, prefix: str, rename: dict[str, str] | None = None) -> DataFrame:
     """Project a role table onto canonical names ``prefix + attribute``.
 
     A ``Project`` of column references (keys cast to text, a no-op for text
@@ -173,21 +173,21 @@ KEY_ATTRS = ("product", "location")
 
 
 def bind_candidate(df: DataFrame, cols: CandidateCols = CandidateCols()) -> DataFrame:
-    return _bind(df, cols, "k_")
+    return bind(df, cols, "k_")
 
 
 def bind_baseline(df: DataFrame, cols: BaselineCols = BaselineCols()) -> DataFrame:
     rename = {attr: name for name, attr in BUCKETS}
-    return _bind(df, cols, "i_", rename)
+    return bind(df, cols, "i_", rename)
 
 
 def bind_factor(df: DataFrame, cols: FactorCols = FactorCols()) -> DataFrame:
-    return _bind(df, cols, "c_")
+    return bind(df, cols, "c_")
 
 
 def bind_cov(df: DataFrame, cols: CovCols = CovCols()) -> DataFrame:
-    return _bind(df, cols, "cv_")
+    return bind(df, cols, "cv_")
 
 
 def bind_service(df: DataFrame, cols: ServiceCols = ServiceCols()) -> DataFrame:
-    return _bind(df, cols, "sl_")
+    return bind(df, cols, "sl_")
