@@ -129,11 +129,7 @@ def min_snapshot(baseline_bound: DataFrame) -> DataFrame:
 
 def totals_existing(cmp: DataFrame) -> DataFrame:
     """A2: eleven totals over F2."""
-    cols = [
-        "cand_units", "reco_units", "final_units", "cand_su", "reco_su", "final_su",
-        "cand_days", "reco_days", "final_days", "cand_on_hand_cost", "final_usd",
-    ]
-    return P.existing(cmp).agg(*[F.sum(c).alias(f"sum_{c}") for c in cols])
+    return P.existing(cmp).agg(*[F.sum(c).alias(f"sum_{c}") for c in _TOTALS_EXISTING])
 
 
 def _su_sums(df: DataFrame) -> DataFrame:
@@ -190,6 +186,56 @@ def bucket_reconcile(cmp: DataFrame) -> DataFrame:
     )
 
 
+# --- all sums in one pass -------------------------------------------------------
+
+_TOTALS_EXISTING = ("cand_units", "reco_units", "final_units", "cand_su", "reco_su", "final_su",
+                    "cand_days", "reco_days", "final_days", "cand_on_hand_cost", "final_usd")
+
+
+def sums_card(cmp: DataFrame) -> DataFrame:
+    """A2-A7 in one pass: every total and bucket profile as conditional sums.
+
+    ``SUM(CASE WHEN pop THEN x END)`` equals ``SUM(x)`` over the filtered
+    rows, NULL included (no rows, or only NULLs, give NULL), so the six
+    separate aggregates become one scan of the comparison. Column names are
+    ``<query>__<column>`` of the separate queries.
+    """
+    c = F.col
+    existing = _pop("existing")
+    final = _pop("final_units")
+    final_nz = final & (c("cand_su") != 0)
+
+    def s(pred: Column, col: str) -> Column:
+        return F.sum(F.when(pred, c(col)))
+
+    def profile(pred: Column, prefix: str) -> list[Column]:
+        return [
+            s(pred, "stock_total").alias(f"{prefix}__total_stock_su"),
+            s(pred, "bucket_situational_safety").alias(f"{prefix}__situational_safety_su"),
+            s(pred, "bucket_situational_cycle").alias(f"{prefix}__situational_cycle_su"),
+            (s(pred, "bucket_situational_safety") + s(pred, "bucket_situational_cycle")).alias(
+                f"{prefix}__situational_safety_and_cycle_su"),
+            s(pred, "bucket_param_cycle").alias(f"{prefix}__param_cycle_su"),
+            s(pred, "bucket_productive_safety").alias(f"{prefix}__productive_safety_su"),
+            *[s(pred, b).alias(f"{prefix}__sum_{b}") for b in BUCKET_NAMES],
+        ]
+
+    all_buckets = None
+    for b in BUCKET_NAMES:
+        all_buckets = s(final, b) if all_buckets is None else all_buckets + s(final, b)
+    return cmp.agg(
+        *[s(existing, x).alias(f"totals_existing__sum_{x}") for x in _TOTALS_EXISTING],
+        *[s(final_nz, x).alias(f"totals_su_nonzero__sum_{x}")
+          for x in ("cand_su", "reco_su", "final_su")],
+        *[s(final, x).alias(f"totals_units__sum_{x}")
+          for x in ("cand_units", "reco_units", "final_units")],
+        *profile(final_nz, "buckets_nonzero"),
+        *profile(final, "buckets_all"),
+        all_buckets.alias("bucket_reconcile__sum_all_buckets"),
+        s(final, "stock_total").alias("bucket_reconcile__total_stock"),
+    )
+
+
 # --- classification rollup and summary ---------------------------------------
 
 def class_rollup(classified: DataFrame) -> DataFrame:

@@ -107,6 +107,7 @@ REGISTRY["bucket_reconcile"] = lambda a: rollups.bucket_reconcile(a.comparison)
 REGISTRY["buckets_all"] = lambda a: rollups.buckets_all(a.comparison)
 REGISTRY["totals_units"] = lambda a: rollups.totals_units(a.comparison)
 REGISTRY["grand_totals"] = lambda a: a.grand_totals()
+REGISTRY["sums_card"] = lambda a: rollups.sums_card(a.comparison)
 
 # --- flags, classes, summary (P8-P15, A11-A12, J5-J7, O1) --------------------
 REGISTRY["flags"] = lambda a: a.flagged

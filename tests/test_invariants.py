@@ -183,3 +183,17 @@ def test_written_roles_prune_baseline_partitions(spark, a, tmp_path):
     plan = back.comparison._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(KEYFIGUREDATE" in plan
     assert sorted(back.summary().collect()) == sorted(a.summary().collect())
+
+
+def test_sums_card_equals_separate_queries(a):
+    card = rollups.sums_card(a.comparison).first().asDict()
+    for name, fn in {
+        "totals_existing": rollups.totals_existing,
+        "totals_su_nonzero": rollups.totals_su_nonzero,
+        "totals_units": rollups.totals_units,
+        "buckets_nonzero": rollups.buckets_nonzero,
+        "buckets_all": rollups.buckets_all,
+        "bucket_reconcile": rollups.bucket_reconcile,
+    }.items():
+        for col, value in fn(a.comparison).first().asDict().items():
+            assert card[f"{name}__{col}"] == value, (name, col)
