@@ -3,13 +3,15 @@
 The source analysis collected the whole table to the driver and binned it
 there. Here only the bin counts (at most ``bins`` rows) leave the cluster:
 
-1. filter the column to ``[lower, upper]`` (NULL drops out);
-2. one global ``min``/``max`` aggregate: the edges span the *data's* range,
-   ``lower``/``upper`` only select rows;
+1. keep the rows where some histogram's column is in its ``[lower, upper]``
+   (NULL drops out) -- a filter the scan can take;
+2. one global aggregate with a ``min``/``max`` pair per histogram: the edges
+   span the *data's* range, ``lower``/``upper`` only select rows;
 3. cross join that single row (size bound: exactly one row) and compute each
-   value's bin with column arithmetic;
-4. ``groupBy(bin).count()`` -- partial/final, so a hot bin costs nothing;
-5. left join the counts onto all ``bins`` bin numbers so empty bins show 0.
+   value's bin with column arithmetic, every histogram in the same pass;
+4. unpivot to (name, bin) and ``groupBy(name, bin).count()`` -- partial/final,
+   so a hot bin costs nothing and at most ``sum(bins)`` rows leave the tasks;
+5. left join the counts onto all bin numbers so empty bins show 0.
 
 Bin rule (the usual equal-width histogram convention): edges
 ``e_j = j * step + lo`` with ``step = (hi - lo) / bins`` and the last edge
@@ -19,9 +21,9 @@ and then corrected by one against the actual edges, so rounding in the
 estimate never puts a value on the wrong side of an edge. An empty input uses
 the range [0, 1]; a single distinct value ``v`` uses [v - 0.5, v + 0.5].
 
-Steps 2 and 3 both read the same filtered input. Spark plans the input once
-per branch but reuses the shuffle exchanges they share, so the upstream
-joins are not shuffled twice.
+Steps 2 and 3 both read the same filtered input; Spark reuses the shuffle
+exchanges they share, so the upstream joins are not shuffled twice. Six
+histograms cost the same two passes as one.
 """
 
 from __future__ import annotations
@@ -60,171 +62,109 @@ def in_range(df: DataFrame, column: str, lower: float, upper: float) -> DataFram
     return df.select(F.col(column).alias("v")).filter(F.col("v").between(lower, upper))
 
 
-def _edge(j: Column, lo: Column, hi: Column, bins: int) -> Column:
-    step = (hi - lo) / F.lit(float(bins))
-    return F.when(j >= bins, hi).otherwise(j.cast("double") * step + lo)
+def _edge(j: Column, lo: Column, hi: Column, bins: Column) -> Column:
+    """Edge ``j``: ``j * step + lo``, and exactly ``hi`` for the last one."""
+    return F.when(j >= bins, hi).otherwise(j.cast("double") * ((hi - lo) / bins.cast("double")) + lo)
 
 
-def _binned(df: DataFrame, lo: Column, hi: Column, bins: int) -> DataFrame:
-    """Column ``bin`` for value ``v``: estimate, then one correction each way.
-
-    Each step is its own projection, so every intermediate is computed once.
-    """
-    v = F.col("v")
-    norm = F.lit(float(bins)) / (hi - lo)
-    g = F.col("g")
-    est = df.select("v", "lo", "hi", F.floor((v - lo) * norm).cast("int").alias("g"))
-    est = est.select("v", "lo", "hi", F.when(g >= bins, F.lit(bins - 1)).otherwise(g).alias("g"))
-    down = est.select(
-        "v", "lo", "hi", F.when(v < _edge(g, lo, hi, bins), g - 1).otherwise(g).alias("g")
-    )
-    return down.select(
-        F.when((g != bins - 1) & (v >= _edge(g + 1, lo, hi, bins)), g + 1)
-        .otherwise(g)
-        .alias("bin")
-    )
-
-
-def histogram(df: DataFrame, column: str, lower: float, upper: float, bins: int) -> DataFrame:
-    """Rows ``(bin, bin_lo, bin_hi, n, label)``, one per bin, ``bin`` from 0.
-
-    ``label`` is the bar label: the count as text, NULL for an empty bin (H3).
-    """
-    vals = in_range(df, column, lower, upper)
-    rng = vals.agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-    rng = rng.select(
-        F.when(F.col("vmin").isNull(), F.lit(0.0))
-        .when(F.col("vmin") == F.col("vmax"), F.col("vmin") - 0.5)
-        .otherwise(F.col("vmin"))
-        .alias("lo"),
-        F.when(F.col("vmax").isNull(), F.lit(1.0))
-        .when(F.col("vmin") == F.col("vmax"), F.col("vmax") + 0.5)
-        .otherwise(F.col("vmax"))
-        .alias("hi"),
-    )
-    lo, hi = F.col("lo"), F.col("hi")
-    counts = (
-        _binned(vals.crossJoin(F.broadcast(rng)), lo, hi, bins)
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    all_bins = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
-    j = F.col("bin")
-    return (
-        all_bins.join(F.broadcast(counts), "bin", "left")
-        .select(
-            j,
-            _edge(j, lo, hi, bins).alias("bin_lo"),
-            _edge(j + 1, lo, hi, bins).alias("bin_hi"),
-            F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
-        )
-        .withColumn("label", F.when(F.col("n") > 0, F.col("n").cast("string")))
-    )
-
-
-def spec_histogram(df: DataFrame, spec: HistogramSpec) -> DataFrame:
-    return histogram(df, spec.column, spec.lower, spec.upper, spec.bins)
+def _outer_edges(vmin: Column, vmax: Column) -> tuple[Column, Column]:
+    """Histogram range from the data: [0, 1] when empty, +-0.5 around one value."""
+    lo = (F.when(vmin.isNull(), F.lit(0.0)).when(vmin == vmax, vmin - 0.5).otherwise(vmin))
+    hi = (F.when(vmax.isNull(), F.lit(1.0)).when(vmin == vmax, vmax + 0.5).otherwise(vmax))
+    return lo, hi
 
 
 def histograms(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
-    """Several histograms over the same rows in two passes instead of 2 x n.
+    """Rows ``(name, bin, bin_lo, bin_hi, n, label)``: every bin of every spec.
 
-    Pass 1 is one global aggregate with a min/max pair per histogram. Pass 2
-    bins every histogram's value in one projection of each row, unpivots the
-    (name, bin) pairs and counts them with a partial/final ``groupBy`` -- at
-    most ``sum(bins)`` groups. Same bin rule and output as ``histogram``, with
-    a leading ``name`` column.
+    ``bin`` counts from 0; ``label`` is the bar label: the count as text, NULL
+    for an empty bin (H3).
     """
     names = list(specs)
-    aggs = []
-    for i, name in enumerate(names):
-        s = specs[name]
-        v = F.when(F.col(s.column).between(s.lower, s.upper), F.col(s.column))
-        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    rng = df.agg(*aggs).select(
-        *[
-            c
-            for i in range(len(names))
-            for c in (
-                F.when(F.col(f"mn{i}").isNull(), F.lit(0.0))
-                .when(F.col(f"mn{i}") == F.col(f"mx{i}"), F.col(f"mn{i}") - 0.5)
-                .otherwise(F.col(f"mn{i}"))
-                .alias(f"lo{i}"),
-                F.when(F.col(f"mx{i}").isNull(), F.lit(1.0))
-                .when(F.col(f"mn{i}") == F.col(f"mx{i}"), F.col(f"mx{i}") + 0.5)
-                .otherwise(F.col(f"mx{i}"))
-                .alias(f"hi{i}"),
-            )
-        ]
-    )
-    vals = df.select(
-        *[
-            F.when(F.col(specs[n].column).between(specs[n].lower, specs[n].upper),
-                   F.col(specs[n].column)).alias(f"v{i}")
-            for i, n in enumerate(names)
-        ]
-    ).crossJoin(F.broadcast(rng))
-
+    idx = range(len(names))
+
+    def value(i: int) -> Column:
+        s = specs[names[i]]
+        return F.when(F.col(s.column).between(s.lower, s.upper), F.col(s.column))
+
+    any_in_range = None
+    for i in idx:
+        s = specs[names[i]]
+        cond = F.col(s.column).between(s.lower, s.upper)
+        any_in_range = cond if any_in_range is None else any_in_range | cond
+    vals = df.filter(any_in_range).select(*[value(i).alias(f"v{i}") for i in idx])
+
+    # pass 1: the data range of each histogram (one row)
+    mm = vals.agg(*[c for i in idx
+                    for c in (F.min(f"v{i}").alias(f"mn{i}"), F.max(f"v{i}").alias(f"mx{i}"))])
+    edges = []
+    for i in idx:
+        lo, hi = _outer_edges(F.col(f"mn{i}"), F.col(f"mx{i}"))
+        edges += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
+    rng = mm.select(*edges)
+
+    # pass 2: bins. Estimate floor((v - lo) * (bins / (hi - lo))), then correct
+    # by one against the actual edges; each step is its own projection so
+    # every intermediate is computed once per row.
     def step(frame: DataFrame, make) -> DataFrame:
-        keep = [f"v{i}" for i in range(len(names))] + [
-            c for i in range(len(names)) for c in (f"lo{i}", f"hi{i}")
-        ]
-        return frame.select(*keep, *[make(i).alias(f"g{i}") for i in range(len(names))])
+        keep = [c for i in idx for c in (f"v{i}", f"lo{i}", f"hi{i}")]
+        return frame.select(*keep, *[make(i).alias(f"g{i}") for i in idx])
 
-    def col3(i):
-        return F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"g{i}")
+    def parts(i: int):
+        nb = F.lit(specs[names[i]].bins)
+        return F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"g{i}"), nb
 
-    def est(i):
+    def estimate(i: int) -> Column:
         bins = specs[names[i]].bins
         v, lo, hi = F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
         g = F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int")
         return F.when(g >= bins, F.lit(bins - 1)).otherwise(g)  # NULL stays NULL
 
-    def down(i):
-        v, lo, hi, g = col3(i)
-        return F.when(v < _edge(g, lo, hi, specs[names[i]].bins), g - 1).otherwise(g)
+    def down(i: int) -> Column:
+        v, lo, hi, g, nb = parts(i)
+        return F.when(v < _edge(g, lo, hi, nb), g - 1).otherwise(g)
 
-    def up(i):
-        bins = specs[names[i]].bins
-        v, lo, hi, g = col3(i)
-        return F.when((g != bins - 1) & (v >= _edge(g + 1, lo, hi, bins)), g + 1).otherwise(g)
+    def up(i: int) -> Column:
+        v, lo, hi, g, nb = parts(i)
+        return F.when((g != nb - 1) & (v >= _edge(g + 1, lo, hi, nb)), g + 1).otherwise(g)
 
-    binned = step(step(step(vals, est), down), up)
+    binned = step(step(step(vals.crossJoin(F.broadcast(rng)), estimate), down), up)
     pairs = binned.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"g{i}").alias("bin"))
-                      for i, n in enumerate(names)])
-        ).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(names[i]).alias("name"), F.col(f"g{i}").alias("bin"))
+                            for i in idx])).alias("p")
     ).select("p.name", "p.bin")
-    counts = pairs.filter(F.col("bin").isNotNull()).groupBy("name", "bin").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = (pairs.filter(F.col("bin").isNotNull())
+              .groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n")))
 
+    # every bin of every histogram, so empty bins show 0 (sum(bins) rows)
     per_hist = rng.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(n).alias("name"), F.col(f"lo{i}").alias("lo"),
-                         F.col(f"hi{i}").alias("hi"), F.lit(specs[n].bins).alias("bins"))
-                for i, n in enumerate(names)
-            ])
-        ).alias("h")
+        F.explode(F.array(*[
+            F.struct(F.lit(names[i]).alias("name"), F.col(f"lo{i}").alias("lo"),
+                     F.col(f"hi{i}").alias("hi"), F.lit(specs[names[i]].bins).alias("bins"))
+            for i in idx
+        ])).alias("h")
     ).select("h.*")
     all_bins = per_hist.select(
-        "name", "lo", "hi", "bins",
-        F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"),
+        "name", "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
     )
-    j, lo, hi, nb = F.col("bin"), F.col("lo"), F.col("hi"), F.col("bins").cast("double")
-
-    def edge(k: Column) -> Column:
-        return F.when(k >= F.col("bins"), hi).otherwise(k.cast("double") * ((hi - lo) / nb) + lo)
-
+    j, lo, hi, nb = F.col("bin"), F.col("lo"), F.col("hi"), F.col("bins")
     return (
         all_bins.join(F.broadcast(counts), ["name", "bin"], "left")
         .select(
             "name",
             j,
-            edge(j).alias("bin_lo"),
-            edge(j + 1).alias("bin_hi"),
+            _edge(j, lo, hi, nb).alias("bin_lo"),
+            _edge(j + 1, lo, hi, nb).alias("bin_hi"),
             F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
         )
         .withColumn("label", F.when(F.col("n") > 0, F.col("n").cast("string")))
     )
+
+
+def histogram(df: DataFrame, column: str, lower: float, upper: float, bins: int) -> DataFrame:
+    """H2: one histogram, rows ``(bin, bin_lo, bin_hi, n, label)``."""
+    return histograms(df, {"h": HistogramSpec(column, lower, upper, bins)}).drop("name")
+
+
+def spec_histogram(df: DataFrame, spec: HistogramSpec) -> DataFrame:
+    return histogram(df, spec.column, spec.lower, spec.upper, spec.bins)
