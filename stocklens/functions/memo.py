@@ -23,7 +23,9 @@ def per_application(fn):
         session = SparkSession.getActiveSession()
         if session is None:
             return fn(*args)
-        key = (session.sparkContext.applicationId, fn.__module__, fn.__qualname__, args)
+        from stocklens.session import app_id
+
+        key = (app_id(session), fn.__module__, fn.__qualname__, args)
         with _LOCK:
             if key not in _CACHE:
                 _CACHE[key] = fn(*args)

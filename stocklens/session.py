@@ -38,6 +38,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Id of the Spark application behind ``spark`` (classic or Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect sessions expose no SparkContext
+        return spark.conf.get("spark.app.id", None) or f"session-{id(spark)}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's, or a new local one.
 
@@ -46,7 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     runs), where driver and executors share one machine; on a cluster with no
     setting this raises rather than fall back to a machine-local folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session configuration is visible
+        conf = spark.conf.get(CHECKPOINT_CONF, None)
+        if not conf:
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder on shared storage")
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current

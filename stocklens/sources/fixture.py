@@ -234,9 +234,9 @@ def _signature(sf_dir: str) -> tuple:
 
 def staged_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair`` for ``sf_dir``, computed and written once, then read back."""
-    from stocklens.session import scratch_path
+    from stocklens.session import app_id, scratch_path
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _signature(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir), _signature(sf_dir))
     with _STAGE_LOCK:
         path = _STAGED.get(key)
         if path is None:
