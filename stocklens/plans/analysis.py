@@ -41,8 +41,10 @@ class Analysis:
 
         With ``stage`` (default) the lineitem aggregate behind every role is
         written once per source folder and read back (see
-        ``fixture.staged_pair``); without it every query plans the derivation
-        from the raw tables.
+        ``fixture.staged_pair``). ``stage=False`` plans the derivation from
+        the raw tables inside every query -- for inspecting that plan; it
+        repeats the aggregate once per role, so it is not the path to run
+        at scale.
         """
         if stage:
             return Analysis(fixture.staged_roles(spark, sf_dir))
