@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from stocklens import schema as S
 from stocklens.sources.fixture import SNAPSHOT
@@ -17,6 +18,7 @@ def _df(spark, schema, rows):
     )
 
 
+@dataclass
 class Case:
     """One candidate row and the role rows that go with it.
 
@@ -27,11 +29,25 @@ class Case:
     ``base_day`` another day: baseline only at that snapshot.
     """
 
-    def __init__(self, name, u=5.0, fac=1.0, b=8.0, d=10.0, tr=None, cov=None, cv=0.5,
-                 cfr=None, sl=0.9, B=0.0, C=0.0, T=100.0, reco=None, days=4.0,
-                 base=True, base_day=SNAPSHOT, with_factor=True, extra_factor=False):
-        self.__dict__.update(locals())
-        del self.__dict__["self"]
+    name: str
+    u: float | None = 5.0
+    fac: float | None = 1.0
+    b: float | None = 8.0
+    d: float | None = 10.0
+    tr: str | None = None
+    cov: float | None = None
+    cv: float | None = 0.5
+    cfr: float | None = None
+    sl: float | None = 0.9
+    B: float = 0.0
+    C: float = 0.0
+    T: float = 100.0
+    reco: float | None = None
+    days: float = 4.0
+    base: bool = True
+    base_day: dt.date = SNAPSHOT
+    with_factor: bool = True
+    extra_factor: bool = False
 
     def candidate(self):
         return {"PartName": self.name, "PartSite": "S", "Safety_StockUnits": self.u,
