@@ -210,6 +210,10 @@ def comparison_concat_key(roles: Roles, snapshot: dt.date) -> DataFrame:
     pins the calendar day, so the same day predicate is also stated on the
     baseline: it does not change the result and lets the scan skip other
     snapshots instead of shuffling every snapshot into the join.
+
+    Kept for parity with analyses written this way; ``comparison`` is the
+    one to run. A string key is its own partitioning, so this form costs one
+    more shuffle of the joined rows than the composite key does.
     """
     k, i, c, cv, sl = _bound(roles)
     i = i.filter(snapshot_predicate(i, "i_snapshot", snapshot))
