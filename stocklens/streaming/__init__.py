@@ -39,3 +39,22 @@ def classified_stream(stream: DataFrame, static: Roles, snapshot: dt.date,
 def running_rollup(classified: DataFrame) -> DataFrame:
     """A11 over everything seen so far (use output mode ``complete``)."""
     return rollups.class_rollup(classified)
+
+
+def write_classified(classified: DataFrame, path: str, checkpoint: str,
+                     available_now: bool = True):
+    """Append classified rows to a parquet table as candidate files arrive.
+
+    The file sink with a checkpoint location is exactly-once: a restarted
+    query (or a lost executor) neither loses nor duplicates rows. With
+    ``available_now`` the query processes what is there and stops.
+    """
+    writer = (
+        classified.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -30,3 +30,20 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table(name).collect())
     want = sorted(tuple(r) for r in rollups.class_rollup(a.classified).collect())
     assert got == want
+
+
+def test_stream_classified_rows_equal_batch(spark, tmp_path):
+    a = Analysis.from_tables(spark, SF001)
+    src = str(tmp_path / "candidate")
+    a.roles.candidate.repartition(4).write.parquet(src)
+    stream = streaming.candidate_stream(spark, src, max_files_per_trigger=2)
+    out = str(tmp_path / "classified")
+    q = streaming.write_classified(
+        streaming.classified_stream(stream, a.roles, a.snapshot), out, str(tmp_path / "ck")
+    )
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    want = a.classified
+    assert got.count() == want.count()
+    cols = ["product", "location", "code", "label"]
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
