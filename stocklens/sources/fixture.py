@@ -15,6 +15,13 @@ Plan shape (chosen for scale, left to Catalyst/AQE for the physical join):
   nation is combined map-side before the shuffle.
 * ``part`` attributes are joined *after* the aggregate: at most one row per
   part and nation reaches that join, so no key can be hot there.
+
+The modulo rules below (a baseline row is left out where ``(p * n) % 17 = 0``,
+a CoV row where ``(p + n) % 10 = 0``, and so on) do not sample: every
+lineitem row is aggregated and every candidate row is compared. They create
+the gaps the analysis exists to handle -- candidates without a baseline,
+missing CoV and service levels, missing and zero factors, literal ``'null'``
+transition types -- so that each LEFT-join and NULL rule is exercised.
 """
 
 from __future__ import annotations
@@ -221,6 +228,7 @@ _STAGE_LOCK = threading.Lock()
 
 
 def _signature(sf_dir: str) -> tuple:
+    """Sizes and mtimes of local source files (remote folders: path only)."""
     sig = []
     for name in ("lineitem", "supplier", "part"):
         p = f"{sf_dir}/{name}.parquet"
