@@ -8,3 +8,9 @@ share-of-total summary per class. Everything is DataFrame operations.
 """
 
 __version__ = "0.1.0"
+
+from stocklens.plans.analysis import Analysis  # noqa: E402
+from stocklens.sources.ingest import scan_role  # noqa: E402
+from stocklens.sources.roles import Roles  # noqa: E402
+
+__all__ = ["Analysis", "Roles", "scan_role", "__version__"]
