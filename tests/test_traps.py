@@ -30,3 +30,14 @@ def test_t19_sum_of_sums_stays_null(spark):
     assert out["situational_safety_su"] == 3.0
     assert out["situational_cycle_su"] is None
     assert out["situational_safety_and_cycle_su"] is None  # not coalesced to 3.0
+
+
+def test_t9_nonzero_population_reads_recommended_units(spark):
+    from stocklens.operators import populations
+
+    df = spark.createDataFrame(
+        [("a", None, 5.0, 8.0), ("b", 1.0, 5.0, None), ("c", 1.0, 0.0, 8.0)],
+        "product string, reco_units double, cand_su double, final_units double",
+    )
+    got = {r["product"] for r in populations.nonzero_candidate(df).collect()}
+    assert got == {"b"}  # a final value does not count; a recommended one does
