@@ -65,5 +65,47 @@ class Roles:
             out[name] = df.select(*schema_fn().fieldNames())  # declared column order
         return Roles(**out)
 
+    def save_tables(self, prefix: str, buckets: int | None = None) -> list[str]:
+        """Save every role as a managed table ``<prefix><role>``.
+
+        With ``buckets`` the tables keyed by (product, location) -- candidate,
+        baseline, CoV, service level, second candidate -- are bucketed and
+        sorted on those keys with the same bucket count. Role tables are
+        written once and joined on every analysis run; bucketed alike, the
+        three same-key joins of the comparison read co-located buckets and
+        need no exchange for the candidate, CoV and service sides.
+        """
+        names = []
+        for name, df in self.items():
+            keys = _site_keys(name)
+            writer = df.write.mode("overwrite").format("parquet")
+            if buckets and keys:
+                writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+            writer.saveAsTable(prefix + name)
+            names.append(prefix + name)
+        return names
+
+    @staticmethod
+    def from_tables(spark: SparkSession, prefix: str, with_candidate2: bool = True) -> "Roles":
+        """Roles saved by ``save_tables`` (S9), in their declared column order."""
+        out = {}
+        for name, schema_fn in ROLE_SCHEMAS.items():
+            if name == "candidate2" and not with_candidate2:
+                continue
+            out[name] = spark.table(prefix + name).select(*schema_fn().fieldNames())
+        return Roles(**out)
+
     def with_candidate(self, df: DataFrame) -> "Roles":
         return replace(self, candidate=df)
+
+
+def _site_keys(role: str) -> tuple[str, ...]:
+    """(product, location) export columns of a role, empty for the factor."""
+    cols = {
+        "candidate": S.CandidateCols(),
+        "candidate2": S.CandidateCols(),
+        "baseline": S.BaselineCols(),
+        "cov": S.CovCols(),
+        "service": S.ServiceCols(),
+    }.get(role)
+    return () if cols is None else (cols.product, cols.location)

@@ -48,3 +48,21 @@ def test_no_python_udfs_anywhere(spark):
     for df in (a.summary(), a.histograms(), a.classified):
         plan = _plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_bucketed_roles_skip_shuffles(spark, no_broadcast):
+    import uuid
+
+    from stocklens.sources.roles import Roles
+
+    a = Analysis.from_tables(spark, SF001)
+    prefix = f"b{uuid.uuid4().hex[:6]}_"
+    a.roles.save_tables(prefix, buckets=8)
+    b = Analysis(Roles.from_tables(spark, prefix))
+    plan = _plan(b.comparison)
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    # only the baseline moves (by product for the factor join, then into the
+    # buckets) plus the factor itself; candidate, CoV and service do not
+    assert len(exchanges) == 3, exchanges
+    assert not any(e.startswith(("k_", "cv_", "sl_")) for e in exchanges)
+    assert sorted(b.summary().collect()) == sorted(a.summary().collect())
