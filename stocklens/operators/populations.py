@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.operators.compare import snapshot_predicate
@@ -21,24 +21,41 @@ from stocklens.schema import bind_baseline
 from stocklens.sources.roles import Roles
 
 
+def predicate(name: str) -> Column:
+    """Row predicate of a named population over the comparison's columns.
+
+    ``all`` (every row), ``existing`` (F2), ``final_units`` (F3),
+    ``final_su`` (F4), ``reco`` (F5), ``nonzero`` (F6).
+    """
+    c = F.col
+    return {
+        "all": F.lit(True),
+        "existing": c("final_su").isNotNull(),
+        "final_units": c("final_units").isNotNull(),
+        "final_su": c("final_su").isNotNull(),
+        "reco": c("reco_units").isNotNull(),
+        "nonzero": c("reco_units").isNotNull() & (c("cand_su") != 0),
+    }[name]
+
+
 def existing(cmp: DataFrame) -> DataFrame:
     """rows with a final baseline value in normalised units."""
-    return cmp.filter(F.col("final_su").isNotNull())
+    return cmp.filter(predicate("existing"))
 
 
 def final_units(cmp: DataFrame) -> DataFrame:
     """F3 (first "final"): rows with a final baseline value in units."""
-    return cmp.filter(F.col("final_units").isNotNull())
+    return cmp.filter(predicate("final_units"))
 
 
 def final_su(cmp: DataFrame) -> DataFrame:
     """F4 (second "final"): same predicate as F2."""
-    return existing(cmp)
+    return cmp.filter(predicate("final_su"))
 
 
 def reco(cmp: DataFrame) -> DataFrame:
     """rows with a recommended baseline value in units."""
-    return cmp.filter(F.col("reco_units").isNotNull())
+    return cmp.filter(predicate("reco"))
 
 
 def nonzero_candidate(cmp: DataFrame) -> DataFrame:
@@ -47,7 +64,7 @@ def nonzero_candidate(cmp: DataFrame) -> DataFrame:
     The predicate reads the *recommended* value although its users compare
     against the *final* difference; kept as the analysis defines it.
     """
-    return cmp.filter(F.col("reco_units").isNotNull() & (F.col("cand_su") != 0))
+    return cmp.filter(predicate("nonzero"))
 
 
 def segment_snapshot(roles: Roles, snapshot: dt.date, segment: str) -> DataFrame:

@@ -25,18 +25,9 @@ def count_rows(df: DataFrame, alias: str = N) -> DataFrame:
 
 
 # --- the 24 counts over the comparison (C2-C25) ------------------------------
-# key -> (population predicate, extra predicate or None)
+# key -> (population, extra predicate or None)
 
-def _pop(name: str) -> Column:
-    c = F.col
-    return {
-        "all": F.lit(True),
-        "existing": c("final_su").isNotNull(),
-        "final_units": c("final_units").isNotNull(),
-        "final_su": c("final_su").isNotNull(),
-        "reco": c("reco_units").isNotNull(),
-        "nonzero": c("reco_units").isNotNull() & (c("cand_su") != 0),
-    }[name]
+_pop = P.predicate
 
 
 def _within(col: str, limit: float = 20.0) -> Column:
