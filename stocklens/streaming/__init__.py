@@ -8,9 +8,9 @@ Streaming without state -- followed by the same stateless flags and rule
 ladder as the batch path. The only stateful step is the running class
 rollup, a streaming aggregation with at most 21 groups.
 
-Each micro-batch joins against the static roles again, so keep batches
-large (``maxFilesPerTrigger``) when the static side is big, or save the
-roles bucketed (``Roles.save_tables``) so the static side is not reshuffled.
+Each micro-batch joins against the static roles again, so when the static
+side is big keep micro-batches large (``maxFilesPerTrigger``) so that its
+scan and shuffle are paid for few times.
 """
 
 from __future__ import annotations
