@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stocklens import schema as S
 
@@ -95,6 +96,38 @@ class Roles:
             out[name] = spark.table(prefix + name).select(*schema_fn().fieldNames())
         return Roles(**out)
 
+    def conform(
+        self,
+        candidate: S.CandidateCols | None = None,
+        baseline: S.BaselineCols | None = None,
+        factor: S.FactorCols | None = None,
+        cov: S.CovCols | None = None,
+        service: S.ServiceCols | None = None,
+    ) -> "Roles":
+        """Roles whose columns are named differently, renamed to the defaults.
+
+        Pass, per role, the column names your tables use (e.g.
+        ``CandidateCols(product="sku", location="site", ...)``). The result is
+        a projection per role -- no data moves -- after which every operator
+        reads the default names. The second candidate follows ``candidate``.
+        """
+        mapping = {"candidate": candidate, "candidate2": candidate, "baseline": baseline,
+                   "factor": factor, "cov": cov, "service": service}
+        defaults = {"candidate": S.CandidateCols(), "candidate2": S.CandidateCols(),
+                    "baseline": S.BaselineCols(), "factor": S.FactorCols(),
+                    "cov": S.CovCols(), "service": S.ServiceCols()}
+        out = {}
+        for name, df in self.items():
+            given = mapping[name]
+            if given is None:
+                out[name] = df
+                continue
+            out[name] = df.select(*[
+                F.col(f"`{getattr(given, f.name)}`").alias(getattr(defaults[name], f.name))
+                for f in fields(given)
+            ])
+        return Roles(**out)
+
     def with_candidate(self, df: DataFrame) -> "Roles":
         return replace(self, candidate=df)
 

@@ -115,3 +115,15 @@ def test_scan_role_nan_text_becomes_null_after_cast(spark, tmp_path):
     assert out.schema == S.factor_schema()  # "converter factor" -> converter_factor
     got = {r["Material"]: r["converter_factor"] for r in out.collect()}
     assert got == {"P1": None, "P2": 2.5}
+
+
+def test_conform_maps_other_column_names(spark):
+    from edge import Case, roles as make_roles
+
+    r = make_roles(spark, [Case("A"), Case("B", base=False)])
+    renamed = r.candidate.withColumnRenamed("PartName", "sku").withColumnRenamed(
+        "PartSite", "site")
+    custom = S.CandidateCols(product="sku", location="site")
+    back = Roles(renamed, r.baseline, r.factor, r.cov, r.service).conform(candidate=custom)
+    assert back.candidate.columns == r.candidate.columns
+    assert sorted(back.candidate.collect()) == sorted(r.candidate.collect())
