@@ -35,16 +35,20 @@ def _bag(cols, rows):
 
 
 SQL = E.oracle_sql()
+DUCK_TO_SPARK = {"DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BIGINT": "bigint",
+                 "INTEGER": "int", "BOOLEAN": "boolean"}
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, con, key):
     sdf = E.queries()[key](spark, SF001)
     s_rows = [tuple(r) for r in sdf.collect()]
-    res = con.execute(SQL[key])
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(SQL[key])
+    d_cols = list(rel.columns)
+    d_types = dict(zip(d_cols, (DUCK_TO_SPARK.get(str(t), str(t)) for t in rel.types)))
+    d_rows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(d_cols)
+    assert {f.name: f.dataType.simpleString() for f in sdf.schema.fields} == d_types
     assert len(s_rows) == len(d_rows)
     assert _bag(sdf.columns, s_rows) == _bag(d_cols, d_rows)
 
