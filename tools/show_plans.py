@@ -41,14 +41,27 @@ def tree(df) -> str:
     return head + "\n\n" + "\n\n".join(keep)
 
 
+def scratch_path_local() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="stocklens-plans-wh-")
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = local_session(8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    warehouse = scratch_path_local()
+    spark = local_session(8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1",
+                                    "spark.sql.warehouse.dir": warehouse})
     path = scratch_path(spark, "plan-roles")
     fixture.fixture_roles(spark, sf_dir).write(path)
     a = Analysis(Roles.read(spark, path))
+    prefix = f"plan_{os.getpid()}_"
+    a.roles.save_tables(prefix, buckets=16)
+    bucketed = Analysis(Roles.from_tables(spark, prefix))
     shown = {
         "summary (flagship)": a.summary(),
+        "comparison over bucketed role tables (Roles.save_tables, 16 buckets)":
+            bucketed.comparison,
         "scorecard (24 counts, one pass)": rollups.scorecard(a.comparison),
         "histograms_all (six histograms, two passes)": a.histograms(),
         "pair (the lineitem aggregate behind the fixture roles)": fixture.pair(spark, sf_dir),
