@@ -74,12 +74,15 @@ class Roles:
         sorted on those keys with the same bucket count. Role tables are
         written once and joined on every analysis run; bucketed alike, the
         three same-key joins of the comparison read co-located buckets and
-        need no exchange for the candidate, CoV and service sides.
+        need no exchange for the candidate, CoV and service sides. The
+        baseline is also partitioned by snapshot date, as in ``write``.
         """
         names = []
         for name, df in self.items():
             keys = _site_keys(name)
             writer = df.write.mode("overwrite").format("parquet")
+            if name == "baseline":
+                writer = writer.partitionBy(S.BaselineCols().snapshot)
             if buckets and keys:
                 writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
             writer.saveAsTable(prefix + name)
