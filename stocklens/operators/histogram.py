@@ -7,11 +7,13 @@ there. Here only the bin counts (at most ``bins`` rows) leave the cluster:
    (NULL drops out) -- a filter the scan can take;
 2. one global aggregate with a ``min``/``max`` pair per histogram: the edges
    span the *data's* range, ``lower``/``upper`` only select rows;
-3. cross join that single row (size bound: exactly one row) and compute each
-   value's bin with column arithmetic, every histogram in the same pass;
-4. unpivot to (name, bin) and ``groupBy(name, bin).count()`` -- partial/final,
-   so a hot bin costs nothing and at most ``sum(bins)`` rows leave the tasks;
-5. left join the counts onto all bin numbers so empty bins show 0.
+3. unpivot the in-range values to (histogram id, value), look each
+   histogram's range up by id (an equi-join against at most one row per
+   histogram, so the broadcast is bounded) and compute the bin with column
+   arithmetic;
+4. ``groupBy(id, bin).count()`` -- partial/final, so a hot bin costs
+   nothing and at most ``sum(bins)`` rows per task leave the map side;
+5. add a zero row for every bin and sum per bin, so empty bins show 0.
 
 Bin rule (the usual equal-width histogram convention): edges
 ``e_j = j * step + lo`` with ``step = (hi - lo) / bins`` and the last edge
@@ -83,79 +85,67 @@ def histograms(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
     names = list(specs)
     idx = range(len(names))
 
-    def value(i: int) -> Column:
+    def in_range_of(i: int) -> Column:
         s = specs[names[i]]
-        return F.when(F.col(s.column).between(s.lower, s.upper), F.col(s.column))
+        return F.col(s.column).between(s.lower, s.upper)
 
     any_in_range = None
     for i in idx:
-        s = specs[names[i]]
-        cond = F.col(s.column).between(s.lower, s.upper)
-        any_in_range = cond if any_in_range is None else any_in_range | cond
-    vals = df.filter(any_in_range).select(*[value(i).alias(f"v{i}") for i in idx])
+        any_in_range = in_range_of(i) if any_in_range is None else any_in_range | in_range_of(i)
+    vals = df.filter(any_in_range).select(
+        *[F.when(in_range_of(i), F.col(specs[names[i]].column)).alias(f"v{i}") for i in idx]
+    )
 
-    # pass 1: the data range of each histogram (one row)
+    # pass 1: the data range of each histogram -> one row per histogram
+    # (hid, name, lo, hi, bins); at most len(specs) rows, so broadcasting it
+    # is safe
     mm = vals.agg(*[c for i in idx
                     for c in (F.min(f"v{i}").alias(f"mn{i}"), F.max(f"v{i}").alias(f"mx{i}"))])
-    edges = []
+    entries = []
     for i in idx:
         lo, hi = _outer_edges(F.col(f"mn{i}"), F.col(f"mx{i}"))
-        edges += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
-    rng = mm.select(*edges)
-
-    # pass 2: bins. Estimate floor((v - lo) * (bins / (hi - lo))), then correct
-    # by one against the actual edges; each step is its own projection so
-    # every intermediate is computed once per row.
-    def step(frame: DataFrame, make) -> DataFrame:
-        keep = [c for i in idx for c in (f"v{i}", f"lo{i}", f"hi{i}")]
-        return frame.select(*keep, *[make(i).alias(f"g{i}") for i in idx])
-
-    def parts(i: int):
-        nb = F.lit(specs[names[i]].bins)
-        return F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"g{i}"), nb
-
-    def estimate(i: int) -> Column:
-        bins = specs[names[i]].bins
-        v, lo, hi = F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
-        g = F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int")
-        return F.when(g >= bins, F.lit(bins - 1)).otherwise(g)  # NULL stays NULL
-
-    def down(i: int) -> Column:
-        v, lo, hi, g, nb = parts(i)
-        return F.when(v < _edge(g, lo, hi, nb), g - 1).otherwise(g)
-
-    def up(i: int) -> Column:
-        v, lo, hi, g, nb = parts(i)
-        return F.when((g != nb - 1) & (v >= _edge(g + 1, lo, hi, nb)), g + 1).otherwise(g)
-
-    binned = step(step(step(vals.crossJoin(F.broadcast(rng)), estimate), down), up)
-    pairs = binned.select(
-        F.explode(F.array(*[F.struct(F.lit(names[i]).alias("name"), F.col(f"g{i}").alias("bin"))
-                            for i in idx])).alias("p")
-    ).select("p.name", "p.bin")
-    counts = (pairs.filter(F.col("bin").isNotNull())
-              .groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n")))
-
-    # every bin of every histogram, so empty bins show 0 (sum(bins) rows)
-    per_hist = rng.select(
-        F.explode(F.array(*[
-            F.struct(F.lit(names[i]).alias("name"), F.col(f"lo{i}").alias("lo"),
-                     F.col(f"hi{i}").alias("hi"), F.lit(specs[names[i]].bins).alias("bins"))
-            for i in idx
-        ])).alias("h")
-    ).select("h.*")
-    all_bins = per_hist.select(
-        "name", "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
+        entries.append(F.struct(F.lit(i).alias("hid"), F.lit(names[i]).alias("name"),
+                                lo.alias("lo"), hi.alias("hi"),
+                                F.lit(specs[names[i]].bins).alias("bins")))
+    ranges = mm.select(F.explode(F.array(*entries)).alias("h")).select("h.*")
+
+    # pass 2: unpivot the in-range values to (hid, v) -- the position in the
+    # value array is the histogram id -- look the range up by id, and bin:
+    # estimate floor((v - lo) * (bins / (hi - lo))), then correct by one
+    # against the actual edges. Each step is its own projection, so every
+    # intermediate is computed once per row.
+    long = vals.select(F.posexplode(F.array(*[f"v{i}" for i in idx])).alias("hid", "v")).filter(
+        F.col("v").isNotNull())
+    v, lo, hi, nb, g = F.col("v"), F.col("lo"), F.col("hi"), F.col("bins"), F.col("g")
+    keep = ["hid", "v", "lo", "hi", "bins"]
+    est = long.join(F.broadcast(ranges.drop("name")), "hid").select(
+        *keep, F.floor((v - lo) * (nb.cast("double") / (hi - lo))).cast("int").alias("g"))
+    est = est.select(*keep, F.when(g >= nb, nb - 1).otherwise(g).alias("g"))
+    down = est.select(*keep, F.when(v < _edge(g, lo, hi, nb), g - 1).otherwise(g).alias("g"))
+    binned = down.select(
+        "hid",
+        F.when((g != nb - 1) & (v >= _edge(g + 1, lo, hi, nb)), g + 1).otherwise(g).alias("bin"),
+    )
+    counts = binned.groupBy("hid", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+    # every bin of every histogram with n = 0, plus the counts, summed per
+    # bin: empty bins show 0. A union rather than a join, so no predicate on
+    # the bin is inferred and pushed back into the per-row binning. Both
+    # sides hold at most sum(bins) rows.
+    zeros = ranges.select(
+        "hid", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"),
+        F.lit(0).cast("long").alias("n"),
     )
-    j, lo, hi, nb = F.col("bin"), F.col("lo"), F.col("hi"), F.col("bins")
+    per_bin = counts.unionByName(zeros).groupBy("hid", "bin").agg(F.sum("n").alias("n"))
+    j = F.col("bin")
     return (
-        all_bins.join(F.broadcast(counts), ["name", "bin"], "left")
+        per_bin.join(F.broadcast(ranges), "hid")
         .select(
             "name",
             j,
             _edge(j, lo, hi, nb).alias("bin_lo"),
             _edge(j + 1, lo, hi, nb).alias("bin_hi"),
-            F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
+            "n",
         )
         .withColumn("label", F.when(F.col("n") > 0, F.col("n").cast("string")))
     )
