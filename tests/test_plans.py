@@ -66,3 +66,15 @@ def test_bucketed_roles_skip_shuffles(spark, no_broadcast):
     assert len(exchanges) == 3, exchanges
     assert not any(e.startswith(("k_", "cv_", "sl_")) for e in exchanges)
     assert sorted(b.summary().collect()) == sorted(a.summary().collect())
+
+
+def test_no_cross_products_in_headline_plans(spark):
+    from stocklens.operators import compare, rollups
+
+    a = Analysis.from_tables(spark, SF001)
+    for df in (a.summary(), a.histograms(), rollups.scorecard(a.comparison),
+               rollups.sums_card(a.comparison), a.scenario_pair(),
+               compare.unmatched(a.roles, a.snapshot), a.classified):
+        plan = _plan(df)
+        assert "CartesianProduct" not in plan
+        assert "BroadcastNestedLoopJoin" not in plan
