@@ -71,8 +71,8 @@ def _edge(j: Column, lo: Column, hi: Column, bins: Column) -> Column:
 
 def _outer_edges(vmin: Column, vmax: Column) -> tuple[Column, Column]:
     """Histogram range from the data: [0, 1] when empty, +-0.5 around one value."""
-    lo = (F.when(vmin.isNull(), F.lit(0.0)).when(vmin == vmax, vmin - 0.5).otherwise(vmin))
-    hi = (F.when(vmax.isNull(), F.lit(1.0)).when(vmin == vmax, vmax + 0.5).otherwise(vmax))
+    lo = F.when(vmin.isNull(), F.lit(0.0)).when(vmin == vmax, vmin - 0.5).otherwise(vmin)
+    hi = F.when(vmax.isNull(), F.lit(1.0)).when(vmin == vmax, vmax + 0.5).otherwise(vmax)
     return lo, hi
 
 
