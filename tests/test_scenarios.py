@@ -26,7 +26,7 @@ def test_pair_uses_on_hand_units(a):
     assert r["first_safety_stock_units"] == src["Avg_On_HandUnits"]
 
 
-def test_top10_is_key_ordered(a):
+def test_first_ten_are_key_ordered(a):
     rows = scenarios.first_rows(a.scenario_pair(), 10, "product_id", "location_id").collect()
     keys = [(r["product_id"], r["location_id"]) for r in rows]
     assert len(rows) == 10 and keys == sorted(keys)
