@@ -62,8 +62,16 @@ class Roles:
         for name, schema_fn in ROLE_SCHEMAS.items():
             if name == "candidate2" and not with_candidate2:
                 continue
-            df = spark.read.schema(schema_fn()).parquet(f"{path}/{name}")
-            out[name] = df.select(*schema_fn().fieldNames())  # declared column order
+            declared = schema_fn()
+            # a declared schema makes Spark fill absent columns with NULL,
+            # which this analysis would read as "missing value": check first
+            # (file footers and folder names only, no data is read)
+            found = set(spark.read.parquet(f"{path}/{name}").columns)
+            missing = [c for c in declared.fieldNames() if c not in found]
+            if missing:
+                raise ValueError(f"{path}/{name}: missing columns {missing}")
+            df = spark.read.schema(declared).parquet(f"{path}/{name}")
+            out[name] = df.select(*declared.fieldNames())  # declared column order
         return Roles(**out)
 
     def save_tables(self, prefix: str, buckets: int | None = None) -> list[str]:

@@ -127,3 +127,15 @@ def test_conform_maps_other_column_names(spark):
     back = Roles(renamed, r.baseline, r.factor, r.cov, r.service).conform(candidate=custom)
     assert back.candidate.columns == r.candidate.columns
     assert sorted(back.candidate.collect()) == sorted(r.candidate.collect())
+
+
+def test_roles_read_refuses_missing_columns(spark, tmp_path):
+    import pytest as _pytest
+
+    from edge import Case, roles as make_roles
+
+    r = make_roles(spark, [Case("A")])
+    r = Roles(r.candidate.drop("Daily_DemandDirect"), r.baseline, r.factor, r.cov, r.service)
+    r.write(str(tmp_path / "roles"))
+    with _pytest.raises(ValueError, match="Daily_DemandDirect"):
+        Roles.read(spark, str(tmp_path / "roles"), with_candidate2=False)
