@@ -35,6 +35,9 @@ class Analysis:
     segment: str = fixture.SEGMENT
     thresholds: rules.Thresholds = field(default_factory=rules.Thresholds)
 
+    def __post_init__(self):
+        self.roles.validate()  # schema metadata only; fails before any job
+
     @staticmethod
     def from_tables(spark: SparkSession, sf_dir: str, stage: bool = True) -> "Analysis":
         """Roles derived from the driver tables in ``sf_dir``.

@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stocklens import schema as S
 
@@ -139,6 +140,32 @@ class Roles:
             ])
         return Roles(**out)
 
+    def validate(self) -> "Roles":
+        """Check every role against its declared schema (metadata only).
+
+        Each declared column must exist. Measures must be numeric; the
+        snapshot must be a date or timestamp. Keys may be of any type
+        (they are compared as text). Raises ``ValueError`` naming what is
+        wrong, before any job runs.
+        """
+        problems = []
+        for name, df in self.items():
+            have = {f.name: f.dataType for f in df.schema.fields}
+            for f in ROLE_SCHEMAS[name]().fields:
+                if f.name not in have:
+                    problems.append(f"{name}.{f.name}: missing")
+                    continue
+                got = have[f.name]
+                if isinstance(f.dataType, T.DoubleType) and not isinstance(got, T.NumericType):
+                    problems.append(f"{name}.{f.name}: {got.simpleString()} is not numeric")
+                if isinstance(f.dataType, T.DateType) and not isinstance(
+                    got, (T.DateType, T.TimestampType, T.TimestampNTZType)
+                ):
+                    problems.append(f"{name}.{f.name}: {got.simpleString()} is not a date")
+        if problems:
+            raise ValueError("role tables do not match their schemas: " + "; ".join(problems))
+        return self
+
     def with_candidate(self, df: DataFrame) -> "Roles":
         return replace(self, candidate=df)
 

@@ -139,3 +139,22 @@ def test_roles_read_refuses_missing_columns(spark, tmp_path):
     r.write(str(tmp_path / "roles"))
     with _pytest.raises(ValueError, match="Daily_DemandDirect"):
         Roles.read(spark, str(tmp_path / "roles"), with_candidate2=False)
+
+
+def test_validate_names_what_is_wrong(spark):
+    import pytest as _pytest
+
+    from edge import Case, roles as make_roles
+    from stocklens import Analysis
+
+    r = make_roles(spark, [Case("A")])
+    bad = Roles(r.candidate.withColumn("Safety_StockUnits", r.candidate["PartName"]),
+                r.baseline.drop("CFR"), r.factor, r.cov, r.service)
+    with _pytest.raises(ValueError) as err:
+        Analysis(bad)
+    assert "candidate.Safety_StockUnits: string is not numeric" in str(err.value)
+    assert "baseline.CFR: missing" in str(err.value)
+    # integer measures and numeric keys are fine
+    ok = Roles(r.candidate.withColumn("Safety_StockUnits", r.candidate["Safety_StockUnits"]
+                                      .cast("bigint")), r.baseline, r.factor, r.cov, r.service)
+    Analysis(ok)
