@@ -10,10 +10,13 @@ The single-row results are global aggregates; the class rollup has at most
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions.arith import share_pct
+from stocklens.functions.memo import per_application
 from stocklens.operators import populations as P
 from stocklens.schema import BUCKET_NAMES
 
@@ -25,7 +28,8 @@ def count_rows(df: DataFrame, alias: str = N) -> DataFrame:
 
 
 # --- the 24 counts over the comparison (C2-C25) ------------------------------
-# key -> (population, extra predicate or None)
+# key -> (population, extra predicate or None); the extra predicate is built
+# lazily so that asking for one count builds one predicate.
 
 _pop = P.predicate
 
@@ -34,51 +38,44 @@ def _within(col: str, limit: float = 20.0) -> Column:
     return F.col(col).between(-limit, limit)
 
 
-def _counts() -> dict[str, tuple[str, Column | None]]:
-    c = F.col
-    return {
-        "count_comparison": ("all", None),
-        "count_has_final": ("all", c("final_su").isNotNull()),
-        "count_existing": ("existing", None),
-        "count_within20": ("final_units", _within("final_su_diff")),
-        "count_lower": ("final_units", c("final_su_diff") < 0),
-        "count_nonzero": ("nonzero", None),
-        "count_nonzero_within20": ("nonzero", _within("final_su_diff")),
-        "count_cycle_within20": ("final_units", _within("final_su_cycle_diff")),
-        "count_nonzero_cycle_within20": ("nonzero", _within("final_su_cycle_diff")),
-        "count_nonzero_cycle_higher": ("nonzero", c("final_su_cycle_diff") > 0),
-        "count_nonzero_higher": ("nonzero", c("final_su_diff") > 0),
-        "reco_cand_nz": ("reco", c("cand_units") != 0),
-        "reco_z_nz": ("reco", (c("cand_su") == 0) & (c("reco_su") != 0)),
-        "reco_z_z": ("reco", (c("cand_su") == 0) & (c("reco_su") == 0)),
-        "reco_nz_z": ("reco", (c("cand_units") != 0) & (c("reco_units") == 0)),
-        "reco_nz_nz": ("reco", (c("cand_units") != 0) & (c("reco_units") != 0)),
-        "count_final": ("final_units", None),
-        "count_final_su_nz": ("final_units", c("cand_su") != 0),
-        "final_cand_nz": ("final_units", c("cand_units") != 0),
-        "final_z_nz": ("final_units", (c("cand_units") == 0) & (c("final_units") != 0)),
-        "final_z_z": ("final_units", (c("cand_units") == 0) & (c("final_units") == 0)),
-        "final_nz_z": ("final_units", (c("cand_units") != 0) & (c("final_units") == 0)),
-        "final_nz_nz": ("final_units", (c("cand_units") != 0) & (c("final_units") != 0)),
-        "count_final_su": ("final_su", None),
-    }
-
-
-# Keys of ``_counts`` in order (Columns need a live session, names do not).
-COUNT_KEYS = (
-    "count_comparison", "count_has_final", "count_existing", "count_within20", "count_lower",
-    "count_nonzero", "count_nonzero_within20", "count_cycle_within20",
-    "count_nonzero_cycle_within20", "count_nonzero_cycle_higher", "count_nonzero_higher",
-    "reco_cand_nz", "reco_z_nz", "reco_z_z", "reco_nz_z", "reco_nz_nz", "count_final",
-    "count_final_su_nz", "final_cand_nz", "final_z_nz", "final_z_z", "final_nz_z",
-    "final_nz_nz", "count_final_su",
-)
-
-
+def _c(name: str) -> Column:
+    return F.col(name)
+
+
+_COUNT_SPECS: dict[str, tuple[str, Callable[[], Column] | None]] = {
+    "count_comparison": ("all", None),
+    "count_has_final": ("all", lambda: _c("final_su").isNotNull()),
+    "count_existing": ("existing", None),
+    "count_within20": ("final_units", lambda: _within("final_su_diff")),
+    "count_lower": ("final_units", lambda: _c("final_su_diff") < 0),
+    "count_nonzero": ("nonzero", None),
+    "count_nonzero_within20": ("nonzero", lambda: _within("final_su_diff")),
+    "count_cycle_within20": ("final_units", lambda: _within("final_su_cycle_diff")),
+    "count_nonzero_cycle_within20": ("nonzero", lambda: _within("final_su_cycle_diff")),
+    "count_nonzero_cycle_higher": ("nonzero", lambda: _c("final_su_cycle_diff") > 0),
+    "count_nonzero_higher": ("nonzero", lambda: _c("final_su_diff") > 0),
+    "reco_cand_nz": ("reco", lambda: _c("cand_units") != 0),
+    "reco_z_nz": ("reco", lambda: (_c("cand_su") == 0) & (_c("reco_su") != 0)),
+    "reco_z_z": ("reco", lambda: (_c("cand_su") == 0) & (_c("reco_su") == 0)),
+    "reco_nz_z": ("reco", lambda: (_c("cand_units") != 0) & (_c("reco_units") == 0)),
+    "reco_nz_nz": ("reco", lambda: (_c("cand_units") != 0) & (_c("reco_units") != 0)),
+    "count_final": ("final_units", None),
+    "count_final_su_nz": ("final_units", lambda: _c("cand_su") != 0),
+    "final_cand_nz": ("final_units", lambda: _c("cand_units") != 0),
+    "final_z_nz": ("final_units", lambda: (_c("cand_units") == 0) & (_c("final_units") != 0)),
+    "final_z_z": ("final_units", lambda: (_c("cand_units") == 0) & (_c("final_units") == 0)),
+    "final_nz_z": ("final_units", lambda: (_c("cand_units") != 0) & (_c("final_units") == 0)),
+    "final_nz_nz": ("final_units", lambda: (_c("cand_units") != 0) & (_c("final_units") != 0)),
+    "count_final_su": ("final_su", None),
+}
+COUNT_KEYS = tuple(_COUNT_SPECS)
+
+
+@per_application
 def _predicate(key: str) -> Column:
-    pop, extra = _counts()[key]
+    pop, extra = _COUNT_SPECS[key]
     pred = _pop(pop)
-    return pred if extra is None else pred & extra
+    return pred if extra is None else pred & extra()
 
 
 def count(cmp: DataFrame, key: str) -> DataFrame:
