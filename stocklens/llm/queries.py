@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.llm import exact_dedup, mixing, quality_rules, url_filter
+from stocklens.llm import exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, url_filter
 from stocklens.llm.native import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality_rules.query(documents(spark, d)),
     "op2_exact_dedup": lambda spark, d: exact_dedup.groups(documents(spark, d)),
+    "op4_quality_classifier": lambda spark, d: quality_classifier.query(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op6_language_id": lambda spark, d: language_id.query(documents(spark, d)),
     "op7_mixing": lambda spark, d: mixing.query(documents(spark, d)),
+    "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op10_url_filter": lambda spark, d: url_filter.judge(pages(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op10_url_filter": url_filter.ORACLE_SQL,
 }
