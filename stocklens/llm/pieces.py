@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 DROPOUT = 0.1
 VARIANTS = 2
-KEPT_UNITS = 200_000  # per variant, and as many from the turn before
+KEPT_UNITS = 100_000  # per variant, and as many from the turn before
 SHORT = 48
 
 _MARK = "▁"

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.llm import exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, url_filter, warc
+from stocklens.llm import exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter, warc
 from stocklens.llm.native import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality_rules.query(documents(spark, d)),
     "op2_exact_dedup": lambda spark, d: exact_dedup.groups(documents(spark, d)),
+    "op3_substring_dedup": lambda spark, d: substring_dedup.query(documents(spark, d)),
     "op4_quality_classifier": lambda spark, d: quality_classifier.query(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op5_warc": lambda spark, d: warc.query(pages(spark, d)),
     "op6_language_id": lambda spark, d: language_id.query(documents(spark, d)),
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }
