@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.llm import exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter, warc
+from stocklens.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter, warc
 from stocklens.llm.native import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,12 +17,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": lambda spark, d: warc.query(pages(spark, d)),
     "op6_language_id": lambda spark, d: language_id.query(documents(spark, d)),
     "op7_mixing": lambda spark, d: mixing.query(documents(spark, d)),
+    "op8_jaccard_join": lambda spark, d: jaccard_join.query(documents(spark, d)),
     "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op10_url_filter": lambda spark, d: url_filter.judge(pages(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_jaccard_join": lambda spark, d: jaccard_join.query(documents(spark, d)),
     "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
