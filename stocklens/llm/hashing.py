@@ -92,8 +92,8 @@ def _partial(keys: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slice": slices[starts].astype(np.int32), "cells": [low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
 
 
-def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """Count-min sketch, counts kept up to two: a boolean per cell, whether it was counted twice.
+def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: int = 2) -> np.ndarray:
+    """Count-min sketch, counts kept up to two: a bit per cell, whether it was counted ``least`` times (2 or 1).
 
     ``keys_of`` gives arrays of 64-bit keys from a batch. Each task sends its cells by slice; slices are
     merged where they meet, a batch at a time, in a fixed array. The result has a fixed size (16 MB).
@@ -120,7 +120,7 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
                 at, more = cells & np.uint32((1 << SLICE_BITS) - 1), (cells >> np.uint32(31)).astype(np.uint8)
                 into[at] = np.minimum(into[at] + 1 + more, 2)  # a partial sketch has a cell once
         for k, v in counts.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "cells": [np.packbits(v > 1).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "cells": [np.packbits(v >= least).tobytes()]})
 
     schema = "slice int, cells binary"
     merged = rows.mapInArrow(sketch, schema).repartition("slice").mapInArrow(merge, schema).collect()
@@ -131,7 +131,7 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
 
 
 def maybe_twice(sketch: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may have been counted twice: never wrong where it was."""
+    """Whether each key may have been counted as often as the sketch asks: always true where it was."""
     cells = _cells(keys)
     hit = (sketch[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
     return (hit[: len(keys)] & hit[len(keys) :]).astype(bool)

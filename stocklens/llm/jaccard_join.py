@@ -172,8 +172,24 @@ def _near(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """sid, text of the nodes in ``pairs``. A bitmap of their texts' keys thins the documents before they are joined."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = materialize(nodes.join(wanted, "sid").select("sid", F.coalesce("rep", F.lit(_LAST)).alias("r"), F.col("key").alias("k")), "wanted-nodes")
+    bitmap = hashing.seen_twice(wanted.select("k"), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(hashing.maybe_twice(bitmap, np.asarray(b.column(1)).astype(np.uint64))))
+
+    few = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("r"), F.col("key").alias("k"), "text").mapInArrow(run, "r long, k long, text string")
+    return materialize(few.join(wanted, ["r", "k"]).select("sid", "text").dropDuplicates(["sid"]), "node-texts")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
+    pairs = materialize(pairs, "node-pairs")
+    texts = _texts_of(pairs, nodes, docs)
     both = pairs.join(texts.withColumnsRenamed({"sid": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"sid": "a", "text": "ta"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,18 +203,19 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= THRESHOLD * (len(own) + len(other) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "node-links")
 
 
 def _hub_pairs(postings: DataFrame) -> DataFrame:
-    """Each node with one hub: of the hubs of its entries, the one it shares most with."""
+    """Each node with one hub: of the hubs of its entries the one it shares most with, if it shares as many as its level asks for."""
     size = F.floor(F.log(F.col("n")) * 4)
     p = postings.withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
     hubs = p.groupBy("token", "size").agg(
         F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.min("sid").alias("lo"), F.max("sid").alias("hi")
     )
     met = p.join(hubs.filter("lo < hi").drop("lo", "hi"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m"))
-    most = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("k")).groupBy("sid").agg(F.max_by("hub", "k").alias("hub"))
+    most = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("level").alias("level"))
+    most = most.filter("k >= level").groupBy("sid").agg(F.max_by("hub", "k").alias("hub"))
     return most.select(F.col("sid").alias("b"), F.col("hub").alias("a"))
 
 
@@ -226,11 +243,8 @@ def join(docs: DataFrame) -> DataFrame:
     )
     nodes = materialize(nodes, "shingle-nodes")
     postings = materialize(_postings(nodes), "shingle-postings")
-    wanted = nodes.join(postings.select("sid").distinct(), "sid").select("sid", F.coalesce("rep", F.lit(_LAST)).alias("r"), F.col("key").alias("k"))
-    texts = d.join(wanted, (order == F.col("r")) & (F.col("key") == F.col("k"))).select("sid", "text").dropDuplicates(["sid"])
-    texts = materialize(texts, "node-texts")
-    links = materialize(_linked(_hub_pairs(postings), texts), "node-links")
-    more = materialize(_linked(_open_pairs(postings, components(links)), texts), "node-links")
+    links = _linked(_hub_pairs(postings), nodes, d)
+    more = _linked(_open_pairs(postings, components(links)), nodes, d)
     roots = components(links.union(more)).withColumnRenamed("node", "sid")
     rooted = materialize(nodes.select(*_SET, "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-nodes")
     ids = rooted.groupBy("root").agg(F.min("rep").alias("component"))
