@@ -147,7 +147,7 @@ def _prefix_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """sid, n, level, alone, token, at: the prefix entries that another node may have too."""
+    """sid, n, level, alone, token, pos: the prefix entries that another node may have too, with their place in the node's order."""
     sketch = hashing.seen_twice(nodes.select("prefix"), _prefix_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +156,13 @@ def _postings(nodes: DataFrame) -> DataFrame:
             for sid, n, level, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 tokens = np.asarray(tokens.values).astype(np.uint64)
                 shared = np.flatnonzero(hashing.maybe_twice(sketch, tokens))
-                # the level at which an entry comes into the prefix
-                at = np.maximum(1, shared - (n - need(n)) + 1)
-                out += [(sid, n, level, len(tokens) - len(shared), int(t), int(k)) for t, k in zip(tokens[shared].astype(np.int64), at, strict=True)]
+                out += [(sid, n, level, len(tokens) - len(shared), t, k) for t, k in zip(tokens[shared].astype(np.int64).tolist(), shared.tolist(), strict=True)]
             if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "level", "alone", "token", "at"])
+                yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "level", "alone", "token", "pos"])
 
-    return nodes.select("sid", "n", "level", "prefix").mapInArrow(run, "sid long, n long, level int, alone int, token long, at int")
+    return nodes.select("sid", "n", "level", "prefix").mapInArrow(run, "sid long, n long, level int, alone int, token long, pos int")
 
 
 def _near(a: str, b: str):
@@ -220,17 +218,26 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) across components that share as many prefix entries as the larger node's level asks for."""
+    """All pairs (a, b) across components that share as many prefix entries as the larger node's level asks for.
+
+    Of either node's entries up to the last shared one, those not shared are not in the other's set at all; a pair
+    with more of them than the similarity allows is left out without being compared.
+    """
     p = postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    p = materialize(p.drop("alone"), "rooted-postings")
+    # at: the level with which an entry comes into the prefix
+    p = materialize(p.drop("alone").withColumn("at", F.expr(f"greatest(1, pos + 1 - n + ({THRESHOLD} * n + 99) div 100)")), "rooted-postings")
     mixed = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     p = p.join(mixed, "token")
     x, y = p.alias("x"), p.alias("y")
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") > F.col("y.sid")))
     fits = larger & _near("x.n", "y.n") & (F.col("x.root") != F.col("y.root")) & (F.greatest("x.at", "y.at") <= F.col("x.level"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits)
-    pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("x.level").alias("level"))
-    return pairs.filter("k >= level").select("a", "b")
+    pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(
+        F.count(F.lit(1)).alias("k"), F.max("x.level").alias("level"), F.max(F.col("x.n") + F.col("y.n")).alias("both"), (F.max("x.pos") + F.max("y.pos") + 2).alias("seen")
+    )
+    # similar sets of `both` shingles share at least both * t / (100 + t) of them
+    spare = F.expr(f"both - 2 * (({THRESHOLD} * both + {99 + THRESHOLD}) div {100 + THRESHOLD})")
+    return pairs.filter((F.col("k") >= F.col("level")) & (F.col("seen") - 2 * F.col("k") <= spare)).select("a", "b")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -259,13 +266,30 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each component the row whose id names it, and every row without shingles."""
+    """The rows of ``docs`` that stay, with their columns: of each component the row whose id names it, and every row without shingles.
+
+    Few rows go. A bitmap of their keys lets all others pass where they are read; only rows that it holds are joined.
+    """
     rows = join(docs)
     first = F.row_number().over(Window.partitionBy("root").orderBy("key", "sid"))
-    own = rows.filter((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("place", first).filter("place = 1")
-    stay = own.select("doc_id", "key", "n").union(rows.filter("n = 0").select("doc_id", "key", "n").distinct())
+    named = rows.filter((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = named.withColumn("place", first).filter("place = 1").select(F.col("doc_id").alias("i"), F.col("key").alias("j"))
+    every = rows.filter("n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    judged = every.join(stay, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("j")), "left")
+    special = materialize(judged.filter("j is null or rows > 1").select("doc_id", "key", F.col("j").isNotNull().alias("stays")), "rows-that-go")
+    bitmap = hashing.seen_twice(special.select(F.xxhash64("doc_id", "key")), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1)
+
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    packed = packed.withColumns({"d": F.col("row.doc_id").cast("long"), "k": F.xxhash64("row.text")})
-    met = packed.join(stay, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")))
+    packed = packed.withColumns({"d": F.col("row.doc_id").cast("long"), "k": F.xxhash64("row.text")}).withColumn("x", F.xxhash64("d", "k"))
+
+    def held(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(hashing.maybe_twice(bitmap, np.asarray(b.column(3)).astype(np.uint64)) == wanted))
+
+        return packed.mapInArrow(run, packed.schema)
+
+    met = held(True).join(special, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")), "left")
     twin = F.row_number().over(Window.partitionBy("d", "k").orderBy(F.lit(0)))
-    return met.withColumn("twin", F.when(F.col("n") == 0, 1).otherwise(twin)).filter("twin = 1").select("row.*")
+    kept = met.withColumn("twin", twin).filter(F.col("stays").isNull() | (F.col("stays") & (F.col("twin") == 1)))
+    return held(False).select("row").union(kept.select("row")).select("row.*")
