@@ -86,13 +86,8 @@ def _copies_by_class(sizes: DataFrame) -> DataFrame:
     return rows.select("source", F.col("z.classes.size").alias("size"), F.col("z.classes.n").alias("n"), F.col("z.copies").alias("copies"), "source_size", "target")
 
 
-def take(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``), size, source_size, target, copies of every document."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return _take(packed.withColumn("size", F.size(native.words(F.col("row.text")))))
-
-
 def _take(packed: DataFrame) -> DataFrame:
+    """``row``, size, source_size, target, copies of every ``row`` (doc_id, source and what identifies it) with its size."""
     h = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
     sized = packed.select(
         "row", F.col("row.source").alias("source"), F.col("size").cast("long").alias("size"), h.alias("h"), F.substring(h, 1, BIN_DIGITS).alias("bin")
@@ -120,5 +115,17 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix: each row of ``docs`` as often as it is taken."""
-    return take(docs).filter("copies > 0").select("row", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("row.*")
+    """The mix: each row of ``docs`` as often as it is taken.
+
+    Copies are worked out without texts and joined to the rows by id and a hash of text and source;
+    rows that are alike in these share their copies.
+    """
+    key = lambda p: F.xxhash64(F.col(f"{p}text"), F.col(f"{p}source"))
+    taken = _take(docs.select(F.struct("doc_id", "source", key("").alias("key")).alias("row"), F.size(native.words(F.col("text"))).alias("size")))
+    shared = taken.groupBy(F.col("row.doc_id").alias("i"), F.col("row.key").alias("j")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumns({"d": F.col("row.doc_id"), "k": key("row.")})
+    met = packed.join(shared.filter("copies > 0"), F.col("d").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j")))
+    place = F.row_number().over(Window.partitionBy("d", "k").orderBy(F.lit(0)))
+    own = F.expr("copies div alike") + F.when(F.col("place") <= F.expr("copies % alike"), 1).otherwise(0)
+    met = met.withColumn("place", place).withColumn("own", own.cast("int")).filter("own > 0")
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("own")))).select("row.*")

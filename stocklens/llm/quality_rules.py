@@ -148,13 +148,6 @@ def _flat(x) -> tuple:
     return x if isinstance(x, tuple) else (x,)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``row``, the base figures, ``base_failed``, ``p_good`` and ``kept`` of every document."""
-    feats = materialize(features(docs), "quality-features")
-    p = posterior(fit(feats))
-    return feats.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP)).drop(*RULES)
-
-
 def query(docs: DataFrame) -> DataFrame:
     """op1: one row per document. Only the id and the text are read."""
     narrow = docs.select("doc_id", "text")
@@ -166,5 +159,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    return judge(docs).filter("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with their columns. Votes are written for EM and made anew beside the texts: no copy of those."""
+    model = fit(materialize(features(docs).drop("row"), "quality-features"))
+    kept = ~F.col("base_failed") & (posterior(model) >= KEEP)
+    # The id keeps the optimizer from pushing the filter through the features' projections, whose expressions it would repeat many times.
+    judged = features(docs).select("row", kept.alias("kept"), F.monotonically_increasing_id().alias("at"))
+    return judged.filter(F.col("kept") & (F.col("at") >= 0)).select("row.*")
