@@ -27,7 +27,6 @@ transition types -- so that each LEFT-join and NULL rule is exercised.
 from __future__ import annotations
 
 import datetime as dt
-import os
 import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -220,31 +219,28 @@ def fixture_roles(spark: SparkSession, sf_dir: str, pr: DataFrame | None = None)
 # Staging writes ``pair`` once per source folder as parquet under the shared
 # checkpoint folder (the lineage cut; the source analysis likewise saved its
 # inputs as tables) and the roles become cheap projections of that file. The
-# key includes the source files' sizes and modification times, so changed
-# inputs are staged again.
+# key is made of the files behind the source tables -- path, size and time of
+# change, as Spark lists them, whatever the file system or form of path -- so
+# changed inputs, also a part file rewritten in place, are staged again.
+# ``cleanup`` deletes what was staged.
 
 _STAGED: dict[tuple, str] = {}
 _STAGE_LOCK = threading.Lock()
 
 
-def _signature(sf_dir: str) -> tuple:
-    """Sizes and mtimes of local source files (remote folders: path only)."""
-    sig = []
-    for name in ("lineitem", "supplier", "part"):
-        p = f"{sf_dir}/{name}.parquet"
-        try:
-            st = os.stat(p)
-            sig.append((name, st.st_size, st.st_mtime_ns))
-        except OSError:
-            sig.append((name, None, None))
-    return tuple(sig)
+def _signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files, bytes and a digest of paths, sizes and times of the source tables; one row, however many files."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "supplier", "part")]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").cast("double").alias("t"))
+    digest = F.sum(F.xxhash64("path", "length", "t").cast("decimal(38,0)"))
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), digest).first())
 
 
 def staged_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair`` for ``sf_dir``, computed and written once, then read back."""
     from stocklens.session import app_id, scratch_path
 
-    key = (app_id(spark), os.path.abspath(sf_dir), _signature(sf_dir))
+    key = (app_id(spark), sf_dir, _signature(spark, sf_dir))
     with _STAGE_LOCK:
         path = _STAGED.get(key)
         if path is None:
@@ -254,6 +250,18 @@ def staged_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Delete this application's staged tables; the number of them."""
+    from stocklens.session import app_id
+
+    with _STAGE_LOCK:
+        mine = [k for k in _STAGED if k[0] == app_id(spark)]
+        for k in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop(k))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(mine)
+
+
 def staged_roles(spark: SparkSession, sf_dir: str) -> Roles:
     """Role tables over the staged ``pair`` of ``sf_dir``."""
     return fixture_roles(spark, sf_dir, staged_pair(spark, sf_dir))
