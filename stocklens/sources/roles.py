@@ -20,6 +20,12 @@ ROLE_SCHEMAS = {
 }
 
 
+def _declared(name: str, df: DataFrame) -> DataFrame:
+    """``df`` with its declared columns cast to their declared types: what ``validate`` accepts, ``read`` must find."""
+    types = {f.name: f.dataType for f in ROLE_SCHEMAS[name]().fields}
+    return df.select(*[df[f"`{c}`"].cast(types[c]).alias(c) if c in types else df[f"`{c}`"] for c in df.columns])
+
+
 @dataclass(frozen=True)
 class Roles:
     """Role tables in their export column names (see ``schema``).
@@ -51,7 +57,7 @@ class Roles:
         (only the chosen day's folder is listed and read).
         """
         for name, df in self.items():
-            writer = df.write.mode("overwrite")
+            writer = _declared(name, df).write.mode("overwrite")
             if name == "baseline":
                 writer = writer.partitionBy(S.BaselineCols().snapshot)
             writer.parquet(f"{path}/{name}")
@@ -89,7 +95,7 @@ class Roles:
         names = []
         for name, df in self.items():
             keys = _site_keys(name)
-            writer = df.write.mode("overwrite").format("parquet")
+            writer = _declared(name, df).write.mode("overwrite").format("parquet")
             if name == "baseline":
                 writer = writer.partitionBy(S.BaselineCols().snapshot)
             if buckets and keys:

@@ -1,0 +1,22 @@
+"""Every column type that validation accepts comes back from a write in its declared type."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from stocklens import Roles
+from stocklens.sources import fixture
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "decimal(18,4)", "float"])
+def test_round_trip(spark, tmp_path, kind):
+    r = fixture.fixture_roles(spark, "/root/testdata/sf0.001")
+    units, factor = F.col("Safety_StockUnits").cast(kind), F.col("converter_factor").cast(kind)
+    base = r.baseline.limit(20).withColumn("KEYFIGUREDATE", F.col("KEYFIGUREDATE").cast("timestamp"))
+    odd = Roles(r.candidate.limit(20).withColumn("Safety_StockUnits", units), base, r.factor.withColumn("converter_factor", factor), r.cov.limit(20), r.service.limit(20))
+    odd.write(str(tmp_path))
+    back = Roles.read(spark, str(tmp_path), with_candidate2=False)
+    assert dict(back.candidate.dtypes)["Safety_StockUnits"] == "double" and back.candidate.count() == 20
+    assert dict(back.factor.dtypes)["converter_factor"] == "double" and back.factor.count() == r.factor.count()
+    assert dict(back.baseline.dtypes)["KEYFIGUREDATE"] == "date" and back.baseline.count() == 20
