@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("jaccard_join", near), ("mixing", mix), ("pieces", encode)]
 
-#: EM, the sketches' order and the piece model are not SQL; tests hold run() against a brute-force version.
+#: EM and the piece model are not SQL. tests/llm holds each stage function against brute force on its own; run() as a whole has no such test yet.
 ORACLE_SQL = None
 
 
