@@ -12,22 +12,16 @@ from pyspark.sql import functions as F
 
 from stocklens import schema as S
 
-# (output name, side, candidate attribute). The "safety stock units" columns
-# are filled from the average on-hand units, as the analysis defines them.
-PAIR_COLUMNS = [
-    ("product_id", "one", "product"),
-    ("location_id", "one", "location"),
-    ("first_weekly_cov", "one", "weekly_cov"),
-    ("first_lt_cov", "one", "lt_cov"),
-    ("first_target_service_level", "one", "target_service"),
-    ("first_safety_stock_units", "one", "avg_on_hand"),
-    ("second_weekly_cov", "two", "weekly_cov"),
-    ("second_lt_cov", "two", "lt_cov"),
-    ("second_target_service_level", "two", "target_service"),
-    ("second_safety_stock_units", "two", "avg_on_hand"),
-    ("first_direct_demand", "one", "direct_demand"),
-    ("second_direct_demand", "two", "direct_demand"),
-]
+# Shown of both scenarios, as ``<name>_1`` and ``<name>_2``: output name ->
+# candidate attribute. "Stock units" are the average on-hand units, as the
+# analysis defines them.
+PAIR_SHOWN = {
+    "stock_units": "avg_on_hand",
+    "target_service": "target_service",
+    "direct_demand": "direct_demand",
+    "weekly_cov": "weekly_cov",
+    "lt_cov": "lt_cov",
+}
 
 
 def select_scenario(scenarios: dict[str, DataFrame], name: str) -> DataFrame:
@@ -55,7 +49,12 @@ def scenario_pair(
         & (F.col("one_location") == F.col("two_location")),
         "left",
     )
-    return j.select(*[F.col(f"{side}_{attr}").alias(name) for name, side, attr in PAIR_COLUMNS])
+    shown = [
+        F.col(f"{side}_{attr}").alias(f"{name}_{k}")
+        for name, attr in PAIR_SHOWN.items()
+        for k, side in enumerate(("one", "two"), 1)
+    ]
+    return j.select(F.col("one_product").alias("product"), F.col("one_location").alias("location"), *shown)
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -7,13 +7,16 @@ driver tables, on materialised role tables, or on a user's own tables.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stocklens.operators import compare, populations, rollups, scenarios
 from stocklens.plans.analysis import Analysis
+from stocklens.session import scratch_path
 from stocklens.sources import ingest
 from stocklens.sources.fixture import read_table
 
@@ -42,12 +45,37 @@ for _role in ("candidate", "baseline", "factor", "cov", "service", "candidate2")
 
 @_reg("nan_to_null")
 def _nan_to_null(a: Analysis) -> DataFrame:
-    return ingest.nan_to_null(a.roles.candidate)
+    """S3: zero CoVs and the days of one-line products come as NaN."""
+    nan = F.lit(float("nan"))
+    dirty = a.roles.candidate.withColumns({
+        "Daily_DemandLT_CoV": F.when(F.col("Daily_DemandLT_CoV") == 0, nan).otherwise(F.col("Daily_DemandLT_CoV")),
+        "Safety_StockDays": F.when(F.col("Daily_DemandDirect") == 1, nan).otherwise(F.col("Safety_StockDays")),
+    })
+    return ingest.nan_to_null(dirty)
 
 
 @_reg("normalize_headers")
 def _normalize_headers(a: Analysis) -> DataFrame:
-    return ingest.normalize_headers(a.roles.candidate)
+    """The candidate with the headers of a spreadsheet export."""
+    raw = ["Part(Name)", "Part{Site}", "Safety Stock\n(Units)", "Safety Stock\t(Days)", "Daily Demand;week CoV",
+           "Daily Demand(LT) CoV", "Target,Service Level", "Avg On Hand(Units)", "Daily Demand{Direct}",
+           "Current On Hand,(Cost);", "Cost ($)"]
+    exported = a.roles.candidate.withColumn("cost", F.col("Current_On_HandCost")).toDF(*raw)
+    return ingest.normalize_headers(exported)
+
+
+@_reg("table_round_trip")
+def _table_round_trip(a: Analysis) -> DataFrame:
+    """A table overwritten with its schema kept, then with a wider one, and read by name."""
+    name = f"stocklens_round_trip_{uuid.uuid4().hex[:12]}"
+    factor = a.roles.factor
+    ingest.write_table(factor.filter(F.lit(False)), name)
+    ingest.write_table(factor, name, allow_schema_change=False)
+    wider = ingest.read_table(factor.sparkSession, name).withColumn("note", F.concat_ws("/", "Material", "converter_factor"))
+    path = scratch_path(factor.sparkSession, "round-trip")
+    wider.write.parquet(path)
+    ingest.write_table(factor.sparkSession.read.parquet(path), name)
+    return ingest.read_table(factor.sparkSession, name)
 
 
 @_reg("scenario_select")
@@ -118,6 +146,13 @@ REGISTRY["class_codes"] = lambda a: a.classified.groupBy("code", "label").agg(
 )
 REGISTRY["summary"] = lambda a: a.summary()
 
+
+@_reg("summary_ranked")
+def _summary_ranked(a: Analysis) -> DataFrame:
+    """O1: the summary (at most 21 rows) with each row's place in its order."""
+    return a.summary().withColumn("place", F.rank().over(Window.orderBy(F.desc_nulls_last("pct_su"))))
+
+
 # --- histograms (H2-H9) -------------------------------------------------------
 for _key in ("hist_final_su", "hist_final_su_cycle", "hist_reco_su", "hist_final_days",
              "hist_reco_days", "hist_cov"):
@@ -127,15 +162,36 @@ REGISTRY["histograms_all"] = lambda a: a.histograms()
 # --- scenarios, limits (J8, P16, L1, L2) -------------------------------------
 REGISTRY["scenario_pair"] = lambda a: a.scenario_pair()
 REGISTRY["scenario_pair_top10"] = lambda a: scenarios.first_rows(
-    a.scenario_pair(), 10, "product_id", "location_id"
+    a.scenario_pair(), 10, "product", "location"
 )
 REGISTRY["preview"] = lambda a: scenarios.first_rows(a.roles.candidate, 5, "PartName", "PartSite")
 
 
 def scan_role_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 on a given table: ``part`` read through the ingest path."""
-    declared = read_table(spark, sf_dir, "part").schema
-    return ingest.scan_role(spark, f"{sf_dir}/part.parquet", declared)
+    """S1 on an export of ``part``: text cells under raw headers, with the gaps that spreadsheets leave."""
+    size = F.col("p_size")
+
+    def cell(column: str, gaps: dict[int, str]):
+        text = F.col(column).cast("string")
+        for of_size, gap in gaps.items():
+            text = F.when(size == of_size, F.lit(gap)).otherwise(text)
+        return text
+
+    export = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("Part Key"),
+        cell("p_name", {3: "#N/A", 6: "N/A", 9: ""}).alias("Part Name"),
+        cell("p_size", {1: "#N/A", 2: "N/A", 3: "", 4: "NaN", 5: " NULL "}).alias("Part\n(Size)"),
+        cell("p_retailprice", {6: "NaN", 7: "#N/A", 8: ""}).alias("Retail Price ($)"),
+    )
+    path = scratch_path(spark, "part-export")
+    export.write.parquet(path)
+    declared = T.StructType([
+        T.StructField("Part_Key", T.LongType()),
+        T.StructField("Part_Name", T.StringType()),
+        T.StructField("PartSize", T.IntegerType()),
+        T.StructField("Retail_Price_USD_", T.DoubleType()),
+    ])
+    return ingest.scan_role(spark, path, declared)
 
 
 def describe_comparison(a: Analysis) -> DataFrame:

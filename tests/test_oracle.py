@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from stocklens.plans import oracle, queries
 
 TABLES = ("lineitem", "supplier", "part")
 
@@ -34,14 +35,14 @@ def _bag(cols, rows):
     return Counter(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
-SQL = E.oracle_sql()
+SQL = oracle.oracle_sql()
 DUCK_TO_SPARK = {"DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BIGINT": "bigint",
                  "INTEGER": "int", "BOOLEAN": "boolean"}
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, con, key):
-    sdf = E.queries()[key](spark, SF001)
+    sdf = queries.queries()[key](spark, SF001)
     s_rows = [tuple(r) for r in sdf.collect()]
     rel = con.sql(SQL[key])
     d_cols = list(rel.columns)
@@ -54,7 +55,8 @@ def test_query_matches_oracle(spark, con, key):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(SQL)
+    assert set(queries.queries()) == set(SQL)
+    assert set(SQL) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_smoke(spark):

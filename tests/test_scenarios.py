@@ -15,20 +15,20 @@ def a(spark):
 def test_pair_keeps_every_first_row(a):
     pair = a.scenario_pair()
     assert pair.count() == a.roles.candidate.count()
-    matched = pair.filter("second_weekly_cov IS NOT NULL").count()
+    matched = pair.filter("weekly_cov_2 IS NOT NULL").count()
     assert matched == a.roles.candidate2.count()
 
 
 def test_pair_uses_on_hand_units(a):
-    r = a.scenario_pair().orderBy("product_id", "location_id").first()
+    r = a.scenario_pair().orderBy("product", "location").first()
     src = a.roles.candidate.filter(
-        f"PartName = '{r['product_id']}' AND PartSite = '{r['location_id']}'").first()
-    assert r["first_safety_stock_units"] == src["Avg_On_HandUnits"]
+        f"PartName = '{r['product']}' AND PartSite = '{r['location']}'").first()
+    assert r["stock_units_1"] == src["Avg_On_HandUnits"]
 
 
 def test_first_ten_are_key_ordered(a):
-    rows = scenarios.first_rows(a.scenario_pair(), 10, "product_id", "location_id").collect()
-    keys = [(r["product_id"], r["location_id"]) for r in rows]
+    rows = scenarios.first_rows(a.scenario_pair(), 10, "product", "location").collect()
+    keys = [(r["product"], r["location"]) for r in rows]
     assert len(rows) == 10 and keys == sorted(keys)
 
 
