@@ -26,13 +26,13 @@ from stocklens.sources.roles import Roles
 class Analysis:
     """The analysis of one candidate against one baseline snapshot.
 
-    ``snapshot`` and ``segment`` default to the fixture's values; pass the
-    snapshot date and subsector of your own data.
+    ``snapshot`` is the baseline's date to compare with, ``segment`` the
+    subsector that ``segment_snapshot_count`` counts.
     """
 
     roles: Roles
-    snapshot: dt.date = fixture.SNAPSHOT
-    segment: str = fixture.SEGMENT
+    snapshot: dt.date
+    segment: str
     thresholds: rules.Thresholds = field(default_factory=rules.Thresholds)
 
     def __post_init__(self):
@@ -49,9 +49,8 @@ class Analysis:
         repeats the aggregate once per role, so it is not the path to run
         at scale.
         """
-        if stage:
-            return Analysis(fixture.staged_roles(spark, sf_dir))
-        return Analysis(fixture.fixture_roles(spark, sf_dir))
+        roles = fixture.staged_roles if stage else fixture.fixture_roles
+        return Analysis(roles(spark, sf_dir), fixture.SNAPSHOT, fixture.SEGMENT)
 
     # -- comparison and populations ------------------------------------------
     @cached_property
@@ -133,7 +132,12 @@ class Analysis:
             "classified": self.classified,
             "class_rollup": rollups.class_rollup(self.classified),
             "summary": self.summary(),
+            "total_rows": self.grand_totals().select("total_rows"),
+            "total_su": self.grand_totals().select("total_su"),
+            "total_usd": self.grand_totals().select("total_usd"),
         }
+        if self.roles.candidate2 is not None:
+            views["scenario_pair"] = self.scenario_pair()
         names = []
         for name, df in views.items():
             df.createOrReplaceTempView(prefix + name)

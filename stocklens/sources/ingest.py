@@ -17,6 +17,14 @@ HEADER_DROP = ["(", ")", ",", ";", "{", "}", "\n", "\t"]
 HEADER_REPLACE = [(" ", "_"), ("$", "USD_")]
 
 
+# Cell texts that mean "no value", as spreadsheet readers take
+# them. In text columns "null" stays, for the rules test for that very text.
+MISSING_TEXT = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan",
+]
+
+
 class HeaderCollision(ValueError):
     """Two raw headers normalise to the same column name."""
 
@@ -66,6 +74,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _typed(df: DataFrame, name: str, to: T.DataType) -> Column:
+    """Column ``name`` as type ``to``. Missing texts are NULL; any other text that is no such value raises with the column's name."""
+    c = F.col(f"`{name}`")
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return c.cast(to).alias(name)
+    cell = F.when(~F.trim(c).isin(MISSING_TEXT), c)
+    if isinstance(to, T.StringType):
+        return cell.alias(name)
+    cell = F.when(F.trim(cell) != "null", F.trim(cell))
+    wrong = F.raise_error(F.concat(F.lit(f"column {name}: not of type {to.simpleString()}: "), cell)).cast(to)
+    return F.coalesce(cell.try_cast(to), F.when(cell.isNotNull(), wrong)).alias(name)
+
+
 def scan_role(
     spark: SparkSession,
     path: str,
@@ -77,15 +98,18 @@ def scan_role(
 
     When ``schema`` is given, the normalised columns are cast to it by name
     (missing columns raise), so every role arrives with its declared types.
+    Text cells in ``MISSING_TEXT`` become NULL, in any column; a cell that is
+    neither missing nor of the declared type raises with its column's name.
+
+    The cleaning stands between a later filter and the file, so no filter is
+    pushed down: clean once, write the role (``Roles.write``), analyse that.
     """
     df = normalize_headers(spark.read.format(fmt).options(**options).load(path))
     if schema is not None:
         missing = [f.name for f in schema.fields if f.name not in df.columns]
         if missing:
             raise ValueError(f"{path}: missing columns {missing}")
-        df = df.select(
-            *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
-        )
+        df = df.select(*[_typed(df, f.name, f.dataType) for f in schema.fields])
     # after the cast: a text cell "NaN" only becomes a NaN double here
     return nan_to_null(df)
 

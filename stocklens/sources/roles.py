@@ -46,7 +46,7 @@ class Roles:
             if df is not None:
                 yield f.name, df
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, files: int = 64) -> None:
         """Overwrite every role as a parquet table under ``path``.
 
         This is the lineage cut: later analyses read files, so a lost executor
@@ -54,10 +54,15 @@ class Roles:
 
         The baseline is partitioned by its snapshot date: a history of many
         snapshots then answers the snapshot predicate by partition pruning
-        (only the chosen day's folder is listed and read).
+        (only the chosen day's folder is listed and read). A snapshot goes into
+        at most ``files`` files: rows are dealt by snapshot and a hash of
+        the key before they are written.
         """
         for name, df in self.items():
-            writer = _declared(name, df).write.mode("overwrite")
+            df = _declared(name, df)
+            if name == "baseline":
+                df = df.repartition(S.BaselineCols().snapshot, F.pmod(F.xxhash64(*_site_keys(name)), F.lit(files)))
+            writer = df.write.mode("overwrite")
             if name == "baseline":
                 writer = writer.partitionBy(S.BaselineCols().snapshot)
             writer.parquet(f"{path}/{name}")
@@ -90,12 +95,17 @@ class Roles:
         written once and joined on every analysis run; bucketed alike, the
         three same-key joins of the comparison read co-located buckets and
         need no exchange for the candidate, CoV and service sides. The
-        baseline is also partitioned by snapshot date, as in ``write``.
+        baseline is also partitioned by snapshot date, as in ``write``. Rows
+        are dealt to the buckets before they are written, so a bucket is one
+        file per snapshot, not one per task.
         """
         names = []
         for name, df in self.items():
             keys = _site_keys(name)
-            writer = _declared(name, df).write.mode("overwrite").format("parquet")
+            df = _declared(name, df)
+            if buckets and keys:
+                df = df.repartition(buckets, *keys)
+            writer = df.write.mode("overwrite").format("parquet")
             if name == "baseline":
                 writer = writer.partitionBy(S.BaselineCols().snapshot)
             if buckets and keys:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from edge import OTHER_DAY, Case, roles
 from stocklens.operators import compare, populations, rollups, rules
 from stocklens.plans.analysis import Analysis
-from stocklens.sources.fixture import SNAPSHOT
+from stocklens.sources.fixture import SEGMENT, SNAPSHOT
 
 CASES = [
     Case("E1", u=5.0, fac=2.0, b=8.0),
@@ -65,7 +65,7 @@ RULE_CASES = [
 
 @pytest.fixture(scope="module")
 def analysis(spark):
-    return Analysis(roles(spark, CASES + [c for _, c in RULE_CASES]), snapshot=SNAPSHOT)
+    return Analysis(roles(spark, CASES + [c for _, c in RULE_CASES]), SNAPSHOT, SEGMENT)
 
 
 @pytest.fixture(scope="module")

@@ -38,6 +38,6 @@ def test_files_to_summary(spark, tmp_path):
         assert loaded[role].schema == SCHEMAS[role]
     prefix = f"flow{uuid.uuid4().hex[:6]}_"
     Roles(**loaded).save_tables(prefix, buckets=4)
-    back = Analysis(Roles.from_tables(spark, prefix), snapshot=direct.snapshot)
+    back = Analysis(Roles.from_tables(spark, prefix), direct.snapshot, direct.segment)
     assert sorted(back.summary().collect()) == sorted(direct.summary().collect())
     assert ingest.read_table(spark, prefix + "factor").count() == direct.roles.factor.count()

@@ -7,6 +7,7 @@ import pytest
 
 from stocklens import schema as S
 from stocklens.sources import ingest
+from stocklens.sources.fixture import SEGMENT, SNAPSHOT
 from stocklens.sources.roles import Roles
 
 
@@ -151,10 +152,39 @@ def test_validate_names_what_is_wrong(spark):
     bad = Roles(r.candidate.withColumn("Safety_StockUnits", r.candidate["PartName"]),
                 r.baseline.drop("CFR"), r.factor, r.cov, r.service)
     with _pytest.raises(ValueError) as err:
-        Analysis(bad)
+        Analysis(bad, SNAPSHOT, SEGMENT)
     assert "candidate.Safety_StockUnits: string is not numeric" in str(err.value)
     assert "baseline.CFR: missing" in str(err.value)
     # integer measures and numeric keys are fine
     ok = Roles(r.candidate.withColumn("Safety_StockUnits", r.candidate["Safety_StockUnits"]
                                       .cast("bigint")), r.baseline, r.factor, r.cov, r.service)
-    Analysis(ok)
+    Analysis(ok, SNAPSHOT, SEGMENT)
+
+
+def test_gap_texts_and_wrong_cells(spark, tmp_path):
+    declared = S.factor_schema()
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    spark.createDataFrame([("P1", "#N/A"), ("P2", " N/A "), ("P3", ""), ("P4", "NaN"), ("P5", "2.5"), ("#N/A", "null"), ("null", None)],
+                          "Material string, converter_factor string").write.parquet(good)
+    got = sorted(((r[0], r[1]) for r in ingest.scan_role(spark, good, declared).collect()), key=str)
+    assert got == sorted([("P1", None), ("P2", None), ("P3", None), ("P4", None), ("P5", 2.5), (None, None), ("null", None)], key=str)
+    spark.createDataFrame([("P1", "abc")], "Material string, converter_factor string").write.parquet(bad)
+    with pytest.raises(Exception, match="column converter_factor: not of type double: abc"):
+        ingest.scan_role(spark, bad, declared).collect()
+
+
+def test_written_files_do_not_grow_with_tasks(spark, tmp_path):
+    import glob
+
+    from conftest import SF001
+    from stocklens.plans.analysis import Analysis
+
+    r = Analysis.from_tables(spark, SF001).roles
+    r = Roles(r.candidate.repartition(16), r.baseline.repartition(16), r.factor, r.cov, r.service)
+    r.write(str(tmp_path / "roles"), files=3)
+    days = glob.glob(str(tmp_path / "roles/baseline/*=*"))
+    assert len(days) == 2 and all(0 < len(glob.glob(d + "/*.parquet")) <= 3 for d in days)
+    prefix = "stocklens_files_"
+    r.save_tables(prefix, buckets=4)
+    for role, most in (("candidate", 4), ("cov", 4), ("baseline", 8)):
+        assert len(spark.table(prefix + role).inputFiles()) <= most, role

@@ -9,6 +9,7 @@ from conftest import SF001
 from stocklens.operators import compare, histogram, populations, rollups, rules
 from stocklens.plans.analysis import Analysis
 from stocklens.sources import fixture
+from stocklens.sources.fixture import SEGMENT, SNAPSHOT
 
 
 @pytest.fixture(scope="module")
@@ -179,7 +180,7 @@ def test_written_roles_prune_baseline_partitions(spark, a, tmp_path):
 
     path = str(tmp_path / "roles")
     a.roles.write(path)
-    back = Analysis(Roles.read(spark, path))
+    back = Analysis(Roles.read(spark, path), SNAPSHOT, SEGMENT)
     plan = back.comparison._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(KEYFIGUREDATE" in plan
     assert sorted(back.summary().collect()) == sorted(a.summary().collect())

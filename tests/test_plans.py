@@ -6,6 +6,7 @@ import pytest
 
 from conftest import SF001
 from stocklens.plans.analysis import Analysis
+from stocklens.sources.fixture import SEGMENT, SNAPSHOT
 
 
 @pytest.fixture
@@ -58,7 +59,7 @@ def test_bucketed_roles_skip_shuffles(spark, no_broadcast):
     a = Analysis.from_tables(spark, SF001)
     prefix = f"b{uuid.uuid4().hex[:6]}_"
     a.roles.save_tables(prefix, buckets=8)
-    b = Analysis(Roles.from_tables(spark, prefix))
+    b = Analysis(Roles.from_tables(spark, prefix), SNAPSHOT, SEGMENT)
     plan = _plan(b.comparison)
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     # only the baseline moves (by product for the factor join, then into the

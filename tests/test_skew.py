@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stocklens import schema as S
 from stocklens.plans.analysis import Analysis
+from stocklens.sources.fixture import SEGMENT, SNAPSHOT
 from stocklens.sources.roles import Roles
 
 SKEW_CONF = {
@@ -48,14 +49,14 @@ def test_hot_product_is_split_and_result_unchanged(spark):
     # written once, so both runs read identical inputs
     paths = _paths(spark, _skewed_roles(spark))
     expected = sorted(
-        tuple(r) for r in Analysis(_read(spark, paths)).summary().collect()
+        tuple(r) for r in Analysis(_read(spark, paths), SNAPSHOT, SEGMENT).summary().collect()
     )
 
     saved = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     try:
         for k, v in SKEW_CONF.items():
             spark.conf.set(k, v)
-        b = Analysis(_read(spark, paths))
+        b = Analysis(_read(spark, paths), SNAPSHOT, SEGMENT)
         df = b.summary()
         got = sorted(tuple(r) for r in df.collect())
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -122,13 +123,13 @@ def test_hot_matloc_is_split_when_forced(spark):
     # The three (product, location) joins share one partitioning, so AQE
     # splits a hot candidate key there only when allowed an extra shuffle.
     paths = _paths(spark, _hot_matloc_roles(spark))
-    expected = sorted(tuple(r) for r in Analysis(_read(spark, paths)).summary().collect())
+    expected = sorted(tuple(r) for r in Analysis(_read(spark, paths), SNAPSHOT, SEGMENT).summary().collect())
     conf = dict(SKEW_CONF, **{"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"})
     saved = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        df = Analysis(_read(spark, paths)).summary()
+        df = Analysis(_read(spark, paths), SNAPSHOT, SEGMENT).summary()
         got = sorted(tuple(r) for r in df.collect())
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:

@@ -23,6 +23,7 @@ from stocklens.operators import rollups  # noqa: E402
 from stocklens.plans.analysis import Analysis  # noqa: E402
 from stocklens.session import local_session, scratch_path  # noqa: E402
 from stocklens.sources import fixture  # noqa: E402
+from stocklens.sources.fixture import SEGMENT, SNAPSHOT  # noqa: E402
 from stocklens.sources.roles import Roles  # noqa: E402
 
 
@@ -54,10 +55,10 @@ def main() -> None:
                                     "spark.sql.warehouse.dir": warehouse})
     path = scratch_path(spark, "plan-roles")
     fixture.fixture_roles(spark, sf_dir).write(path)
-    a = Analysis(Roles.read(spark, path))
+    a = Analysis(Roles.read(spark, path), SNAPSHOT, SEGMENT)
     prefix = f"plan_{os.getpid()}_"
     a.roles.save_tables(prefix, buckets=16)
-    bucketed = Analysis(Roles.from_tables(spark, prefix))
+    bucketed = Analysis(Roles.from_tables(spark, prefix), SNAPSHOT, SEGMENT)
     shown = {
         "summary (flagship)": a.summary(),
         "comparison over bucketed role tables (Roles.save_tables, 16 buckets)":
