@@ -83,4 +83,4 @@ def test_rows_per_code(a):
 def test_scenario_pair(a):
     pair = a.scenario_pair()
     assert pair.count() == 32146
-    assert pair.filter(F.col("second_direct_demand").isNotNull()).count() == 26765
+    assert pair.filter(F.col("direct_demand_2").isNotNull()).count() == 26765
