@@ -18,6 +18,10 @@ the whole sequence). Two documents link at a Jaccard similarity of 0.9.
    pairs across components with enough shared prefix shingles are compared
    on their full sets. What links there joins components; no other pair can.
 
+Before either comparison fetches texts, bitmaps of the two sets (each shingle
+flips a bit) are compared: sets differ by at least as many shingles as their
+bitmaps differ by bits, so pairs whose bitmaps differ too much cannot link.
+
 Sketches have a fixed size and only order or prefilter. Hot shingles: minima
 are aggregated in part, joins are split by AQE.
 
@@ -45,6 +49,7 @@ THRESHOLD = 90  # percent
 LEVELS = 4
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
+PARITY_BITS = 8  # binary logarithm of a bitmap's least size
 _LAST = (1 << 63) - 1
 _SET = ["sid", "check", "n"]
 
@@ -62,6 +67,22 @@ def need(n):
     return (THRESHOLD * n + 99) // 100
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, in which each shingle flips a bit: a power of two of bits, about one for two shingles."""
+    bits = 1 << max(PARITY_BITS, len(own).bit_length() - 1)
+    cells = (hashing.mix(own) >> np.uint64(32)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=bits) & 1)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two sets' bitmaps: a number of shingles by which the sets differ at least. The longer one is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column)
 
@@ -121,7 +142,7 @@ def prefix(own: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _sets(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """doc_id, key, n, sid, check, level, prefix of every document; the two hashes stand for the set."""
+    """doc_id, key, n, sid, check, level, parity, prefix of every document; the two hashes stand for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,16 +151,16 @@ def _sets(docs: DataFrame, logs: np.ndarray) -> DataFrame:
                 own = shingles(text)
                 if len(own):
                     sid, check = hashing.mix(own).sum(dtype=np.uint64), hashing.mix(own * np.uint64(3) + np.uint64(1)).sum(dtype=np.uint64)
-                    rows.append((len(own), int(sid.astype(np.int64)), int(check.astype(np.int64)), *prefix(own, logs)))
+                    rows.append((len(own), int(sid.astype(np.int64)), int(check.astype(np.int64)), parity(own).tobytes(), *prefix(own, logs)))
                 else:
-                    rows.append((0, None, None, np.zeros(0, np.uint64), 0))
-            n, sid, check, first, level = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                    rows.append((0, None, None, None, np.zeros(0, np.uint64), 0))
+            n, sid, check, bits, first, level = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
             flat = np.concatenate(first or [np.zeros(0, np.uint64)]).astype(np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in first]).astype(np.int32), pa.array(flat))
-            columns = [pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array(level, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "key", "n", "sid", "check", "level", "prefix"])
+            columns = [pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array(level, pa.int32()), pa.array(bits, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "key", "n", "sid", "check", "level", "parity", "prefix"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, sid long, check long, level int, prefix array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, sid long, check long, level int, parity binary, prefix array<long>")
 
 
 def _prefix_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -147,22 +168,30 @@ def _prefix_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """sid, n, level, alone, token, pos: the prefix entries that another node may have too, with their place in the node's order."""
+    """sid, n, level, alone, tokens, places: a node's prefix entries that another node may have too, with their places in the node's order."""
     sketch = hashing.seen_twice(nodes.select("prefix"), _prefix_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for sid, n, level, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                tokens = np.asarray(tokens.values).astype(np.uint64)
-                shared = np.flatnonzero(hashing.maybe_twice(sketch, tokens))
-                out += [(sid, n, level, len(tokens) - len(shared), t, k) for t, k in zip(tokens[shared].astype(np.int64).tolist(), shared.tolist(), strict=True)]
-            if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "level", "alone", "token", "pos"])
+            lists = b.column(3)
+            tokens = np.asarray(lists.flatten()).astype(np.uint64)
+            starts = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))).astype(np.int64)
+            shared = hashing.maybe_twice(sketch, tokens)
+            before = np.concatenate(([0], np.cumsum(shared)))[starts].astype(np.int32)
+            at = np.flatnonzero(shared)
+            places = (at - np.repeat(starts[:-1], np.diff(starts))[at]).astype(np.int32)
+            alone = (np.diff(starts) - np.diff(before)).astype(np.int32)
+            columns = [pa.array(alone), pa.ListArray.from_arrays(before, pa.array(tokens[at].astype(np.int64))), pa.ListArray.from_arrays(before, pa.array(places))]
+            some = pa.array(np.diff(before) > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["sid", "n", "level", "alone", "tokens", "places"]).filter(some)
+
+    return nodes.select("sid", "n", "level", "prefix").mapInArrow(run, "sid long, n long, level int, alone int, tokens array<long>, places array<int>")
 
-    return nodes.select("sid", "n", "level", "prefix").mapInArrow(run, "sid long, n long, level int, alone int, token long, pos int")
+
+def _entries(postings: DataFrame) -> DataFrame:
+    """A row per entry: token, pos in place of the lists."""
+    kept = [c for c in postings.columns if c not in ("tokens", "places")]
+    return postings.select(*kept, F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(*kept, F.col("e.tokens").alias("token"), F.col("e.places").alias("pos"))
 
 
 def _near(a: str, b: str):
@@ -184,9 +213,29 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(few.join(wanted, ["r", "k"]).select("sid", "text").dropDuplicates(["sid"]), "node-texts")
 
 
+def _spare(both: int) -> int:
+    """The most shingles by which two similar sets, of so many shingles together, differ: they share at least both * t / (100 + t)."""
+    return both - 2 * ((THRESHOLD * both + 99 + THRESHOLD) // (100 + THRESHOLD))
+
+
+def _bitmaps_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule the similarity out."""
+    marks = nodes.select("sid", "n", "parity")
+    both = pairs.join(marks.withColumnsRenamed({"sid": "b", "n": "nb", "parity": "pb"}), "b").join(marks.withColumnsRenamed({"sid": "a", "n": "na", "parity": "pa"}), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, sizes, a, b = batch.columns
+            bits = zip(sizes.to_pylist(), a, b, strict=True)
+            keep = [least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= _spare(n) for n, x, y in bits]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = materialize(pairs, "node-pairs")
+    pairs = materialize(_bitmaps_near(pairs, nodes), "node-pairs")
     texts = _texts_of(pairs, nodes, docs)
     both = pairs.join(texts.withColumnsRenamed({"sid": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"sid": "a", "text": "ta"}), "a")
 
@@ -207,11 +256,11 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _hub_pairs(postings: DataFrame) -> DataFrame:
     """Each node with one hub: of the hubs of its entries the one it shares most with, if it shares as many as its level asks for."""
     size = F.floor(F.log(F.col("n")) * 4)
-    p = postings.withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
+    p = _entries(postings).drop("pos").withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
     hubs = p.groupBy("token", "size").agg(
-        F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.min("sid").alias("lo"), F.max("sid").alias("hi")
+        F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.count(F.lit(1)).alias("nodes")
     )
-    met = p.join(hubs.filter("lo < hi").drop("lo", "hi"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m"))
+    met = p.drop("alone", "rank").join(hubs.filter("nodes > 1").drop("nodes"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m"))
     most = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("level").alias("level"))
     most = most.filter("k >= level").groupBy("sid").agg(F.max_by("hub", "k").alias("hub"))
     return most.select(F.col("sid").alias("b"), F.col("hub").alias("a"))
@@ -223,9 +272,9 @@ def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
     Of either node's entries up to the last shared one, those not shared are not in the other's set at all; a pair
     with more of them than the similarity allows is left out without being compared.
     """
-    p = postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = postings.drop("alone").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     # at: the level with which an entry comes into the prefix
-    p = materialize(p.drop("alone").withColumn("at", F.expr(f"greatest(1, pos + 1 - n + ({THRESHOLD} * n + 99) div 100)")), "rooted-postings")
+    p = _entries(materialize(rooted, "rooted-postings")).withColumn("at", F.expr(f"greatest(1, pos + 1 - n + ({THRESHOLD} * n + 99) div 100)"))
     mixed = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     p = p.join(mixed, "token")
     x, y = p.alias("x"), p.alias("y")
@@ -235,8 +284,7 @@ def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
     pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(
         F.count(F.lit(1)).alias("k"), F.max("x.level").alias("level"), F.max(F.col("x.n") + F.col("y.n")).alias("both"), (F.max("x.pos") + F.max("y.pos") + 2).alias("seen")
     )
-    # similar sets of `both` shingles share at least both * t / (100 + t) of them
-    spare = F.expr(f"both - 2 * (({THRESHOLD} * both + {99 + THRESHOLD}) div {100 + THRESHOLD})")
+    spare = F.expr(f"both - 2 * (({THRESHOLD} * both + {99 + THRESHOLD}) div {100 + THRESHOLD})")  # see _spare
     return pairs.filter((F.col("k") >= F.col("level")) & (F.col("seen") - 2 * F.col("k") <= spare)).select("a", "b")
 
 
@@ -246,7 +294,7 @@ def join(docs: DataFrame) -> DataFrame:
     sets = materialize(_sets(d, frequencies(d)), "shingle-sets")
     order = F.coalesce("doc_id", F.lit(_LAST))
     nodes = sets.filter("n > 0").groupBy(*_SET).agg(
-        F.min("doc_id").alias("rep"), F.min_by("key", order).alias("key"), F.first("level").alias("level"), F.first("prefix").alias("prefix")
+        F.min("doc_id").alias("rep"), F.min_by("key", order).alias("key"), F.first("level").alias("level"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
     )
     nodes = materialize(nodes, "shingle-nodes")
     postings = materialize(_postings(nodes), "shingle-postings")
