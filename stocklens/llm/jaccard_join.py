@@ -21,6 +21,8 @@ the whole sequence). Two documents link at a Jaccard similarity of 0.9.
 Before either comparison fetches texts, bitmaps of the two sets (each shingle
 flips a bit) are compared: sets differ by at least as many shingles as their
 bitmaps differ by bits, so pairs whose bitmaps differ too much cannot link.
+The exact pass tests a folded bitmap of 128 bits where entries meet, so that
+groups of documents that are alike but do not link list few pairs.
 
 Sketches have a fixed size and only order or prefilter. Hot shingles: minima
 are aggregated in part, joins are split by AQE.
@@ -50,6 +52,7 @@ LEVELS = 4
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
+FOLDED = ["fold0", "fold1"]  # two longs
 _LAST = (1 << 63) - 1
 _SET = ["sid", "check", "n"]
 
@@ -74,13 +77,17 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(cells.astype(np.int64), minlength=bits) & 1)
 
 
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set in ``size`` bytes."""
+    while len(bitmap) > size:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
 def least_difference(a: np.ndarray, b: np.ndarray) -> int:
     """Of two sets' bitmaps: a number of shingles by which the sets differ at least. The longer one is folded."""
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -168,7 +175,7 @@ def _prefix_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """sid, n, level, alone, tokens, places: a node's prefix entries that another node may have too, with their places in the node's order."""
+    """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node may have too, with their places in the node's order."""
     sketch = hashing.seen_twice(nodes.select("prefix"), _prefix_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +188,13 @@ def _postings(nodes: DataFrame) -> DataFrame:
             at = np.flatnonzero(shared)
             places = (at - np.repeat(starts[:-1], np.diff(starts))[at]).astype(np.int32)
             alone = (np.diff(starts) - np.diff(before)).astype(np.int32)
-            columns = [pa.array(alone), pa.ListArray.from_arrays(before, pa.array(tokens[at].astype(np.int64))), pa.ListArray.from_arrays(before, pa.array(places))]
+            folds = np.array([fold(np.frombuffer(x.as_buffer(), np.uint8), 16).view(np.int64) for x in b.column(4)], np.int64).reshape(-1, 2)
+            columns = [pa.array(alone), pa.ListArray.from_arrays(before, pa.array(tokens[at].astype(np.int64))), pa.ListArray.from_arrays(before, pa.array(places)), *(pa.array(x) for x in folds.T)]
             some = pa.array(np.diff(before) > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["sid", "n", "level", "alone", "tokens", "places"]).filter(some)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED]).filter(some)
 
-    return nodes.select("sid", "n", "level", "prefix").mapInArrow(run, "sid long, n long, level int, alone int, tokens array<long>, places array<int>")
+    schema = "sid long, n long, level int, alone int, tokens array<long>, places array<int>, fold0 long, fold1 long"
+    return nodes.select("sid", "n", "level", "prefix", "parity").mapInArrow(run, schema)
 
 
 def _entries(postings: DataFrame) -> DataFrame:
@@ -256,7 +265,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _hub_pairs(postings: DataFrame) -> DataFrame:
     """Each node with one hub: of the hubs of its entries the one it shares most with, if it shares as many as its level asks for."""
     size = F.floor(F.log(F.col("n")) * 4)
-    p = _entries(postings).drop("pos").withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
+    p = _entries(postings.drop(*FOLDED)).drop("pos").withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
     hubs = p.groupBy("token", "size").agg(
         F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.count(F.lit(1)).alias("nodes")
     )
@@ -267,25 +276,30 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) across components that share as many prefix entries as the larger node's level asks for.
+    """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for.
 
-    Of either node's entries up to the last shared one, those not shared are not in the other's set at all; a pair
-    with more of them than the similarity allows is left out without being compared.
+    Pairs whose folded bitmaps differ too much do not leave the join of entries. Of either node's entries up to the
+    last shared one, those not shared are not in the other's set at all; a pair with more of them than the similarity
+    allows is left out without being compared. Both sides of the join read the same columns, so entries are dealt once.
     """
     rooted = postings.drop("alone").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    # at: the level with which an entry comes into the prefix
-    p = _entries(materialize(rooted, "rooted-postings")).withColumn("at", F.expr(f"greatest(1, pos + 1 - n + ({THRESHOLD} * n + 99) div 100)"))
+    p = _entries(materialize(rooted, "rooted-postings"))
     mixed = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     p = p.join(mixed, "token")
     x, y = p.alias("x"), p.alias("y")
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") > F.col("y.sid")))
-    fits = larger & _near("x.n", "y.n") & (F.col("x.root") != F.col("y.root")) & (F.greatest("x.at", "y.at") <= F.col("x.level"))
+    level = F.greatest("x.level", "y.level")
+    # the level with which an entry comes into the prefix of its node
+    at = [F.expr(f"{side}.pos + 1 - {side}.n + ({THRESHOLD} * {side}.n + 99) div 100") for side in "xy"]
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDED), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    spare = both - 2 * F.floor((THRESHOLD * both + 99 + THRESHOLD) / (100 + THRESHOLD))  # as _spare
+    fits = larger & _near("x.n", "y.n") & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= level) & (differ <= spare)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits)
     pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(
-        F.count(F.lit(1)).alias("k"), F.max("x.level").alias("level"), F.max(F.col("x.n") + F.col("y.n")).alias("both"), (F.max("x.pos") + F.max("y.pos") + 2).alias("seen")
+        F.count(F.lit(1)).alias("k"), F.max(level).alias("level"), F.max(spare).alias("spare"), (F.max("x.pos") + F.max("y.pos") + 2).alias("seen")
     )
-    spare = F.expr(f"both - 2 * (({THRESHOLD} * both + {99 + THRESHOLD}) div {100 + THRESHOLD})")  # see _spare
-    return pairs.filter((F.col("k") >= F.col("level")) & (F.col("seen") - 2 * F.col("k") <= spare)).select("a", "b")
+    return pairs.filter((F.col("k") >= F.col("level")) & (F.col("seen") - 2 * F.col("k") <= F.col("spare"))).select("a", "b")
 
 
 def join(docs: DataFrame) -> DataFrame:
