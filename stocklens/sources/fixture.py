@@ -16,12 +16,11 @@ Plan shape (chosen for scale, left to Catalyst/AQE for the physical join):
 * ``part`` attributes are joined *after* the aggregate: at most one row per
   part and nation reaches that join, so no key can be hot there.
 
-The modulo rules below (a baseline row is left out where ``(p * n) % 17 = 0``,
-a CoV row where ``(p + n) % 10 = 0``, and so on) do not sample: every
-lineitem row is aggregated and every candidate row is compared. They create
-the gaps the analysis exists to handle -- candidates without a baseline,
-missing CoV and service levels, missing and zero factors, literal ``'null'``
-transition types -- so that each LEFT-join and NULL rule is exercised.
+Gaps come from the tables' own attributes, none from key arithmetic: a pair has
+a baseline if it has lines flagged 'N' or 'A', a service level with 'R' or 'N',
+a CoV if a line is not its order's first, a second scenario with 'A', and a part
+has a factor from size 3 on. Every lineitem row is aggregated and every
+candidate row compared, so each LEFT-join and NULL rule is exercised.
 """
 
 from __future__ import annotations
@@ -112,7 +111,7 @@ def candidate(pr: DataFrame) -> DataFrame:
 def candidate2(pr: DataFrame) -> DataFrame:
     p, n = F.col("p"), F.col("n")
     cov = ((p + n * 2) % 15).cast("double") / 10
-    return _candidate(pr.filter((p + n) % 6 != 0), "qa", "da", cov, cov)
+    return _candidate(pr.filter(F.col("qa") > 0), "qa", "da", cov, cov)
 
 
 def baseline(pr: DataFrame) -> DataFrame:
@@ -157,18 +156,18 @@ def baseline(pr: DataFrame) -> DataFrame:
         bucket(F.col("c3")).alias("SU_Situational_Cycle_C"),
         F.lit(0.0).alias("SU_Unknown_U"),
     ]
-    kept = pr.filter(((p * n) % 17 != 0) | (n == 0))
+    kept = pr.filter((F.col("qn") > 0) | (F.col("qa") > 0))
     cols = body[:2] + [F.lit(SNAPSHOT).alias("KEYFIGUREDATE")] + body[2:]
     decoy = body[:2] + [F.lit(DECOY_SNAPSHOT).alias("KEYFIGUREDATE")] + body[2:]
     return kept.select(*cols).unionByName(kept.select(*decoy))
 
 
 def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One factor per part; missing for one part in twenty, zero for another."""
+    """One factor per part; missing for parts of size 1 and 2, zero for one part in twenty."""
     pk = F.col("p_partkey")
     return (
         read_table(spark, sf_dir, "part")
-        .filter(pk % 20 != 0)
+        .filter(F.col("p_size") > 2)
         .select(
             _key("P", "p_partkey").alias("Material"),
             F.when(pk % 20 == 1, F.lit(0.0))
@@ -180,7 +179,7 @@ def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cov(pr: DataFrame) -> DataFrame:
     p, n = F.col("p"), F.col("n")
-    return pr.filter((p + n) % 10 != 0).select(
+    return pr.filter(F.col("qt") > 0).select(
         _key("P", "p").alias("PRDID"),
         _key("N", "n").alias("LOCID"),
         (((p * 7 + n) % 16 + 1).cast("double") / 10).alias("CV"),
@@ -189,7 +188,7 @@ def cov(pr: DataFrame) -> DataFrame:
 
 def service(pr: DataFrame) -> DataFrame:
     p, n = F.col("p"), F.col("n")
-    return pr.filter((p + n) % 7 != 0).select(
+    return pr.filter((F.col("qr") > 0) | (F.col("qn") > 0)).select(
         _key("P", "p").alias("PRDID"),
         _key("N", "n").alias("LOCID"),
         ((p % 10 + 90).cast("double") / 100).alias("Service_Level"),
