@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (linked documents) the one with the smallest id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of near-duplicates (linked on 5-word shingles at a Jaccard similarity of 0.8) the one with the smallest id stays."""
+    return jaccard_join.keep_one(docs, shingle=5, threshold=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

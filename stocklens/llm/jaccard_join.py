@@ -1,7 +1,9 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and its components.
 
-A document's set is its distinct 3-word shingles (A-Z lower-cased; fewer words:
-the whole sequence). Two documents link at a Jaccard similarity of 0.9.
+A document's set is its distinct shingles of ``shingle`` words (A-Z lower-cased;
+fewer words: the whole sequence). Two documents link at a Jaccard similarity of
+``threshold`` percent. The query op8 is on 3 words and 90; the pipeline's stage
+on 5 words and 80.
 
 1. A count-min sketch of all documents' shingles orders them, rare ones first;
    any order is right, this one keeps common passages out of the prefixes.
@@ -46,8 +48,8 @@ from stocklens.llm import hashing
 from stocklens.llm.components import components
 from stocklens.session import materialize
 
-SHINGLE = 3
-THRESHOLD = 90  # percent
+SHINGLE = 3  # words, of op8
+THRESHOLD = 90  # percent, of op8
 LEVELS = 4
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
@@ -57,17 +59,17 @@ _LAST = (1 << 63) - 1
 _SET = ["sid", "check", "n"]
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of ``size`` words."""
     words = hashing.word_hashes(text.lower().split())
     if not len(words):
         return words
-    return np.unique(hashing.run_hashes(words, min(SHINGLE, len(words))))
+    return np.unique(hashing.run_hashes(words, min(size, len(words))))
 
 
-def need(n):
+def need(n, threshold: int):
     """The least overlap of a partner: shingles that a set of n must share."""
-    return (THRESHOLD * n + 99) // 100
+    return (threshold * n + 99) // 100
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys & mask).astype(np.int64), (hashing.mix(keys) & mask).astype(np.int64) + (1 << FREQUENCY_BITS)
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
+def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
     """Count-min sketch of the number of documents with a shingle, two rows, as the counts' binary logarithms (4 MB)."""
     size, part = 2 << FREQUENCY_BITS, 1 << PART_BITS
 
@@ -109,7 +111,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             counts = np.zeros(size, np.uint32) if counts is None else counts
             held, n = [], 0
             for text in _texts(b.column(0)):
-                held.append(shingles(text))
+                held.append(shingles(text, shingle))
                 n += len(held[-1])
                 if n > hashing.FLUSH:
                     counts += np.bincount(np.concatenate(_cells(np.concatenate(held))), minlength=size).astype(np.uint32)
@@ -134,12 +136,12 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(own: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(own: np.ndarray, logs: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
     """The longest prefix of a set in the common order, and the level that the set asks for."""
     first, second = _cells(own)
     log = np.minimum(logs[first], logs[second])
     n = len(own)
-    least = need(n)
+    least = need(n, threshold)
     levels = min(LEVELS, least)
     length = n - least + levels
     order = np.lexsort((own, log))[:length]
@@ -148,17 +150,17 @@ def prefix(own: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, int]:
     return own[order], 1 + int(np.argmin(by_level))
 
 
-def _sets(docs: DataFrame, logs: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, logs: np.ndarray, shingle: int, threshold: int) -> DataFrame:
     """doc_id, key, n, sid, check, level, parity, prefix of every document; the two hashes stand for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in _texts(b.column(2)):
-                own = shingles(text)
+                own = shingles(text, shingle)
                 if len(own):
                     sid, check = hashing.mix(own).sum(dtype=np.uint64), hashing.mix(own * np.uint64(3) + np.uint64(1)).sum(dtype=np.uint64)
-                    rows.append((len(own), int(sid.astype(np.int64)), int(check.astype(np.int64)), parity(own).tobytes(), *prefix(own, logs)))
+                    rows.append((len(own), int(sid.astype(np.int64)), int(check.astype(np.int64)), parity(own).tobytes(), *prefix(own, logs, threshold)))
                 else:
                     rows.append((0, None, None, None, np.zeros(0, np.uint64), 0))
             n, sid, check, bits, first, level = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
@@ -203,9 +205,9 @@ def _entries(postings: DataFrame) -> DataFrame:
     return postings.select(*kept, F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(*kept, F.col("e.tokens").alias("token"), F.col("e.places").alias("pos"))
 
 
-def _near(a: str, b: str):
+def _near(a: str, b: str, threshold: int):
     """Sizes that allow the similarity."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
 def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,12 +224,12 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(few.join(wanted, ["r", "k"]).select("sid", "text").dropDuplicates(["sid"]), "node-texts")
 
 
-def _spare(both: int) -> int:
+def _spare(both: int, threshold: int) -> int:
     """The most shingles by which two similar sets, of so many shingles together, differ: they share at least both * t / (100 + t)."""
-    return both - 2 * ((THRESHOLD * both + 99 + THRESHOLD) // (100 + THRESHOLD))
+    return both - 2 * ((threshold * both + 99 + threshold) // (100 + threshold))
 
 
-def _bitmaps_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _bitmaps_near(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps do not rule the similarity out."""
     marks = nodes.select("sid", "n", "parity")
     both = pairs.join(marks.withColumnsRenamed({"sid": "b", "n": "nb", "parity": "pb"}), "b").join(marks.withColumnsRenamed({"sid": "a", "n": "na", "parity": "pa"}), "a")
@@ -236,15 +238,15 @@ def _bitmaps_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             _, _, sizes, a, b = batch.columns
             bits = zip(sizes.to_pylist(), a, b, strict=True)
-            keep = [least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= _spare(n) for n, x, y in bits]
+            keep = [least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= _spare(n, threshold) for n, x, y in bits]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = materialize(_bitmaps_near(pairs, nodes), "node-pairs")
+    pairs = materialize(_bitmaps_near(pairs, nodes, threshold), "node-pairs")
     texts = _texts_of(pairs, nodes, docs)
     both = pairs.join(texts.withColumnsRenamed({"sid": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"sid": "a", "text": "ta"}), "a")
 
@@ -253,29 +255,29 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             keep, last, own = [], None, None
             for a, ta, tb in zip(batch.column(0).to_pylist(), _texts(batch.column(2)), _texts(batch.column(3)), strict=True):
                 if a != last:
-                    last, own = a, shingles(ta)
-                other = shingles(tb)
+                    last, own = a, shingles(ta, shingle)
+                other = shingles(tb, shingle)
                 shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * shared >= THRESHOLD * (len(own) + len(other) - shared))
+                keep.append(100 * shared >= threshold * (len(own) + len(other) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "node-links")
 
 
-def _hub_pairs(postings: DataFrame) -> DataFrame:
+def _hub_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     """Each node with one hub: of the hubs of its entries the one it shares most with, if it shares as many as its level asks for."""
     size = F.floor(F.log(F.col("n")) * 4)
     p = _entries(postings.drop(*FOLDED)).drop("pos").withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
     hubs = p.groupBy("token", "size").agg(
         F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.count(F.lit(1)).alias("nodes")
     )
-    met = p.drop("alone", "rank").join(hubs.filter("nodes > 1").drop("nodes"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m"))
+    met = p.drop("alone", "rank").join(hubs.filter("nodes > 1").drop("nodes"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m", threshold))
     most = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("level").alias("level"))
     most = most.filter("k >= level").groupBy("sid").agg(F.max_by("hub", "k").alias("hub"))
     return most.select(F.col("sid").alias("b"), F.col("hub").alias("a"))
 
 
-def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for.
 
     Pairs whose folded bitmaps differ too much do not leave the join of entries. Of either node's entries up to the
@@ -290,11 +292,11 @@ def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") > F.col("y.sid")))
     level = F.greatest("x.level", "y.level")
     # the level with which an entry comes into the prefix of its node
-    at = [F.expr(f"{side}.pos + 1 - {side}.n + ({THRESHOLD} * {side}.n + 99) div 100") for side in "xy"]
+    at = [F.expr(f"{side}.pos + 1 - {side}.n + ({threshold} * {side}.n + 99) div 100") for side in "xy"]
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDED), F.lit(0))
     both = F.col("x.n") + F.col("y.n")
-    spare = both - 2 * F.floor((THRESHOLD * both + 99 + THRESHOLD) / (100 + THRESHOLD))  # as _spare
-    fits = larger & _near("x.n", "y.n") & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= level) & (differ <= spare)
+    spare = both - 2 * F.floor((threshold * both + 99 + threshold) / (100 + threshold))  # as _spare
+    fits = larger & _near("x.n", "y.n", threshold) & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= level) & (differ <= spare)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits)
     pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(
         F.count(F.lit(1)).alias("k"), F.max(level).alias("level"), F.max(spare).alias("spare"), (F.max("x.pos") + F.max("y.pos") + 2).alias("seen")
@@ -302,18 +304,18 @@ def _open_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter((F.col("k") >= F.col("level")) & (F.col("seen") - 2 * F.col("k") <= F.col("spare"))).select("a", "b")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key, n, sid, root, component_id of every document; ``key`` is a hash of its text, ``root`` one of its component."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    sets = materialize(_sets(d, frequencies(d)), "shingle-sets")
+    sets = materialize(_sets(d, frequencies(d, shingle), shingle, threshold), "shingle-sets")
     order = F.coalesce("doc_id", F.lit(_LAST))
     nodes = sets.filter("n > 0").groupBy(*_SET).agg(
         F.min("doc_id").alias("rep"), F.min_by("key", order).alias("key"), F.first("level").alias("level"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
     )
     nodes = materialize(nodes, "shingle-nodes")
     postings = materialize(_postings(nodes), "shingle-postings")
-    links = _linked(_hub_pairs(postings), nodes, d)
-    more = _linked(_open_pairs(postings, components(links)), nodes, d)
+    links = _linked(_hub_pairs(postings, threshold), nodes, d, shingle, threshold)
+    more = _linked(_open_pairs(postings, components(links), threshold), nodes, d, shingle, threshold)
     roots = components(links.union(more)).withColumnRenamed("node", "sid")
     rooted = materialize(nodes.select(*_SET, "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-nodes")
     ids = rooted.groupBy("root").agg(F.min("rep").alias("component"))
@@ -327,12 +329,12 @@ def query(docs: DataFrame) -> DataFrame:
     return join(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each component the row whose id names it, and every row without shingles.
 
     Few rows go. A bitmap of their keys lets all others pass where they are read; only rows that it holds are joined.
     """
-    rows = join(docs)
+    rows = join(docs, shingle=shingle, threshold=threshold)
     first = F.row_number().over(Window.partitionBy("root").orderBy("key", "sid"))
     named = rows.filter((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = named.withColumn("place", first).filter("place = 1").select(F.col("doc_id").alias("i"), F.col("key").alias("j"))
