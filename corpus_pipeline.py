@@ -3,7 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. Every stage
 works on all that its predecessor kept; all but the last return the columns of
-``documents``. Mixing repeats rows, and the last stage encodes each of them.
+``documents``. Mixing repeats rows and numbers the copies in a column ``copy``,
+and the last stage encodes each of them.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their targets: documents are left out or repeated."""
-    return mixing.mix(docs)
+    """Sources are mixed to their targets: documents are left out or repeated. Adds ``copy``, the number of the repetition."""
+    return mixing.mix(docs, number="copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and piece ids of every row of the mix."""
-    return pieces.encode_documents(docs)
+    """doc_id and piece ids of every row of the mix, with merge-dropout of its own for each copy."""
+    return pieces.encode_documents(docs, copy="copy")
 
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("jaccard_join", near), ("mixing", mix), ("pieces", encode)]

@@ -114,8 +114,8 @@ def query(docs: DataFrame) -> DataFrame:
     return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The mix: each row of ``docs`` as often as it is taken.
+def mix(docs: DataFrame, *, number: str | None = None) -> DataFrame:
+    """The mix: each row of ``docs`` as often as it is taken. ``number``: a column to add, with 0, 1, ... over the copies of rows that are alike.
 
     Copies are worked out without texts and joined to the rows by id and a hash of text and source;
     rows that are alike in these share their copies.
@@ -128,4 +128,5 @@ def mix(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("d", "k").orderBy(F.lit(0)))
     own = F.expr("copies div alike") + F.when(F.col("place") <= F.expr("copies % alike"), 1).otherwise(0)
     met = met.withColumn("place", place).withColumn("own", own.cast("int")).filter("own > 0")
-    return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("own")))).select("row.*")
+    each = met.select("row", "place", "alike", F.posexplode(F.array_repeat(F.lit(0), F.col("own"))))
+    return each.select("row.*", *([(F.col("pos") * F.col("alike") + F.col("place") - 1).cast("long").alias(number)] if number else []))
