@@ -1,14 +1,17 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A document's terms are its character-class trigrams and a few bands of text
-statistics (length, repetition, kinds of words); log counts, projected on the
-leading singular vectors of a labelled sample, give its latent vector. Cosines
+A document's terms are its words (A-Z lower-cased, hashed into ``WORDS`` columns
+and weighted with their document frequencies over all documents), beside them its
+character-class trigrams and a few bands of text statistics (length, repetition,
+kinds of words); log counts, projected on the leading singular vectors of a
+labelled sample, give its latent vector. Cosines
 with every labelled vector are computed exactly, a block of documents at a
 time, and the ``NEIGHBOURS`` nearest vote with a power of their similarity.
 
 The labelled sample is bounded by ``SAMPLE`` rows, the ones with the smallest
 MD5 of their id: a parameter, not a cut of what is scored. Broadcast are its
-vectors and the projection, SAMPLE x RANK and TERMS x RANK numbers.
+vectors, the projection and the words' weights: SAMPLE x RANK, TERMS x RANK and
+WORDS numbers.
 
 Null and empty texts have the terms of an empty text and are scored alike.
 Labels that repeat for an id count as their largest. Rows without id are
@@ -25,19 +28,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.llm import hashing
+
 SAMPLE = 4000
 RANK = 64
 NEIGHBOURS = 31
 SHARPNESS = 16
 THRESHOLD = 0.3
 HELD_OUT_OF = 5
+STEPS = 20
 BLOCK = 256
 
 CLASSES = 10
 BANDS = 16
 STATISTICS = 6
-TERMS = CLASSES**3 + BANDS * STATISTICS
+SHAPES = CLASSES**3 + BANDS * STATISTICS
+WORDS = 1 << 12
+TERMS = SHAPES + WORDS
 SHAPE_WEIGHT = 2.0
+WORD_WEIGHT = 2.0
 
 
 def _class_of(byte: int) -> int:
@@ -57,8 +66,32 @@ def _band(x: float) -> int:
     return min(BANDS - 1, max(0, int(x * BANDS)))
 
 
-def terms(text: bytes | None) -> np.ndarray:
-    """Term weights of one text (UTF-8), of length 1."""
+def _columns(raw: bytes) -> np.ndarray:
+    """The column of every word."""
+    return (hashing.mix(hashing.word_hashes(raw.lower().split())) & np.uint64(WORDS - 1)).astype(np.int64)
+
+
+def word_weights(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequency of every word column, over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(WORDS, np.int64), 0
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                sums[np.unique(_columns(t.as_py() or b""))] += 1
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "counts": [sums.tobytes()]})
+
+    n, counts = 0, np.zeros(WORDS, np.int64)
+    for r in docs.select("text").mapInArrow(count, "n long, counts binary").toLocalIterator():
+        n += r["n"]
+        counts += np.frombuffer(r["counts"], np.int64)
+    return np.log((1 + n) / (1 + counts)) + 1e-3
+
+
+def terms(text: bytes | None, weights: np.ndarray) -> np.ndarray:
+    """Term weights of one text (UTF-8), of length 1; ``weights`` are those of the word columns."""
     raw = text or b""
     kind = np.frombuffer(b"\x04" + raw.translate(_CLASS) + b"\x04", np.uint8).astype(np.int32)
     grams = np.bincount(kind[:-2] * CLASSES**2 + kind[1:-1] * CLASSES + kind[2:], minlength=CLASSES**3) if len(kind) > 2 else np.zeros(CLASSES**3)
@@ -79,7 +112,9 @@ def terms(text: bytes | None) -> np.ndarray:
     for k, x in enumerate(stats):
         bands[k * BANDS + _band(x)] = 1
     share = np.log1p(1000 * grams / max(1, grams.sum()))
-    out = np.concatenate([share / max(1e-9, np.linalg.norm(share)) * SHAPE_WEIGHT, bands])
+    said = np.log1p(np.bincount(_columns(raw), minlength=WORDS)) * weights
+    said *= WORD_WEIGHT / max(1e-9, np.linalg.norm(said))
+    out = np.concatenate([share / max(1e-9, np.linalg.norm(share)) * SHAPE_WEIGHT, bands, said])
     return (out / np.linalg.norm(out)).astype(np.float32)
 
 
@@ -88,6 +123,7 @@ class Model:
     project: np.ndarray  # TERMS x RANK
     vectors: np.ndarray  # RANK x labelled documents, columns of length 1
     labels: np.ndarray
+    weights: np.ndarray  # of the word columns
 
     def scores(self, matrix: np.ndarray) -> np.ndarray:
         latent = matrix @ self.project
@@ -99,6 +135,15 @@ class Model:
         return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
 
 
+def _leading(matrix: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration from a fixed start (twice as many vectors as are wanted)."""
+    basis = np.random.default_rng(0).standard_normal((matrix.shape[1], 2 * RANK)).astype(np.float32)
+    for _ in range(STEPS):
+        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
+    _, _, turned = np.linalg.svd(matrix @ basis, full_matrices=False)
+    return np.ascontiguousarray((basis @ turned.T)[:, :RANK])
+
+
 def _remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF
 
@@ -108,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model |
     known = labels.filter(F.col("quality").isNotNull() & (_remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
 
+    weights = word_weights(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [terms(t).tobytes() for t in b.column(0).cast(pa.binary()).to_pylist()]
+            rows = [terms(t, weights).tobytes() for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["terms", "label"])
 
     # repeated ids: as many rows as the tables repeat them, so the sample is bounded again
@@ -119,11 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model |
     if rows.empty:
         return None
     matrix = np.frombuffer(b"".join(rows["terms"]), np.float32).reshape(len(rows), TERMS)
-    _, vectors = np.linalg.eigh(matrix.astype(np.float64).T @ matrix)
-    project = vectors[:, ::-1][:, :RANK].astype(np.float32)
+    project = _leading(matrix)
     latent = matrix @ project
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Model(project, np.ascontiguousarray(latent.T), rows["label"].to_numpy())
+    return Model(project, np.ascontiguousarray(latent.T), rows["label"].to_numpy(), weights)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -134,7 +180,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = b.column(2).cast(pa.binary()).to_pylist()
             out = np.full(len(texts), 0.5)
             for at in range(0, len(texts), BLOCK) if model else ():
-                out[at : at + BLOCK] = model.scores(np.stack([terms(t) for t in texts[at : at + BLOCK]]))
+                out[at : at + BLOCK] = model.scores(np.stack([terms(t, model.weights) for t in texts[at : at + BLOCK]]))
             out = np.clip(out, 0, 1)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
