@@ -24,8 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
-    "op8_jaccard_join": lambda spark, d: jaccard_join.query(documents(spark, d)),
-    "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
