@@ -81,13 +81,12 @@ def word_weights(docs: DataFrame) -> np.ndarray:
                 sums[np.unique(_columns(t.as_py() or b""))] += 1
                 n += 1
         if n:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "counts": [sums.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(WORDS + 1)), "n": pa.array(np.append(sums, n))})  # the last: all documents
 
-    n, counts = 0, np.zeros(WORDS, np.int64)
-    for r in docs.select("text").mapInArrow(count, "n long, counts binary").toLocalIterator():
-        n += r["n"]
-        counts += np.frombuffer(r["counts"], np.int64)
-    return np.log((1 + n) / (1 + counts)) + 1e-3
+    counts = np.zeros(WORDS + 1, np.int64)
+    for r in docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    return np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1e-3
 
 
 def terms(text: bytes | None, weights: np.ndarray) -> np.ndarray:
