@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, quality_classifier, quality_rules, substring_dedup, url_filter, warc
+from stocklens.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
 from stocklens.llm.native import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": lambda spark, d: jaccard_join.query(documents(spark, d)),
     "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op10_url_filter": lambda spark, d: url_filter.judge(pages(spark, d)),
+    "op13_simhash": lambda spark, d: simhash.query(documents(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
