@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
-from stocklens.llm.native import documents, pages
+from stocklens.llm import exact_dedup, jaccard_join, language_id, merkle, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc, whitening
+from stocklens.llm.native import documents, embeddings, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, d: quality_rules.query(documents(spark, d)),
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": lambda spark, d: jaccard_join.query(documents(spark, d)),
     "op9_pieces": lambda spark, d: pieces.query(documents(spark, d)),
     "op10_url_filter": lambda spark, d: url_filter.judge(pages(spark, d)),
+    "op11_merkle_manifest": lambda spark, d: merkle.query(documents(spark, d)),
+    "op12_whitening": lambda spark, d: whitening.query(embeddings(spark, d)),
     "op13_simhash": lambda spark, d: simhash.query(documents(spark, d)),
 }
 
@@ -28,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }

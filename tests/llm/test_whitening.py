@@ -1,0 +1,132 @@
+"""The qd solver against numpy, and the whitening against a plain version."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from stocklens.llm import whitening
+
+
+def _bidiagonal(a, b):
+    return np.diag(a) + np.diag(b, 1)
+
+
+RNG = np.random.default_rng(5)
+MATRICES = {
+    "random": RNG.standard_normal((40, 40)),
+    "graded": np.diag(10.0 ** -np.arange(20)) @ RNG.standard_normal((20, 20)),
+    "one": np.array([[3.0]]),
+    "two": RNG.standard_normal((2, 2)),
+    "zero": np.zeros((6, 6)),
+    "low rank": RNG.standard_normal((30, 4)) @ RNG.standard_normal((4, 30)),
+    "equal values": np.linalg.qr(RNG.standard_normal((24, 24)))[0] * 2.5,
+    "pairs": np.linalg.qr(RNG.standard_normal((24, 24)))[0] @ np.diag(np.repeat(np.arange(12) + 1.0, 2)) @ np.linalg.qr(RNG.standard_normal((24, 24)))[0],
+    "identity": np.eye(17),
+    "close": np.diag(1 + 1e-9 * np.arange(20)) @ np.linalg.qr(RNG.standard_normal((20, 20)))[0],
+    "empty columns": np.hstack([RNG.standard_normal((12, 5)), np.zeros((12, 7))]),
+    "noise": RNG.standard_normal((5000, 64))[:64] + 0.0,
+}
+
+
+@pytest.mark.parametrize("name", MATRICES)
+def test_solver_against_numpy(name):
+    m = MATRICES[name]
+    a, b, v = whitening.bidiagonalise(m)
+    d = m.shape[1]
+    assert np.allclose(v.T @ v, np.eye(d), atol=1e-13)
+    want = np.linalg.svd(m, compute_uv=False)
+    top = max(want[0], 1e-300)
+    assert np.allclose(np.linalg.svd(_bidiagonal(a, b), compute_uv=False), want, atol=1e-13 * top)
+    values = whitening.squared_singular_values(a, b)
+    assert np.allclose(np.sqrt(values), want, atol=1e-13 * top)
+    k = min(16, d, int((want > 1e-10 * top).sum()))
+    w = v @ whitening.right_vectors(a, b, values, k)
+    assert np.allclose(w.T @ w, np.eye(k), atol=1e-10)
+    assert np.allclose(np.linalg.norm(m @ w, axis=0), want[:k], atol=1e-12 * top)
+    assert np.allclose(m.T @ (m @ w), w * values[:k], atol=1e-11 * top * top)
+
+
+def test_small_values_have_small_relative_errors():
+    """dqds on a graded bidiagonal: every value to nearly full precision, where the square's eigenvalues have none."""
+    a, b = 10.0 ** -np.arange(0, 24, 2.0), 10.0 ** -np.arange(1, 23, 2.0) * 0.3
+    got = np.sqrt(whitening.squared_singular_values(a, b))
+    assert abs(np.sum(np.log(got)) - np.sum(np.log(a))) < 1e-12  # the determinant
+    assert (got > 0).all() and got[-1] < 1e-20
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int, x string, n int, v int"
+
+
+def _frame(spark, vectors, parts=4):
+    rows = [(i, None if v is None else [None if c is None else float(c) for c in v], 1, "x", 2, 3) for i, v in vectors]
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+def plain(vectors, components=16):
+    """vec_id, component -> the other columns, by numpy's eigenvectors of the covariance."""
+    left = [(i, [math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v]) for i, v in vectors if v and all(c is not None and math.isfinite(c) for c in v)]
+    distinct = np.array(sorted({tuple(x) for _, x in left}), object)
+    n, sums = len(distinct), distinct.sum(axis=0)
+    centred = ((n * distinct - sums) / n).astype(float)
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    out = []
+    for i, x in left:
+        gap = n * np.array(x, object) - sums
+        for k in range(min(components, len(x))):
+            z = (gap / n).astype(float) @ vectors[:, k] / math.sqrt(values[k]) if values[k] > 1e-10 * values[0] else None
+            out.append((i, k + 1, n, int((gap**2).sum()), z, values[k] / values.sum()))
+    return out
+
+
+def _same(got, want):
+    key = lambda r: (str(r[0]), r[1], r[3], abs(r[4] or 0))
+    got, want = sorted((tuple(r) for r in got), key=key), sorted(want, key=key)
+    assert [(r[0], r[1], r[2], r[3], r[4] is None) for r in got] == [(r[0], r[1], r[2], r[3], r[4] is None) for r in want]
+    for k in {r[1] for r in want}:
+        a, b = (np.array([[r[4] or 0.0, r[5]] for r in rows if r[1] == k]) for rows in (got, want))
+        sign = np.sign((a[:, 0] * b[:, 0]).sum()) or 1
+        assert np.allclose(a[:, 0] * sign, b[:, 0], atol=1e-9) and np.allclose(a[:, 1], b[:, 1], rtol=1e-9, atol=1e-12)
+    assert all(r[6] is None or r[6] <= 1e-10 for r in got)
+
+
+def test_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(k, list(v)) for k, v in enumerate(rng.standard_normal((700, 24)) * np.linspace(0.1, 3, 24) + 0.5)]
+    vectors += [(1000 + k, vectors[5][1]) for k in range(300)] + [(None, vectors[6][1]), (7, vectors[7][1]), (7, vectors[8][1])]
+    vectors += [(2000, None), (2001, [0.5] * 23 + [None]), (2002, [0.5] * 23 + [math.nan]), (2003, [-math.inf] + [0.5] * 23), (2004, []), (2005, [200.0] + [0.0] * 23)]
+    _same(whitening.query(_frame(spark, vectors)).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error").collect(), plain(vectors))
+
+
+def test_little_variance(spark):
+    """Fewer distinct vectors than dimensions, a constant dimension, few dimensions, one vector, none."""
+    rng = np.random.default_rng(4)
+    few = [(k, [*v, 1.0]) for k, v in enumerate(rng.standard_normal((5, 7)))]
+    columns = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    _same(whitening.query(_frame(spark, few)).select(*columns).collect(), plain(few))
+    short = [(k, list(v)) for k, v in enumerate(rng.standard_normal((50, 3)))]
+    _same(whitening.query(_frame(spark, short)).select(*columns).collect(), plain(short))
+    got = whitening.query(_frame(spark, [(1, [0.5, 2.0]), (2, [0.5, 2.0])])).collect()
+    assert [(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in got] == [(1, 0, None, None, None)] * 4
+    assert whitening.query(_frame(spark, [(1, None)])).count() == 0
+    assert whitening.query(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_errors(spark):
+    with pytest.raises(ValueError, match="unequal length"):
+        whitening.query(_frame(spark, [(1, [1.0]), (2, [1.0, 2.0])]))
+    with pytest.raises(Exception, match="too large"):
+        whitening.query(_frame(spark, [(1, [1e30])]))
+
+
+def test_deviation_beyond_a_long(spark):
+    """The operator keeps it exact, as a decimal; the query's long has no room for it."""
+    vectors = [(k, [float(k % 7) * 2.0**33 if k % 2 else 0.25 * k, float(k)]) for k in range(300)]
+    frame = _frame(spark, vectors)
+    whole = whitening.whole_vectors(frame)
+    got = {r.vec_id: int(r.deviation) for r in whitening.whitened(whole, whitening.fit(whole)).collect()}
+    assert got == {r[0]: r[3] for r in plain(vectors)} and max(got.values()) > 1 << 63
+    assert any(r.deviation is None for r in whitening.query(frame).collect())
