@@ -124,7 +124,7 @@ def test_errors(spark):
 
 def test_deviation_beyond_a_long(spark):
     """The operator keeps it exact, as a decimal; the query's long has no room for it."""
-    vectors = [(k, [float(k % 7) * 2.0**33 if k % 2 else 0.25 * k, float(k)]) for k in range(300)]
+    vectors = [(k, [float(k % 7) * 2.0**31 if k % 2 else 0.25 * k, float(k)]) for k in range(300)]
     frame = _frame(spark, vectors)
     whole = whitening.whole_vectors(frame)
     got = {r.vec_id: int(r.deviation) for r in whitening.whitened(whole, whitening.fit(whole)).collect()}
