@@ -17,6 +17,12 @@ of these tables has a size bound.
 
 The snapshot predicate is applied to the baseline *before* the join so that
 it is pushed into the baseline scan and every candidate row is still kept.
+
+Columns of the candidate and the baseline that the roles do not declare travel
+along under their own names, behind the measures (P1). Names must be distinct
+over both sides and the library's own columns; a clash raises before any job
+and names both. What a result does not use is pruned at the scan, so carrying
+them costs nothing until they are asked for.
 """
 
 from __future__ import annotations
@@ -78,6 +84,13 @@ MEASURES = [
 
 COLUMNS = [name for name, _ in _PASS_THROUGH] + MEASURES
 
+# Columns that flags and classes add behind the comparison's.
+ADDED_LATER = ["cycle_to_final_ratio", "cand_higher", "cfr_on_target", "cand_cov_higher", "label", "code", "_label_code"]
+
+
+class ColumnClash(ValueError):
+    """Two columns of the comparison would have one name."""
+
 
 @per_application
 def measures() -> list[Column]:
@@ -124,8 +137,29 @@ def _projection() -> list[Column]:
     return [F.col(src).alias(name) for name, src in _PASS_THROUGH] + measures()
 
 
-def _project(joined: DataFrame) -> DataFrame:
-    return joined.select(*_projection())
+def carried_columns(roles: Roles) -> list[tuple[str, str]]:
+    """(bound name, own name) of the undeclared columns of both sides (P1); raises ``ColumnClash``."""
+    sides = (
+        ("candidate", "k_", S.undeclared(roles.candidate, S.CandidateCols())),
+        ("baseline", "i_", S.undeclared(roles.baseline, S.BaselineCols())),
+    )
+    taken = {c.lower(): f"the comparison's {c}" for c in [*COLUMNS, *ADDED_LATER]}
+    out, clashes = [], []
+    for role, prefix, names in sides:
+        for name in names:
+            here = f"{role}.{name}"
+            if name.lower() in taken:
+                clashes.append(f"{taken[name.lower()]} and {here}")
+            taken.setdefault(name.lower(), here)
+            out.append((f"{S.CARRIED}{prefix}{name}", name))
+    if clashes:
+        raise ColumnClash("columns of one name, rename or drop one of each: " + "; ".join(clashes))
+    return out
+
+
+def _project(joined: DataFrame, roles: Roles) -> DataFrame:
+    carried = [F.col(S.quoted(bound)).alias(name) for bound, name in carried_columns(roles)]
+    return joined.select(*_projection(), *carried)
 
 
 def snapshot_predicate(df: DataFrame, column: str, snapshot: dt.date) -> Column:
@@ -147,8 +181,8 @@ def snapshot_predicate(df: DataFrame, column: str, snapshot: dt.date) -> Column:
 
 
 def _bound(roles: Roles):
-    k = S.bind_candidate(roles.candidate)
-    i = S.bind_baseline(roles.baseline)
+    k = S.bind_candidate(roles.candidate, carry=True)
+    i = S.bind_baseline(roles.baseline, carry=True)
     c = S.bind_factor(roles.factor)
     cv = S.bind_cov(roles.cov)
     sl = S.bind_service(roles.service)
@@ -188,7 +222,7 @@ def joined(roles: Roles, snapshot: dt.date) -> DataFrame:
 
 def comparison(roles: Roles, snapshot: dt.date) -> DataFrame:
     """The comparison table (S7): one row per candidate row (times fan-out)."""
-    return _project(joined(roles, snapshot))
+    return _project(joined(roles, snapshot), roles)
 
 
 def _date_key(d: Column) -> Column:
@@ -232,7 +266,7 @@ def comparison_concat_key(roles: Roles, snapshot: dt.date) -> DataFrame:
         .join(cv, _same_site("k", "cv"), "left")
         .join(sl, _same_site("k", "sl"), "left")
     )
-    return _project(j)
+    return _project(j, roles)
 
 
 def unmatched(roles: Roles, snapshot: dt.date) -> DataFrame:
@@ -255,7 +289,7 @@ def unmatched(roles: Roles, snapshot: dt.date) -> DataFrame:
     )
     lone = lone.join(cv, _same_site("k", "cv"), "left").join(sl, _same_site("k", "sl"), "left")
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in i.schema.fields + c.schema.fields]
-    return _project(lone.select("*", *nulls))
+    return _project(lone.select("*", *nulls), roles)
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions.arith import safe_div
 from stocklens.functions.memo import per_application
-from stocklens.schema import NO, NO_CFR_INFO, NULL_STRING, YES
+from stocklens.schema import NO, NO_CFR_INFO, NULL_STRING, YES, quoted
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     The label ladder yields a code first and is mapped to text in a second
     projection, so each ladder appears once in the generated code.
     """
-    cols = df.columns
+    cols = [quoted(c) for c in df.columns]
     label_ladder, code_ladder = ladders(t)
     coded = df.select("*", label_ladder.alias("_label_code"), code_ladder.alias("code"))
     return coded.select(*cols, label_of(F.col("_label_code")).alias("label"), "code")

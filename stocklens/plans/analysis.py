@@ -37,6 +37,7 @@ class Analysis:
 
     def __post_init__(self):
         self.roles.validate()  # schema metadata only; fails before any job
+        compare.carried_columns(self.roles)  # so do clashes of undeclared columns
 
     @staticmethod
     def from_tables(spark: SparkSession, sf_dir: str, stage: bool = True) -> "Analysis":

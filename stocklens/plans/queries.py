@@ -8,6 +8,7 @@ driver tables, on materialised role tables, or on a user's own tables.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,6 +112,19 @@ for _key, _col in {
 }.items():
     REGISTRY[_key] = (lambda c: lambda a: _keyed(a.comparison, c))(_col)
 
+
+@_reg("star_projection")
+def _star_projection(a: Analysis) -> DataFrame:
+    """Columns that no role declares, of both sides, on the classified rows."""
+    k, i = a.roles.candidate, a.roles.baseline
+    roles = replace(
+        a.roles,
+        candidate=k.withColumn("Planner_Site", F.concat_ws("@", "PartName", "PartSite")).withColumn("Demand_Rank", F.col("Daily_DemandDirect") * 2),
+        baseline=i.withColumn("Review_Round", F.concat_ws("/", F.year("KEYFIGUREDATE").cast("string"), "PGSUBSECTOR")),
+    )
+    return Analysis(roles, a.snapshot, a.segment).classified
+
+
 # --- populations (F2-F7) ------------------------------------------------------
 REGISTRY["pop_existing"] = lambda a: populations.existing(a.comparison)
 REGISTRY["pop_final_units"] = lambda a: populations.final_units(a.comparison)

@@ -153,9 +153,28 @@ def service_schema(cols: ServiceCols = ServiceCols()) -> T.StructType:
 KEY_ATTRS = ("product", "location")
 
 
-def bind(df: DataFrame, cols, prefix: str, rename: dict[str, str] | None = None) -> DataFrame:
+# Prefix under which a role's undeclared columns travel through the joins.
+CARRIED = "carried_"
+
+
+def quoted(name: str) -> str:
+    """``name`` as a column reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def undeclared(df: DataFrame, cols) -> list[str]:
+    """The columns of a role table that the role does not declare, in their order."""
+    declared = {getattr(cols, f.name).lower() for f in fields(cols)}
+    return [c for c in df.columns if c.lower() not in declared]
+
+
+def bind(
+    df: DataFrame, cols, prefix: str, rename: dict[str, str] | None = None, carry: bool = False
+) -> DataFrame:
     """Project a role table onto canonical names ``prefix + attribute``.
 
+    With ``carry`` its undeclared columns come along, as ``carried_<prefix><name>``.
+
     A ``Project`` of column references (keys cast to text, a no-op for text
     keys): Catalyst prunes what later operators do not read, so binding costs
     nothing at the scan.
@@ -169,17 +188,19 @@ def bind(df: DataFrame, cols, prefix: str, rename: dict[str, str] | None = None)
             # not make the join cast the other side's text ids to numbers
             c = c.cast("string")
         out.append(c.alias(rename.get(f.name, prefix + f.name)))
+    if carry:
+        out += [F.col(quoted(c)).alias(f"{CARRIED}{prefix}{c}") for c in undeclared(df, cols)]
     return df.select(*out)
 
 
 
-def bind_candidate(df: DataFrame, cols: CandidateCols = CandidateCols()) -> DataFrame:
-    return bind(df, cols, "k_")
+def bind_candidate(df: DataFrame, cols: CandidateCols = CandidateCols(), carry: bool = False) -> DataFrame:
+    return bind(df, cols, "k_", carry=carry)
 
 
-def bind_baseline(df: DataFrame, cols: BaselineCols = BaselineCols()) -> DataFrame:
+def bind_baseline(df: DataFrame, cols: BaselineCols = BaselineCols(), carry: bool = False) -> DataFrame:
     rename = {attr: name for name, attr in BUCKETS}
-    return bind(df, cols, "i_", rename)
+    return bind(df, cols, "i_", rename, carry=carry)
 
 
 def bind_factor(df: DataFrame, cols: FactorCols = FactorCols()) -> DataFrame:

@@ -23,7 +23,7 @@ ROLE_SCHEMAS = {
 def _declared(name: str, df: DataFrame) -> DataFrame:
     """``df`` with its declared columns cast to their declared types: what ``validate`` accepts, ``read`` must find."""
     types = {f.name: f.dataType for f in ROLE_SCHEMAS[name]().fields}
-    return df.select(*[df[f"`{c}`"].cast(types[c]).alias(c) if c in types else df[f"`{c}`"] for c in df.columns])
+    return df.select(*[F.col(S.quoted(c)).cast(types[c]).alias(c) if c in types else F.col(S.quoted(c)) for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,15 @@ class Roles:
             # a declared schema makes Spark fill absent columns with NULL,
             # which this analysis would read as "missing value": check first
             # (file footers and folder names only, no data is read)
-            found = set(spark.read.parquet(f"{path}/{name}").columns)
+            there = spark.read.parquet(f"{path}/{name}").schema.fields
+            found, known = {f.name for f in there}, {c.lower() for c in declared.fieldNames()}
             missing = [c for c in declared.fieldNames() if c not in found]
             if missing:
                 raise ValueError(f"{path}/{name}: missing columns {missing}")
-            df = spark.read.schema(declared).parquet(f"{path}/{name}")
-            out[name] = df.select(*declared.fieldNames())  # declared column order
+            # declared columns first, in their order; undeclared ones follow
+            others = [f for f in there if f.name.lower() not in known]
+            df = spark.read.schema(T.StructType([*declared.fields, *others])).parquet(f"{path}/{name}")
+            out[name] = df.select(*[S.quoted(c) for c in [*declared.fieldNames(), *[f.name for f in others]]])
         return Roles(**out)
 
     def save_tables(self, prefix: str, buckets: int | None = None) -> list[str]:
@@ -121,7 +124,9 @@ class Roles:
         for name, schema_fn in ROLE_SCHEMAS.items():
             if name == "candidate2" and not with_candidate2:
                 continue
-            out[name] = spark.table(prefix + name).select(*schema_fn().fieldNames())
+            table, declared = spark.table(prefix + name), schema_fn().fieldNames()
+            others = [c for c in table.columns if c.lower() not in {d.lower() for d in declared}]
+            out[name] = table.select(*[S.quoted(c) for c in [*declared, *others]])
         return Roles(**out)
 
     def conform(
@@ -138,6 +143,8 @@ class Roles:
         ``CandidateCols(product="sku", location="site", ...)``). The result is
         a projection per role -- no data moves -- after which every operator
         reads the default names. The second candidate follows ``candidate``.
+        Columns that are not named stay as they are; one that has the default
+        name of another raises.
         """
         mapping = {"candidate": candidate, "candidate2": candidate, "baseline": baseline,
                    "factor": factor, "cov": cov, "service": service}
@@ -150,10 +157,12 @@ class Roles:
             if given is None:
                 out[name] = df
                 continue
-            out[name] = df.select(*[
-                F.col(f"`{getattr(given, f.name)}`").alias(getattr(defaults[name], f.name))
-                for f in fields(given)
-            ])
+            named = {getattr(given, f.name): getattr(defaults[name], f.name) for f in fields(given)}
+            others = [c for c in df.columns if c not in named]
+            twice = {c.lower() for c in named.values()} & {c.lower() for c in others}
+            if twice:
+                raise ValueError(f"{name}: columns {sorted(twice)} are there besides those named so; rename or drop them")
+            out[name] = df.select(*[F.col(S.quoted(c)).alias(to) for c, to in named.items()], *[S.quoted(c) for c in others])
         return Roles(**out)
 
     def validate(self) -> "Roles":
