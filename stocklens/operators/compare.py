@@ -162,17 +162,20 @@ def _project(joined: DataFrame, roles: Roles) -> DataFrame:
     return joined.select(*_projection(), *carried)
 
 
-def snapshot_predicate(df: DataFrame, column: str, snapshot: dt.date) -> Column:
+def snapshot_predicate(df: DataFrame, column: str, snapshot: dt.date | Column) -> Column:
     """Rows of ``column`` on the calendar day ``snapshot``.
 
     For a DATE column this is an equality; for a timestamp it is the half-open
     day ``[snapshot, snapshot + 1 day)``, so any time of day matches. Both are
-    plain range predicates that reach the parquet scan.
+    plain range predicates that reach the parquet scan. ``snapshot`` may also
+    be a column, such as the scalar subquery of ``SnapshotHistory.latest_date``.
     """
     dtype = df.schema[column].dataType
     c = F.col(column)
     if isinstance(dtype, T.DateType):
         return c == F.lit(snapshot)
+    if isinstance(snapshot, Column):
+        return (c >= snapshot.cast("date").cast(dtype)) & (c < F.date_add(snapshot.cast("date"), 1).cast(dtype))
     # Day bounds as text cast to the column's own type: midnight in the
     # session time zone for TIMESTAMP, wall-clock midnight for TIMESTAMP_NTZ.
     start = F.lit(f"{snapshot.isoformat()} 00:00:00").cast(dtype)
@@ -209,7 +212,7 @@ def baseline_with_factor(i: DataFrame, c: DataFrame) -> DataFrame:
     return i.join(c, F.col("i_product") == F.col("c_product"), "left")
 
 
-def joined(roles: Roles, snapshot: dt.date) -> DataFrame:
+def joined(roles: Roles, snapshot: dt.date | Column) -> DataFrame:
     """J1-J4 on bound columns, before the measures are derived."""
     k, i, c, cv, sl = _bound(roles)
     i = baseline_with_factor(i.filter(snapshot_predicate(i, "i_snapshot", snapshot)), c)
@@ -220,7 +223,7 @@ def joined(roles: Roles, snapshot: dt.date) -> DataFrame:
     )
 
 
-def comparison(roles: Roles, snapshot: dt.date) -> DataFrame:
+def comparison(roles: Roles, snapshot: dt.date | Column) -> DataFrame:
     """The comparison table (S7): one row per candidate row (times fan-out)."""
     return _project(joined(roles, snapshot), roles)
 
@@ -237,7 +240,7 @@ def _date_key(d: Column) -> Column:
 KEY_SEPARATOR = "|"
 
 
-def comparison_concat_key(roles: Roles, snapshot: dt.date) -> DataFrame:
+def comparison_concat_key(roles: Roles, snapshot: dt.date | Column) -> DataFrame:
     """The baseline join written on one concatenated string key.
 
     ``product | location _ <day><Month><year>`` on both sides. The key already
@@ -269,7 +272,7 @@ def comparison_concat_key(roles: Roles, snapshot: dt.date) -> DataFrame:
     return _project(j, roles)
 
 
-def unmatched(roles: Roles, snapshot: dt.date) -> DataFrame:
+def unmatched(roles: Roles, snapshot: dt.date | Column) -> DataFrame:
     """comparison rows whose candidate has no baseline row at the snapshot.
 
     Written as an anti join: a matched baseline row always has non-NULL keys

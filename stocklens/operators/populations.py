@@ -67,7 +67,7 @@ def nonzero_candidate(cmp: DataFrame) -> DataFrame:
     return cmp.filter(predicate("nonzero"))
 
 
-def segment_snapshot(roles: Roles, snapshot: dt.date, segment: str) -> DataFrame:
+def segment_snapshot(roles: Roles, snapshot: dt.date | Column, segment: str) -> DataFrame:
     """baseline rows of one snapshot and subsector with a final value."""
     i = bind_baseline(roles.baseline)
     return i.filter(

@@ -10,10 +10,10 @@ columns pruned).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.operators import compare, histogram, populations, rollups, rules, scenarios
@@ -26,12 +26,13 @@ from stocklens.sources.roles import Roles
 class Analysis:
     """The analysis of one candidate against one baseline snapshot.
 
-    ``snapshot`` is the baseline's date to compare with, ``segment`` the
+    ``snapshot`` is the baseline's date to compare with (or a column that gives
+    it when a query runs, see ``SnapshotHistory.latest_date``), ``segment`` the
     subsector that ``segment_snapshot_count`` counts.
     """
 
     roles: Roles
-    snapshot: dt.date
+    snapshot: dt.date | Column
     segment: str
     thresholds: rules.Thresholds = field(default_factory=rules.Thresholds)
 
@@ -53,6 +54,13 @@ class Analysis:
         roles = fixture.staged_roles if stage else fixture.fixture_roles
         return Analysis(roles(spark, sf_dir), fixture.SNAPSHOT, fixture.SEGMENT)
 
+    @staticmethod
+    def from_history(spark: SparkSession, sf_dir: str) -> "Analysis":
+        """As ``from_tables``, with a baseline for the year end of every year of shipping, compared at the latest."""
+        history = fixture.staged_history(spark, sf_dir)
+        roles = replace(fixture.staged_roles(spark, sf_dir), baseline=history.rows())
+        return Analysis(roles, history.latest_date(), fixture.SEGMENT)
+
     # -- comparison and populations ------------------------------------------
     @cached_property
     def comparison(self) -> DataFrame:
@@ -120,7 +128,8 @@ class Analysis:
 
         A view over a DataFrame is only a name for its plan: nothing runs
         until a query reads it, and each query is optimised as a whole
-        (filters still reach the scans).
+        (filters still reach the scans). The view keeps that plan when another
+        view is replaced; ``plans.views`` has them as SQL text, read anew.
         """
         views = {
             "comparison": self.comparison,

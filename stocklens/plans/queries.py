@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocklens.operators import compare, populations, rollups, scenarios
+from stocklens.plans import views
 from stocklens.plans.analysis import Analysis
 from stocklens.session import scratch_path
-from stocklens.sources import ingest
+from stocklens.sources import fixture, ingest
 from stocklens.sources.fixture import read_table
+from stocklens.sources.history import SnapshotHistory
 
 KEY_COLS = ("product", "location")
 
@@ -68,15 +70,15 @@ def _normalize_headers(a: Analysis) -> DataFrame:
 @_reg("table_round_trip")
 def _table_round_trip(a: Analysis) -> DataFrame:
     """A table overwritten with its schema kept, then with a wider one, and read by name."""
-    name = f"stocklens_round_trip_{uuid.uuid4().hex[:12]}"
-    factor = a.roles.factor
-    ingest.write_table(factor.filter(F.lit(False)), name)
-    ingest.write_table(factor, name, allow_schema_change=False)
-    wider = ingest.read_table(factor.sparkSession, name).withColumn("note", F.concat_ws("/", "Material", "converter_factor"))
-    path = scratch_path(factor.sparkSession, "round-trip")
-    wider.write.parquet(path)
-    ingest.write_table(factor.sparkSession.read.parquet(path), name)
-    return ingest.read_table(factor.sparkSession, name)
+    spark, factor = a.roles.factor.sparkSession, a.roles.factor
+    name, folder = f"stocklens_round_trip_{uuid.uuid4().hex[:12]}", scratch_path(spark, "round-trip")
+    ingest.replace_table(factor.filter(F.lit(False)), name, path=folder)
+    ingest.replace_table(factor, name, allow_schema_change=False, path=folder)
+    wider = ingest.read_table(spark, name).withColumn("note", F.concat_ws("/", "Material", "converter_factor"))
+    ingest.replace_table(wider, name, path=folder)  # reads the table that it replaces
+    files = ingest.read_table(spark, name).inputFiles()
+    spark.sql(f"DROP TABLE {name}")  # the files stay in scratch; no table is left in the catalog
+    return spark.read.parquet(*sorted({f.rsplit("/", 1)[0] for f in files}))
 
 
 @_reg("scenario_select")
@@ -84,6 +86,30 @@ def _scenario_select(a: Analysis) -> DataFrame:
     return scenarios.select_scenario(a.scenario_catalog(), "second")
 
 
+def _scenario_files(a: Analysis) -> scenarios.ScenarioFiles:
+    """Both candidates written as files of their own, the second with columns that the first lacks and the other way round."""
+    spark = a.roles.candidate.sparkSession
+    root = scratch_path(spark, "scenarios")
+    first = a.roles.candidate.withColumn("Locked_Weeks", F.col("Daily_DemandDirect").cast("int"))
+    second = a.roles.candidate2.withColumn("Calibrated_On", F.col("PartSite")).withColumn("Locked_Weeks", F.col("Safety_StockDays"))
+    first.write.parquet(f"{root}/service_optimised")
+    second.write.parquet(f"{root}/on_hand_calibrated")
+    return scenarios.ScenarioFiles(spark, {n: f"{root}/{n}" for n in ("service_optimised", "on_hand_calibrated")})
+
+
+@_reg("scenario_files")
+def _scenario_files_merged(a: Analysis) -> DataFrame:
+    """Two scenarios by path in one table, each row with the folder of its file."""
+    merged = _scenario_files(a).merged()
+    return merged.withColumn("source_file", F.element_at(F.split("source_file", "/"), -2))
+
+
+@_reg("scenario_file_select")
+def _scenario_file_select(a: Analysis) -> DataFrame:
+    """One scenario by path."""
+    return _scenario_files(a).select("on_hand_calibrated").drop("source_file")
+
+
 # --- comparison, joins, measures (S7, J1-J4, P1-P7, F1) -----------------------
 REGISTRY["comparison"] = lambda a: a.comparison
 REGISTRY["join_concat_key"] = lambda a: compare.comparison_concat_key(a.roles, a.snapshot)
@@ -208,6 +234,43 @@ def scan_role_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.scan_role(spark, path, declared)
 
 
+# --- SQL text over views (S8) ---------------------------------------------------
+def _views(a: Analysis) -> tuple[SparkSession, str, list[str]]:
+    spark, prefix = a.roles.candidate.sparkSession, "stocklens_text_"
+    a.comparison.createOrReplaceTempView(f"{prefix}comparison")
+    a.roles.candidate.createOrReplaceTempView(f"{prefix}candidate")
+    a.roles.candidate2.createOrReplaceTempView(f"{prefix}candidate2")
+    return spark, prefix, views.create_views(spark, prefix, pair=True)
+
+
+@_reg("summary_by_sql")
+def _summary_by_sql(a: Analysis) -> DataFrame:
+    """The summary, through SQL text over views over views."""
+    spark, prefix, _ = _views(a)
+    return spark.sql(f"SELECT * FROM {prefix}summary")
+
+
+@_reg("classified_by_sql")
+def _classified_by_sql(a: Analysis) -> DataFrame:
+    """The classified rows, through SQL text."""
+    spark, prefix, _ = _views(a)
+    return spark.sql(f"SELECT * FROM {prefix}classified")
+
+
+@_reg("pair_by_sql")
+def _pair_by_sql(a: Analysis) -> DataFrame:
+    """The scenario pair, through SQL text."""
+    spark, prefix, _ = _views(a)
+    return spark.sql(f"SELECT * FROM {prefix}scenario_pair")
+
+
+@_reg("view_sizes")
+def _view_sizes(a: Analysis) -> DataFrame:
+    """The rows of every view."""
+    spark, prefix, names = _views(a)
+    return views.sizes(spark, names, prefix)
+
+
 def describe_comparison(a: Analysis) -> DataFrame:
     return compare.describe(a.comparison)
 
@@ -215,10 +278,38 @@ def describe_comparison(a: Analysis) -> DataFrame:
 REGISTRY["describe_comparison"] = describe_comparison
 
 
+# --- a history of snapshots by the tables' own dates (F7, J1, A1, S7) ------------
+HISTORY: dict[str, QueryFn] = {
+    "history_segment_count": lambda a: a.segment_snapshot_count(),
+    "history_join": lambda a: REGISTRY["join_snapshot"](a),
+    "history_summary": lambda a: a.summary(),
+}
+
+
+def history_min_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 over the history, from its listing."""
+    return fixture.staged_history(spark, sf_dir).earliest()
+
+
+def history_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of which one snapshot was replaced in place; rows and stock of every snapshot."""
+    staged = fixture.staged_history(spark, sf_dir)
+    own = SnapshotHistory.write(staged.rows(), scratch_path(spark, "replaced-history"))
+    earliest = staged.rows().filter(F.col(own.column) == staged.dates().agg(F.min("snapshot_date")).scalar())
+    own.replace(earliest.filter("FINALIOSAFETYSTOCK IS NOT NULL").withColumn("FINALIOSAFETYSTOCK", F.col("FINALIOSAFETYSTOCK") * 2))
+    return SnapshotHistory(spark, own.path).rows().groupBy(F.col(own.column).alias("snapshot_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("FINALIOSAFETYSTOCK").alias("final_su")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """``(spark, sf_dir) -> DataFrame`` per key, each over the whole tables."""
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for key, fn in REGISTRY.items():
         out[key] = (lambda f: lambda spark, sf_dir: f(Analysis.from_tables(spark, sf_dir)))(fn)
+    for key, fn in HISTORY.items():
+        out[key] = (lambda f: lambda spark, sf_dir: f(Analysis.from_history(spark, sf_dir)))(fn)
+    out["history_min_snapshot"] = history_min_snapshot
+    out["history_replaced"] = history_replaced
     out["scan_role"] = scan_role_query
     return out

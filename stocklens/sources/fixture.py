@@ -31,6 +31,7 @@ import threading
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.sources.history import SnapshotHistory
 from stocklens.sources.roles import Roles
 
 # Fixed values of the fixture (FIXTURES.md section 3).
@@ -47,10 +48,11 @@ def _flag_sum(flag: str, value: str) -> Column:
     return F.sum(F.when(F.col("l_returnflag") == flag, F.col(value)).otherwise(F.lit(0)))
 
 
-def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pair``: one row per (part ``p``, supplier nation ``n``)."""
+def pair(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
+    """``pair``: one row per (part ``p``, supplier nation ``n``); ``by_year`` also per year ``y`` of shipping."""
+    year = [F.year("l_shipdate").alias("y")] if by_year else []
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linenumber"
+        "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linenumber", *year
     )
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     part = read_table(spark, sf_dir, "part").select(
@@ -61,7 +63,7 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     agg = (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
-        .groupBy(F.col("l_partkey").alias("p"), F.col("s_nationkey").alias("n"))
+        .groupBy(F.col("l_partkey").alias("p"), F.col("s_nationkey").alias("n"), *["y"][: len(year)])
         .agg(
             _flag_sum("R", "l_quantity").alias("qr"),
             _flag_sum("A", "l_quantity").alias("qa"),
@@ -114,8 +116,8 @@ def candidate2(pr: DataFrame) -> DataFrame:
     return _candidate(pr.filter(F.col("qa") > 0), "qa", "da", cov, cov)
 
 
-def baseline(pr: DataFrame) -> DataFrame:
-    """Target snapshot rows plus a decoy copy at an older snapshot."""
+def _baseline_rows(pr: DataFrame, *snapshots: Column) -> DataFrame:
+    """Baseline rows of the pairs that have one, once for each of ``snapshots``."""
     p, n, f = F.col("p"), F.col("n"), F.col("f")
     ty = F.col("ty")
     null_d = F.lit(None).cast("double")
@@ -157,9 +159,21 @@ def baseline(pr: DataFrame) -> DataFrame:
         F.lit(0.0).alias("SU_Unknown_U"),
     ]
     kept = pr.filter((F.col("qn") > 0) | (F.col("qa") > 0))
-    cols = body[:2] + [F.lit(SNAPSHOT).alias("KEYFIGUREDATE")] + body[2:]
-    decoy = body[:2] + [F.lit(DECOY_SNAPSHOT).alias("KEYFIGUREDATE")] + body[2:]
-    return kept.select(*cols).unionByName(kept.select(*decoy))
+    out = None
+    for date in snapshots:
+        rows = kept.select(*body[:2], date.alias("KEYFIGUREDATE"), *body[2:])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def baseline(pr: DataFrame) -> DataFrame:
+    """Target snapshot rows plus a decoy copy at an older snapshot."""
+    return _baseline_rows(pr, F.lit(SNAPSHOT), F.lit(DECOY_SNAPSHOT))
+
+
+def history(by_year: DataFrame) -> DataFrame:
+    """A baseline snapshot at the end of every year of shipping, of that year's lines."""
+    return _baseline_rows(by_year, F.make_date("y", F.lit(12), F.lit(31)))
 
 
 def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +263,20 @@ def staged_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def staged_history(spark: SparkSession, sf_dir: str) -> SnapshotHistory:
+    """``history`` for ``sf_dir``, partitioned by its date, written once."""
+    from stocklens.session import app_id, scratch_path
+
+    key = (app_id(spark), sf_dir, "history", _signature(spark, sf_dir))
+    with _STAGE_LOCK:
+        path = _STAGED.get(key)
+        if path is None:
+            path = scratch_path(spark, "history")
+            SnapshotHistory.write(history(pair(spark, sf_dir, by_year=True)), path)
+            _STAGED[key] = path
+    return SnapshotHistory(spark, path)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Delete this application's staged tables; the number of them."""
     from stocklens.session import app_id

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocklens import schema as S
+from stocklens.sources.history import SnapshotHistory
 
 ROLE_SCHEMAS = {
     "candidate": S.candidate_schema,
@@ -46,7 +47,7 @@ class Roles:
             if df is not None:
                 yield f.name, df
 
-    def write(self, path: str, files: int = 64) -> None:
+    def write(self, path: str) -> None:
         """Overwrite every role as a parquet table under ``path``.
 
         This is the lineage cut: later analyses read files, so a lost executor
@@ -54,18 +55,21 @@ class Roles:
 
         The baseline is partitioned by its snapshot date: a history of many
         snapshots then answers the snapshot predicate by partition pruning
-        (only the chosen day's folder is listed and read). A snapshot goes into
-        at most ``files`` files: rows are dealt by snapshot and a hash of
-        the key before they are written.
+        (only the chosen day's folder is listed and read). Files are sized by
+        bytes (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): AQE splits
+        large snapshots and joins small ones before they are written.
+        ``replace_snapshots`` renews some days of the baseline alone.
         """
         for name, df in self.items():
             df = _declared(name, df)
             if name == "baseline":
-                df = df.repartition(S.BaselineCols().snapshot, F.pmod(F.xxhash64(*_site_keys(name)), F.lit(files)))
-            writer = df.write.mode("overwrite")
-            if name == "baseline":
-                writer = writer.partitionBy(S.BaselineCols().snapshot)
-            writer.parquet(f"{path}/{name}")
+                SnapshotHistory.write(df, f"{path}/{name}")
+            else:
+                df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def replace_snapshots(self, path: str) -> None:
+        """Under ``path``, where ``write`` has put roles, renew the snapshots that this baseline holds; nothing else is touched."""
+        SnapshotHistory(self.baseline.sparkSession, f"{path}/baseline").replace(_declared("baseline", self.baseline))
 
     @staticmethod
     def read(spark: SparkSession, path: str, with_candidate2: bool = True) -> "Roles":

@@ -1,0 +1,114 @@
+"""Tables and snapshots put in place whole, or not at all."""
+
+import datetime as dt
+import os
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from stocklens.sources import ingest
+
+
+def _failing(df):
+    """``df`` whose last rows fail while they are written."""
+    return df.withColumn("v", F.when(F.col("id") < 90, F.col("v")).otherwise(F.raise_error(F.lit("broken row")).cast("string")))
+
+
+@pytest.fixture
+def name(spark):
+    n = f"replaced_{uuid.uuid4().hex[:8]}"
+    yield n
+    spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def _tables(spark, name):
+    return sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(name))
+
+
+def _rows(spark, n, v):
+    return spark.range(n).withColumn("v", F.lit(v))
+
+
+def test_replace_table(spark, name):
+    ingest.replace_table(_rows(spark, 10, "a"), name)
+    ingest.replace_table(_rows(spark, 20, "b"), name, allow_schema_change=False)
+    assert spark.table(name).count() == 20
+    ingest.replace_table(spark.table(name).filter("id < 5").withColumn("w", F.lit(1)), name)  # reads what it replaces
+    assert spark.table(name).columns == ["id", "v", "w"] and spark.table(name).count() == 5
+    with pytest.raises(ValueError, match="would change"):
+        ingest.replace_table(_rows(spark, 1, "c"), name, allow_schema_change=False)
+    assert _tables(spark, name) == [name]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, name):
+    ingest.replace_table(_rows(spark, 100, "a"), name)
+    with pytest.raises(Exception, match="broken row"):
+        ingest.replace_table(_failing(_rows(spark, 100, "b")), name)
+    assert [tuple(r) for r in spark.table(name).groupBy("v").count().collect()] == [("a", 100)]
+    assert _tables(spark, name) == [name]
+
+
+def test_a_failed_change_of_names_is_undone(spark, name, monkeypatch):
+    ingest.replace_table(_rows(spark, 3, "a"), name)
+    real = type(spark).sql
+
+    def sql(self, text, *args, **kwargs):
+        if f"RENAME TO {name}" in text and "__next_" in text:
+            raise RuntimeError("catalog is away")
+        return real(self, text, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "sql", sql)
+    with pytest.raises(RuntimeError, match="away"):
+        ingest.replace_table(_rows(spark, 5, "b"), name)
+    monkeypatch.undo()
+    assert spark.table(name).count() == 3 and _tables(spark, name) == [name]
+
+
+def _times(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+DAYS = [dt.date(2020, 12, 31), dt.date(2021, 12, 31), dt.date(2022, 12, 31)]
+
+
+def _history(spark, days, v):
+    return spark.range(100).crossJoin(spark.createDataFrame([(d,) for d in days], "day date")).withColumn("v", F.lit(v)).select("id", "v", "day")
+
+
+def test_replace_one_snapshot(spark, tmp_path):
+    path = str(tmp_path / "history")
+    ingest.replace_snapshots(_history(spark, DAYS, "a"), path, "day")
+    before = _times(path)
+    ingest.replace_snapshots(_history(spark, DAYS[1:2], "b"), path, "day", only=DAYS[1:2])
+    after = _times(path)
+    kept = {f: t for f, t in before.items() if "2021" not in f}
+    assert kept and kept == {f: t for f, t in after.items() if "2021" not in f}
+    seen = {(r.day, r.v): r["count"] for r in spark.read.parquet(path).groupBy("day", "v").count().collect()}
+    assert seen == {(DAYS[0], "a"): 100, (DAYS[1], "b"): 100, (DAYS[2], "a"): 100}
+
+
+def test_a_failed_or_strange_snapshot_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "history")
+    ingest.replace_snapshots(_history(spark, DAYS, "a"), path, "day")
+    before = _times(path)
+    with pytest.raises(Exception, match="broken row"):
+        ingest.replace_snapshots(_failing(_history(spark, DAYS[:1], "b")), path, "day")
+    with pytest.raises(Exception, match="another day"):
+        ingest.replace_snapshots(_history(spark, DAYS[:2], "b"), path, "day", only=DAYS[:1])
+    assert _times(path) == before
+
+
+def test_files_follow_bytes(spark, tmp_path):
+    """A large snapshot is split, small ones are not."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "100k")
+    try:
+        big = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"), F.lit(DAYS[0]).alias("day"))
+        small = spark.range(50).select("id", F.lit("x").alias("v"), F.lit(DAYS[1]).alias("day"))
+        ingest.replace_snapshots(big.union(small), str(tmp_path / "h"), "day")
+    finally:
+        spark.conf.set(key, old)
+    files = _times(tmp_path / "h")
+    assert sum("2020" in f for f in files) > 4 and sum("2021" in f for f in files) == 1
