@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 KEPT_WORDS = 200_000
-#: Cells of each of the sketch's two rows, and of a slice: the unit in which partial sketches are merged.
-SKETCH_BITS, SLICE_BITS = 26, 20
+#: Binary logarithms: most cells of each of a sketch's two rows; cells of a slice, the unit in which partial sketches are
+#: merged and the least that a row has; cells for a key.
+SKETCH_BITS, SLICE_BITS, SPARE_BITS = 26, 20, 3
 FLUSH = 2_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -76,15 +77,20 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _cells(keys: np.ndarray) -> np.ndarray:
+def bits_for(keys: int) -> int:
+    """The size of a sketch of so many keys."""
+    return min(SKETCH_BITS, max(SLICE_BITS, int(keys).bit_length() + SPARE_BITS))
+
+
+def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
     """Cell numbers of both rows, the second row's after the first's."""
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    second = (mix(keys + _A) & mask) + np.uint64(1 << SKETCH_BITS)
+    mask = np.uint64((1 << bits) - 1)
+    second = (mix(keys + _A) & mask) + np.uint64(1 << bits)
     return np.concatenate([keys & mask, second]).astype(np.uint32)
 
 
-def _partial(keys: list[np.ndarray]) -> pa.RecordBatch:
-    cells, counts = np.unique(_cells(np.concatenate(keys)), return_counts=True)
+def _partial(keys: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    cells, counts = np.unique(_cells(np.concatenate(keys), bits), return_counts=True)
     slices = cells >> SLICE_BITS
     starts = np.flatnonzero(np.concatenate(([True], slices[1:] != slices[:-1])))
     ends = np.append(starts[1:], len(cells))
@@ -92,11 +98,12 @@ def _partial(keys: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slice": slices[starts].astype(np.int32), "cells": [low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
 
 
-def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: int = 2) -> np.ndarray:
+def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: int = 2, bits: int = SKETCH_BITS) -> np.ndarray:
     """Count-min sketch, counts kept up to two: a bit per cell, whether it was counted ``least`` times (2 or 1).
 
     ``keys_of`` gives arrays of 64-bit keys from a batch. Each task sends its cells by slice; slices are
-    merged where they meet, a batch at a time, in a fixed array. The result has a fixed size (16 MB).
+    merged where they meet, a batch at a time, in a fixed array. The result has 16 MB at most, less with ``bits_for`` the
+    number of keys.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +113,10 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
                 held.append(keys)
                 n += len(keys)
                 if n >= FLUSH:
-                    yield _partial(held)
+                    yield _partial(held, bits)
                     held, n = [], 0
         if n:
-            yield _partial(held)
+            yield _partial(held, bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -124,7 +131,7 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
 
     schema = "slice int, cells binary"
     merged = rows.mapInArrow(sketch, schema).repartition("slice").mapInArrow(merge, schema).collect()
-    out = np.zeros(((2 << SKETCH_BITS) >> SLICE_BITS, (1 << SLICE_BITS) // 8), np.uint8)
+    out = np.zeros(((2 << bits) >> SLICE_BITS, (1 << SLICE_BITS) // 8), np.uint8)
     for r in merged:
         out[r["slice"]] = np.frombuffer(r["cells"], np.uint8)
     return out.reshape(-1)
@@ -132,6 +139,6 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
 
 def maybe_twice(sketch: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may have been counted as often as the sketch asks: always true where it was."""
-    cells = _cells(keys)
+    cells = _cells(keys, len(sketch).bit_length() + 1)  # two rows, eight cells a byte
     hit = (sketch[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
     return (hit[: len(keys)] & hit[len(keys) :]).astype(bool)

@@ -23,10 +23,12 @@ on 5 words and 80.
 Before either comparison fetches texts, bitmaps of the two sets (each shingle
 flips a bit) are compared: sets differ by at least as many shingles as their
 bitmaps differ by bits, so pairs whose bitmaps differ too much cannot link.
-The exact pass tests a folded bitmap of 128 bits where entries meet, so that
-groups of documents that are alike but do not link list few pairs.
+The exact pass tests a folded bitmap of 128 bits where entries meet, and lists a
+pair on few of the entries that it shares, so that groups of documents that
+are alike but do not link list few pairs; shared entries are counted from the
+two nodes' own lists.
 
-Sketches have a fixed size and only order or prefilter. Hot shingles: minima
+Sketches grow with the number of keys up to a fixed size and only order or prefilter. Hot shingles: minima
 are aggregated in part, joins are split by AQE.
 
 Null and empty texts have an empty set and link with nothing. Ids that are
@@ -50,7 +52,8 @@ from stocklens.session import materialize
 
 SHINGLE = 3  # words, of op8
 THRESHOLD = 90  # percent, of op8
-LEVELS = 4
+LEVELS = 8
+BEFORE = 8  # entries before an entry that it carries, by which pairs are not listed again
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
@@ -178,7 +181,8 @@ def _prefix_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _postings(nodes: DataFrame) -> DataFrame:
     """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node may have too, with their places in the node's order."""
-    sketch = hashing.seen_twice(nodes.select("prefix"), _prefix_keys)
+    entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    sketch = hashing.seen_twice(nodes.select("prefix"), _prefix_keys, bits=hashing.bits_for(entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +218,7 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """sid, text of the nodes in ``pairs``. A bitmap of their texts' keys thins the documents before they are joined."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = materialize(nodes.join(wanted, "sid").select("sid", F.coalesce("rep", F.lit(_LAST)).alias("r"), F.col("key").alias("k")), "wanted-nodes")
-    bitmap = hashing.seen_twice(wanted.select("k"), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1)
+    bitmap = hashing.seen_twice(wanted.select("k"), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=hashing.bits_for(wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,31 +281,76 @@ def _hub_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     return most.select(F.col("sid").alias("b"), F.col("hub").alias("a"))
 
 
-def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for.
+def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """sid, n, level, folds, root, tokens and places: of a node's entries those whose token stands in several components, in the node's order."""
+    rooted = postings.drop("alone").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = materialize(rooted, "rooted-postings")
+    tokens = rooted.select("root", F.explode("tokens").alias("token"))
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    left = _entries(rooted.select("sid", "tokens", "places")).join(mixed, "token")
+    lists = left.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("e"))
+    own = lists.select("sid", F.col("e.token").alias("tokens"), F.col("e.pos").alias("places"))
+    return materialize(own.join(rooted.drop("tokens", "places"), "sid"), "mixed-postings")
+
 
-    Pairs whose folded bitmaps differ too much do not leave the join of entries. Of either node's entries up to the
-    last shared one, those not shared are not in the other's set at all; a pair with more of them than the similarity
-    allows is left out without being compared. Both sides of the join read the same columns, so entries are dealt once.
+def _met(lists: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) across components of nodes that meet on an entry, of sizes and folded bitmaps that allow the similarity.
+
+    A pair that shares many entries would meet on each. An entry carries the ``BEFORE`` ones before it; where two nodes
+    share one of these, they have met on that one already and are not listed again.
     """
-    rooted = postings.drop("alone").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    p = _entries(materialize(rooted, "rooted-postings"))
-    mixed = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    p = p.join(mixed, "token")
-    x, y = p.alias("x"), p.alias("y")
+    each = lists.select("sid", "n", "level", "root", *FOLDED, "tokens", F.posexplode(F.arrays_zip("tokens", "places")).alias("i", "e"))
+    p = each.select(
+        "sid", "n", "level", "root", *FOLDED, F.col("e.tokens").alias("token"), F.col("e.places").alias("pos"),
+        F.slice("tokens", F.greatest(F.col("i") - BEFORE, F.lit(0)) + 1, F.least("i", F.lit(BEFORE))).alias("before"),
+    )
+    x, y = p.alias("x"), p.alias("y")  # of the same columns, so that entries are dealt once
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") > F.col("y.sid")))
-    level = F.greatest("x.level", "y.level")
     # the level with which an entry comes into the prefix of its node
     at = [F.expr(f"{side}.pos + 1 - {side}.n + ({threshold} * {side}.n + 99) div 100") for side in "xy"]
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDED), F.lit(0))
     both = F.col("x.n") + F.col("y.n")
     spare = both - 2 * F.floor((threshold * both + 99 + threshold) / (100 + threshold))  # as _spare
-    fits = larger & _near("x.n", "y.n", threshold) & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= level) & (differ <= spare)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits)
-    pairs = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(
-        F.count(F.lit(1)).alias("k"), F.max(level).alias("level"), F.max(spare).alias("spare"), (F.max("x.pos") + F.max("y.pos") + 2).alias("seen")
-    )
-    return pairs.filter((F.col("k") >= F.col("level")) & (F.col("seen") - 2 * F.col("k") <= F.col("spare"))).select("a", "b")
+    fits = larger & _near("x.n", "y.n", threshold) & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= F.greatest("x.level", "y.level")) & (differ <= spare)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+def _enough(a: tuple, b: tuple, threshold: int) -> bool:
+    """Whether two nodes, each (n, level, tokens, places), share as many prefix entries as the higher level asks for.
+
+    Of either node's entries up to the last shared one, those not shared are not in the other's set at all; with more of
+    them than the similarity allows the pair cannot link.
+    """
+    level = max(a[1], b[1])
+    _, i, j = np.intersect1d(a[2], b[2], assume_unique=True, return_indices=True)
+    i, j = a[3][i], b[3][j]
+    inside = (i < a[0] - need(a[0], threshold) + level) & (j < b[0] - need(b[0], threshold) + level)
+    k = int(inside.sum())
+    return k >= level and int(i[inside].max() + j[inside].max()) + 2 - 2 * k <= _spare(a[0] + b[0], threshold)
+
+
+def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for."""
+    lists = _mixed(postings, roots)
+    pairs = materialize(_met(lists, threshold), "met-pairs")
+    own = lists.select("sid", "n", "level", "tokens", "places")
+    sides = [own.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own.columns[1:]]) for c in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [
+                [
+                    (n, level, np.asarray(tokens.values), np.asarray(places.values))
+                    for n, level, tokens, places in zip(*(batch.column(k).to_pylist() for k in at[:2]), *(batch.column(k) for k in at[2:]), strict=True)
+                ]
+                for at in ((2, 3, 4, 5), (6, 7, 8, 9))
+            ]
+            keep = [_enough(a, b, threshold) for a, b in zip(*nodes, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", *[f"{x}_{c}" for c in "ab" for x in own.columns[1:]])
+    return both.mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -341,7 +390,8 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESH
     every = rows.filter("n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
     judged = every.join(stay, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("j")), "left")
     special = materialize(judged.filter("j is null or rows > 1").select("doc_id", "key", F.col("j").isNotNull().alias("stays")), "rows-that-go")
-    bitmap = hashing.seen_twice(special.select(F.xxhash64("doc_id", "key")), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1)
+    bits = hashing.bits_for(special.count())
+    bitmap = hashing.seen_twice(special.select(F.xxhash64("doc_id", "key")), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=bits)
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     packed = packed.withColumns({"d": F.col("row.doc_id").cast("long"), "k": F.xxhash64("row.text")}).withColumn("x", F.xxhash64("d", "k"))

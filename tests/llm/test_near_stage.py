@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 import corpus_pipeline
+from stocklens.llm import jaccard_join
 
 
 def _sets(texts, size):
@@ -42,3 +47,23 @@ def test_stage_links_five_words_at_80(spark):
     assert strict[2] == 2 and wide[2] == 0
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == sorted(set(wide))
+
+
+@pytest.mark.parametrize(("before", "shingle", "threshold"), [(0, 5, 80), (1, 3, 90), (8, 1, 60)])
+def test_documents_that_share_passages(spark, monkeypatch, before, shingle, threshold):
+    """Groups of near copies around common passages: many entries shared, few links; on each entry listed, or on few."""
+    monkeypatch.setattr(jaccard_join, "BEFORE", before)
+    rng = random.Random(before)
+    passages = [[f"p{k}w{j}" for j in range(40)] for k in range(4)]
+    texts = []
+    for g in range(12):
+        own = [f"g{g}w{j}" for j in range(rng.choice((30, 60, 200)))] + rng.choice(passages) + rng.choice(passages)
+        for _ in range(rng.randint(1, 12)):
+            some = list(own)
+            for _ in range(rng.randint(0, 4)):
+                some[rng.randrange(len(some))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(some[rng.randint(0, 6) :]))
+    texts += [" ".join(passages[0]), " ".join(passages[0][:38]), " ".join(passages[0] + ["more"] * 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, shingle=shingle, threshold=threshold).collect()}
+    assert [got[k] for k in range(len(texts))] == _components(texts, shingle, threshold)
