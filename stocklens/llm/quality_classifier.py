@@ -6,12 +6,14 @@ character-class trigrams and a few bands of text statistics (length, repetition,
 kinds of words); log counts, projected on the leading singular vectors of a
 labelled sample, give its latent vector. Cosines
 with every labelled vector are computed exactly, a block of documents at a
-time, and the ``NEIGHBOURS`` nearest vote with a power of their similarity.
+time, and the ``NEIGHBOURS`` nearest vote with a power of their similarity;
+where the last of these has equals, all of them vote.
 
 The labelled sample is bounded by ``SAMPLE`` rows, the ones with the smallest
 MD5 of their id: a parameter, not a cut of what is scored. Broadcast are its
 vectors, the projection and the words' weights: SAMPLE x RANK, TERMS x RANK and
-WORDS numbers.
+WORDS numbers. The sample's terms come to the driver as lists of the columns
+that a text has, and become rows a block at a time.
 
 Null and empty texts have the terms of an empty text and are scored alike.
 Labels that repeat for an id count as their largest. Rows without id are
@@ -129,17 +131,40 @@ class Model:
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         cosine = latent @ self.vectors
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3).astype(np.float64) ** SHARPNESS
-        return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(cosine, -k, axis=1)[:, -k]
+        row, near = np.nonzero(cosine >= last[:, None])
+        weight = np.maximum(cosine[row, near], 1e-3).astype(np.float64) ** SHARPNESS
+        sums = [np.bincount(row, x, minlength=len(cosine)) for x in (weight * self.labels[near], weight)]
+        return sums[0] / sums[1]
 
 
-def _leading(matrix: np.ndarray) -> np.ndarray:
+def _packed(row: np.ndarray) -> tuple[bytes, bytes]:
+    """The columns and values of a row that are not zero."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes(), row[at].astype("<f4").tobytes()
+
+
+def _rows(packed: list[tuple[bytes, bytes]]) -> np.ndarray:
+    out = np.zeros((len(packed), TERMS), np.float32)
+    for k, (at, values) in enumerate(packed):
+        out[k, np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
+    return out
+
+
+def _projected(packed: list[tuple[bytes, bytes]], basis: np.ndarray) -> np.ndarray:
+    return np.concatenate([_rows(packed[at : at + BLOCK]) @ basis for at in range(0, len(packed), BLOCK)])
+
+
+def _leading(packed: list[tuple[bytes, bytes]]) -> np.ndarray:
     """The leading right singular vectors, by subspace iteration from a fixed start (twice as many vectors as are wanted)."""
-    basis = np.random.default_rng(0).standard_normal((matrix.shape[1], 2 * RANK)).astype(np.float32)
+    basis = np.random.default_rng(0).standard_normal((TERMS, 2 * RANK)).astype(np.float32)
     for _ in range(STEPS):
-        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
-    _, _, turned = np.linalg.svd(matrix @ basis, full_matrices=False)
+        turned = np.zeros_like(basis)
+        for at in range(0, len(packed), BLOCK):
+            block = _rows(packed[at : at + BLOCK])
+            turned += block.T @ (block @ basis)
+        basis, _ = np.linalg.qr(turned)
+    _, _, turned = np.linalg.svd(_projected(packed, basis), full_matrices=False)
     return np.ascontiguousarray((basis @ turned.T)[:, :RANK])
 
 
@@ -156,17 +181,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [terms(t, weights).tobytes() for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["terms", "label"])
+            at, values = zip(*(_packed(terms(t, weights)) for t in b.column(0).cast(pa.binary()).to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), b.column(1)], ["at", "terms", "label"])
 
     # repeated ids: as many rows as the tables repeat them, so the sample is bounded again
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(run, "terms binary, label double")
-    rows = rows.orderBy("terms", "label").limit(sample).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(run, "at binary, terms binary, label double")
+    rows = rows.orderBy("at", "terms", "label").limit(sample).toPandas()
     if rows.empty:
         return None
-    matrix = np.frombuffer(b"".join(rows["terms"]), np.float32).reshape(len(rows), TERMS)
-    project = _leading(matrix)
-    latent = matrix @ project
+    packed = list(zip(rows["at"], rows["terms"], strict=True))
+    project = _leading(packed)
+    latent = _projected(packed, project)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     return Model(project, np.ascontiguousarray(latent.T), rows["label"].to_numpy(), weights)
 
