@@ -32,6 +32,7 @@ START_GOOD = 0.85
 START_ACCURACY = (0.98, 0.3)
 GOOD_RANGE, ON_GOOD_RANGE, ON_BAD_RANGE = (0.02, 0.98), (0.9, 0.999), (0.1, 0.99)
 WINDOW = 5
+BLOCK = 1000  # words, of which the distinct ones are counted
 
 
 def _repeat_words(docs: DataFrame) -> DataFrame:
@@ -55,6 +56,14 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
+def _kinds() -> Column:
+    """The least number of distinct words in a block of ``BLOCK`` words; the last block ends with the text. Shorter texts are one block."""
+    n = F.col("n_words").cast("int")
+    blocks = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK))
+    start = lambda at: F.greatest(F.least(at, n - BLOCK), F.lit(0)) + 1
+    return F.array_min(F.transform(blocks, lambda at: F.size(F.array_distinct(F.slice("words", start(at), BLOCK))))).cast("long")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """The base figures, ``base_failed`` and one vote column per rule, beside ``row`` (all columns of ``docs``)."""
     text = F.col("row.text")
@@ -69,7 +78,8 @@ def features(docs: DataFrame) -> DataFrame:
             "n_symbols": F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long"),
             "n_lines": F.size("lines").cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-            "n_kinds": F.size(F.array_distinct("words")).cast("long"),
+            "n_block": F.least("n_words", F.lit(BLOCK).cast("long")),
+            "n_kinds": _kinds(),
             "n_upper": count("[^\\p{Lu}]+"),
             "n_letters": count("\\P{L}+"),
         }
@@ -91,7 +101,7 @@ def _votes() -> dict[str, Column]:
         "symbol_words": share(F.col("n_symbols"), n, 30, 10),
         "lines": vote(F.col("n_dup_lines") * 100 > F.col("n_lines") * 50, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 2)),
         "repeats": share(F.col("n_repeat_words"), n, 20, 5),
-        "kinds": vote((n >= 20) & (F.col("n_kinds") * 100 < n * 30) & (n <= 2000), (n >= 20) & (F.col("n_kinds") * 100 >= n * 40)),
+        "kinds": vote((n >= 20) & (F.col("n_kinds") * 100 < F.col("n_block") * 30), (n >= 20) & (F.col("n_kinds") * 100 >= F.col("n_block") * 40)),
         "capitals": share(F.col("n_upper"), chars, 30, 12),
         "letters": vote(F.col("n_letters") * 100 < chars * 80, F.col("n_letters") * 100 >= chars * 95),
         "word_length": vote((chars < n * 2) | (chars > n * 15), (chars >= n * 3) & (chars <= n * 10) & (n > 0)),
@@ -114,7 +124,7 @@ def posterior(model: dict) -> Column:
 
 def fit(feats: DataFrame, *, iterations: int = ITERATIONS) -> dict:
     """EM over the pattern counts of all documents."""
-    patterns = materialize(feats.groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    patterns = materialize(feats.groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).repartition(1), "vote-patterns")  # counted in parallel; one small file
     model: dict = {r: START_ACCURACY for r in RULES} | {"good": START_GOOD}
     p, n = F.col("p"), F.col("n")
     for _ in range(iterations):
