@@ -99,14 +99,15 @@ def _covered(runs: DataFrame) -> DataFrame:
     kinds = materialize(kinds, "substring-kinds")
     mixed = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("mini")
     # one holder of each kind of run whose key has other kinds: the smallest id
-    holders = runs.join(kinds.join(mixed, "mini"), _RUN_KEY).filter("doc = first")
+    holders = runs.join(kinds.join(mixed, "mini"), _RUN_KEY).filter("doc = first").dropDuplicates(_RUN_KEY)
     windows = holders.select(*_RUN_KEY, "first", F.posexplode("windows").alias("at", "window"))
     windows = materialize(windows, "substring-windows")
     least = windows.groupBy("mini", "window").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most")
     own = windows.join(least, ["mini", "window"]).filter("least < first").groupBy(*_RUN_KEY).agg(F.collect_set("at").alias("own"))
     found = kinds.join(own, _RUN_KEY, "left").filter("first < last or own is not null").select(*_RUN_KEY, "first", "own")
     found = materialize(found, "substring-found")  # so that the next join shuffles both sides, and a hot run can be split
-    hits = runs.select("doc", "key", "start", *_RUN_KEY).join(found, _RUN_KEY)
+    # rows that repeat have the same runs: each is met once
+    hits = runs.select("doc", "key", "start", *_RUN_KEY).distinct().join(found, _RUN_KEY)
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + WINDOW).alias("b")))
     each = F.transform(F.col("own"), lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + WINDOW).alias("b")))
     spans = F.when(F.col("doc") > F.col("first"), whole).otherwise(each)
