@@ -14,7 +14,7 @@ include time and id, so one URL with a third of the captures spreads over many
 ranges), and in each range the pieces of the runs meet in a k-way merge by a
 loser tree. Pieces beyond ``SPOOL_ROWS`` wait in the task's own temporary
 files, so a task's memory is bounded. The result is globally ordered: by
-partition, then by row.
+partition, then by row. ``histories`` numbers the captures of each URL.
 
 Null html counts as empty; empty payloads are payloads. Null URLs have an
 empty key. Pages without id are smaller than any other. Rows that repeat with
@@ -26,18 +26,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stocklens.session import materialize, scratch_path
 
-RECORDS_PER_FILE = 4000
+#: Payloads up to so many bytes are written so many to a file: 64 MB at most, but for single records beyond.
+FILE_SIZES = ((1 << 14, 4000), (1 << 17, 512), (1 << 20, 64), (1 << 23, 8), (None, 1))
 SPOOL_ROWS = 200_000
-FIRST_CAPTURE = "2024-01-01 00:00:00"  # pages have no time: id seconds later
+FAN_IN = 64  # files that a merge holds open
+FIRST_CAPTURE, CAPTURE_SECONDS = "2024-01-01 00:00:00", 365 * 24 * 3600  # pages have no time: id seconds later, within a year
 _END = "\r\n\r\n"
 # Fixed values of RFC 4648.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -66,7 +71,7 @@ def _records(pages: DataFrame) -> DataFrame:
     p = p.join(largest, ["sha", "size"])
     first = F.col("page_id").eqNullSafe(F.col("keep"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    time = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit(FIRST_CAPTURE).cast("timestamp")) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit(FIRST_CAPTURE).cast("timestamp")) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CAPTURE_SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     record_id = lambda c: F.concat(F.lit("<urn:page:"), text(c), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END))
     block = F.concat(http, F.when(first, F.col("html")).otherwise(""))
@@ -82,11 +87,18 @@ def _records(pages: DataFrame) -> DataFrame:
         F.when(first, "").otherwise(revisit),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END),
     )
-    return p.select(F.concat(header, block).alias("value"))
+    return p.select(F.concat(header, block).alias("value"), "size")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    _records(pages).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Files of bounded size: pages of like size are written together, as many to a file as fit. One pass for each kind of size that there is."""
+    kind = F.coalesce(*[F.when(F.octet_length(F.coalesce("html", F.lit(""))) <= most, k) for k, (most, _) in enumerate(FILE_SIZES) if most], F.lit(len(FILE_SIZES) - 1))
+    there = sorted(r["kind"] for r in pages.select(kind.alias("kind")).distinct().collect())
+    records = _records(pages)
+    for k in there or [0]:
+        above, most = FILE_SIZES[k - 1][0] if k else -1, FILE_SIZES[k][0]
+        some = records.filter(F.col("size") > above) if most is None else records.filter((F.col("size") > above) & (F.col("size") <= most))
+        some.select("value").write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", FILE_SIZES[k][1]).text(path)
 
 
 def url_key(url: str) -> str:
@@ -189,51 +201,76 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 class _Spool:
-    """Pieces of runs, in memory up to ``SPOOL_ROWS``; then each run's rows move to a file of the task's own."""
+    """Pieces of runs. ``SPOOL_ROWS`` rows are held; then the runs so far are merged into one file of the task's own.
+
+    The files live in the task's temporary folder and are made anew if the task is. More than ``FAN_IN`` files are merged
+    in passes, so few are ever open.
+    """
 
     def __init__(self, folder: str):
-        self.folder, self.held, self.n, self.files = folder, {}, 0, []
+        self.folder, self.held, self.n, self.files, self.written = folder, {}, 0, [], 0
+
+    def _write(self, rows: Iterator[tuple]) -> None:
+        name = f"{self.folder}/{self.written}"
+        with pa.OSFile(name, "wb") as f, pa.ipc.new_stream(f, _SCHEMA) as out:
+            while some := list(itertools.islice(rows, 1000)):
+                out.write_batch(_batches(some))
+        self.files.append(name)
+        self.written += 1
+
+    def _held_runs(self) -> list[Iterator[tuple]]:
+        return [iter(sorted(rows, key=_order)) for rows in self.held.values()]
 
     def add(self, batch: pa.RecordBatch) -> None:
         for row in _rows(batch):
             self.held.setdefault(row[3], []).append(row)
         self.n += batch.num_rows
         if self.n >= SPOOL_ROWS:
-            for rows in self.held.values():
-                rows.sort(key=_order)
-                name = f"{self.folder}/{len(self.files)}"
-                with pa.OSFile(name, "wb") as f, pa.ipc.new_stream(f, _SCHEMA) as out:
-                    for at in range(0, len(rows), 1000):
-                        out.write_batch(_batches(rows[at : at + 1000]))
-                self.files.append(name)
+            self._write(iter(LoserTree(self._held_runs(), _order)))
             self.held, self.n = {}, 0
 
-    def runs(self) -> list[Iterator[tuple]]:
-        def read(name: str) -> Iterator[tuple]:
-            with pa.OSFile(name) as f:
-                for batch in pa.ipc.open_stream(f):
-                    yield from _rows(batch)
+    @staticmethod
+    def _read(name: str) -> Iterator[tuple]:
+        with pa.OSFile(name) as f:
+            for batch in pa.ipc.open_stream(f):
+                yield from _rows(batch)
 
-        return [read(x) for x in self.files] + [iter(sorted(rows, key=_order)) for rows in self.held.values()]
+    def runs(self) -> list[Iterator[tuple]]:
+        while len(self.files) > FAN_IN:
+            some, self.files = self.files[:FAN_IN], self.files[FAN_IN:]
+            self._write(iter(LoserTree([self._read(x) for x in some], _order)))
+            for x in some:
+                os.unlink(x)
+        return [self._read(x) for x in self.files] + self._held_runs()
 
 
 def merge_runs(captures: DataFrame) -> DataFrame:
-    """The captures in global order of URL key, time and id."""
+    """The captures in global order of URL key, time and id, with ``part``, the partition that a row is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         with tempfile.TemporaryDirectory() as folder:
-            spool, out = _Spool(folder), []
+            spool = _Spool(folder)
             for b in batches:
                 spool.add(b)
-            for row in LoserTree(spool.runs(), _order):
-                out.append(row)
-                if len(out) == 4000:
-                    yield _batches(out)
-                    out = []
-            if out:
-                yield _batches(out)
+            merged = iter(LoserTree(spool.runs(), _order))
+            while some := list(itertools.islice(merged, 4000)):
+                yield _batches(some).append_column("part", pa.array([part] * len(some), pa.int32()))
 
-    return captures.repartitionByRange("url_key", "captured", F.col("page_id").asc_nulls_first()).mapInArrow(run, CAPTURE)
+    return captures.repartitionByRange("url_key", "captured", F.col("page_id").asc_nulls_first()).mapInArrow(run, f"{CAPTURE}, part int")
+
+
+def histories(index: DataFrame) -> DataFrame:
+    """The index with ``place``, from 1: each capture's place in its URL's history.
+
+    A URL's captures follow each other, over several partitions if they are many; each partition numbers its own and adds
+    what the ones before it hold. A row is sent for every URL and partition, not for every capture.
+    """
+    rows = materialize(index.withColumn("at", F.monotonically_increasing_id()), "capture-index")
+    stretches = rows.groupBy("url_key", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("url_key").orderBy("part")) - F.col("n")
+    stretches = stretches.select("url_key", "part", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(stretches, ["url_key", "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("at", "shift")
 
 
 def archive(pages: DataFrame, path: str) -> DataFrame:
@@ -245,18 +282,24 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
 
 def query(pages: DataFrame) -> DataFrame:
     """op5: one row per page, as the merged index has it."""
-    index = archive(pages, scratch_path(pages.sparkSession, "warc"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
-     d AS (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS keep,
+    index = histories(archive(pages, scratch_path(pages.sparkSession, "warc")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
+
+
+ORACLE_SQL = r"""
+WITH u AS (SELECT *, regexp_replace(coalesce(url, ''), '[\x00-\x20]', '%20', 'g') AS uri FROM pages),
+     r AS (SELECT *, lower(split_part(coalesce(nullif(substr(uri, nullif(strpos(uri, '://'), 0) + 3), ''), uri), '#', 1)) AS rest FROM u),
+     h AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS host FROM r),
+     p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha,
+                  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || substr(rest, length(host) + 1) AS url_key,
+                  strftime(TIMESTAMP '2024-01-01' + to_seconds(((coalesce(page_id, 0) % 31536000) + 31536000) % 31536000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM h),
+     d AS (SELECT page_id, html, url_key, captured, max(page_id) OVER (PARTITION BY html) AS keep,
                   array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                       ((('0x' || substr(sha, 5 * k + 1, 5))::BIGINT >> s) & 31)::BIGINT + 1, 1)
                       FOR s IN [15, 10, 5, 0]] FOR k IN range(8)]), '') AS payload_digest FROM p)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> keep THEN keep END AS refers_to
+       CASE WHEN page_id <> keep THEN keep END AS refers_to, url_key, captured,
+       row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id NULLS FIRST) AS place
 FROM d
 """
