@@ -5,8 +5,11 @@ letters' vectors, permuted by position and multiplied; a document is the bundle
 (sum) of its trigrams; a language is the bundle of its training documents. The
 prediction is the language whose profile has the largest cosine.
 
+Every code point has a vector of its own, drawn from its number, so scripts of
+any size have distinct letters.
+
 Bundles are linear, so trigrams are counted first and the counts multiplied by
-the trigram vectors, for a block of documents at a time. Profiles are integer
+the trigram vectors, for a block of documents and ``KINDS`` trigrams at a time. Profiles are integer
 sums: the same in whatever order they are added. What is broadcast is one
 vector of ``DIMENSIONS`` integers per language.
 
@@ -29,59 +32,77 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 SEED = 20240607
-#: Letters are numbered 1 to 26 for a-z, and by code point into the rest; 0 is any run of other characters.
-LETTERS = 64
 BLOCK_DOCS, BLOCK_CHARS = 256, 1_000_000
+KINDS = 4096  # trigrams whose vectors are held at once
+HELD_LETTERS = 1 << 14
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 
 @cache
-def _letter_ids() -> np.ndarray:
-    table = np.array([27 + c % (LETTERS - 27) if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint8)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
+def _is_letter() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@cache
-def _letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
+class _Letters(dict):
+    """The vector of a code point, drawn from its number; 0 stands for any run of other characters."""
+
+    def __missing__(self, code: int) -> np.ndarray:
+        if len(self) >= HELD_LETTERS:
+            self.clear()
+        v = self[code] = np.random.default_rng([SEED, code]).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+        return v
 
 
-def _gram_vectors(grams: np.ndarray) -> np.ndarray:
-    letters = _letter_vectors()
-    first, second, third = grams // LETTERS**2, grams // LETTERS % LETTERS, grams % LETTERS
-    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
+_LETTERS = _Letters()
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """Letter trigrams of a text, with a gap before and after; empty without letters."""
+def letters(text: str | None) -> np.ndarray:
+    """Code points of a text's letters in lower case, a 0 for what lies between, before and after them; empty without letters."""
     if not text:
-        return np.zeros(0, np.int32)
-    ids = _letter_ids()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
-    ids = np.concatenate(([0], ids, [0]))
-    ids = ids[np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))]
-    if len(ids) < 3:
-        return np.zeros(0, np.int32)
-    return ids[:-2] * LETTERS**2 + ids[1:-1] * LETTERS + ids[2:]
+        return np.zeros(0, np.uint32)
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    codes = np.concatenate(([0], np.where(_is_letter()[codes], codes, 0), [0])).astype(np.uint32)
+    codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+    return codes if len(codes) > 2 else codes[:0]
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, counts document x trigram, trigrams) of blocks of documents."""
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Blocks of documents: first row, rows, and, for ``KINDS`` trigrams at a time, their counts by document and their vectors."""
     at = 0
     while at < len(texts):
-        grams, chars = [], 0
-        while at + len(grams) < len(texts) and len(grams) < BLOCK_DOCS and chars < BLOCK_CHARS:
-            grams.append(trigrams(texts[at + len(grams)]))
-            chars += len(grams[-1])
-        every = np.concatenate(grams)
-        seen = np.zeros(LETTERS**3, bool)
-        seen[every] = True
-        number = np.cumsum(seen) - 1
-        row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        kinds = int(seen.sum())
-        counts = np.bincount(row * kinds + number[every], minlength=len(grams) * kinds).reshape(len(grams), kinds)
-        yield at, counts, np.flatnonzero(seen)
-        at += len(grams)
+        own, chars = [], 0
+        while at + len(own) < len(texts) and len(own) < BLOCK_DOCS and chars < BLOCK_CHARS:
+            own.append(letters(texts[at + len(own)]))
+            chars += len(own[-1])
+        yield at, len(own), _bundles(own)
+        at += len(own)
+
+
+def _bundles(own: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    codes = np.concatenate(own)
+    if not len(codes):
+        return
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    present = np.flatnonzero(np.bincount(codes))
+    number = np.zeros(present[-1] + 1, np.int64)
+    number[present] = np.arange(len(present))
+    n, place = len(present), number[codes]
+    inside = row[:-2] == row[2:]
+    grams, row = (place[:-2] * n * n + place[1:-1] * n + place[2:])[inside], row[:-2][inside]
+    if n**3 <= 1 << 22:
+        seen = np.zeros(n**3, bool)
+        seen[grams] = True
+        kinds, index = np.flatnonzero(seen), (np.cumsum(seen) - 1)[grams]
+    else:
+        kinds, index = np.unique(grams, return_inverse=True)
+    order = np.argsort(index // KINDS, kind="stable") if len(kinds) > KINDS else np.arange(len(index))
+    row, index = row[order], index[order]
+    vectors = np.stack([_LETTERS[c] for c in present.tolist()])
+    for first in range(0, len(kinds), KINDS):
+        some = kinds[first : first + KINDS]
+        lo, hi = np.searchsorted(index // KINDS, [first // KINDS, first // KINDS + 1])
+        counts = np.bincount(row[lo:hi] * len(some) + index[lo:hi] - first, minlength=len(own) * len(some)).reshape(len(own), len(some))
+        yield counts, np.roll(vectors, 2, axis=1)[some // n**2] * np.roll(vectors, 1, axis=1)[some // n % n] * vectors[some % n]
 
 
 def _remainder(doc_id: Column) -> Column:
@@ -95,11 +116,11 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(DIMENSIONS, np.int64))
         for b in batches:
             langs, texts = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for at, counts, grams in _blocks(texts):
-                mine = np.array(langs[at : at + len(counts)])
-                vectors = _gram_vectors(grams).astype(np.float64)
-                for lang in np.unique(mine):
-                    sums[str(lang)] += np.rint(counts[mine == lang].sum(axis=0).astype(np.float64) @ vectors).astype(np.int64)
+            for at, n, parts in _blocks(texts):
+                mine = np.array(langs[at : at + n])
+                for counts, vectors in parts:
+                    for lang in np.unique(mine):
+                        sums[str(lang)] += np.rint(counts[mine == lang].sum(axis=0).astype(np.float64) @ vectors.astype(np.float64)).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "profile": [v.tolist() for v in sums.values()]})
 
@@ -127,15 +148,15 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
         for b in batches:
             texts = b.column(2).to_pylist()
             pred, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for at, counts, grams in _blocks(texts) if langs else ():
-                if not len(grams):
-                    continue
-                bundles = counts.astype(np.float32) @ _gram_vectors(grams).astype(np.float32)
+            for at, n, parts in _blocks(texts) if langs else ():
+                bundles, some = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, bool)
+                for counts, vectors in parts:
+                    bundles += counts.astype(np.float32) @ vectors.astype(np.float32)
+                    some |= counts.any(axis=1)
                 norm = np.linalg.norm(bundles, axis=1)
                 cosine = (bundles @ unit) / np.maximum(norm, 1e-9)[:, None]
-                some = counts.any(axis=1)
-                pred[at : at + len(counts)] = np.where(some, cosine.argmax(axis=1), -1)
-                score[at : at + len(counts)] = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0)
+                pred[at : at + n] = np.where(some, cosine.argmax(axis=1), -1)
+                score[at : at + n] = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0)
             names = [langs[k] if k >= 0 else "und" for k in pred]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
