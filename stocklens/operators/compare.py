@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from stocklens import schema as S
 from stocklens.functions.arith import pct_diff, safe_div, su_to_unit, unit_to_su
 from stocklens.functions.memo import per_application
+from stocklens.operators.skew import left_join
 from stocklens.sources.roles import Roles
 
 # Output columns of ``comparison`` in order: (name, source expression).
@@ -212,20 +213,27 @@ def baseline_with_factor(i: DataFrame, c: DataFrame) -> DataFrame:
     return i.join(c, F.col("i_product") == F.col("c_product"), "left")
 
 
-def joined(roles: Roles, snapshot: dt.date | Column) -> DataFrame:
+def _at_site(left: str, right: str) -> list[tuple[str, str]]:
+    return [(f"{left}_product", f"{right}_product"), (f"{left}_location", f"{right}_location")]
+
+
+def joined(roles: Roles, snapshot: dt.date | Column, hot_rows: int | None = None) -> DataFrame:
     """J1-J4 on bound columns, before the measures are derived."""
     k, i, c, cv, sl = _bound(roles)
     i = baseline_with_factor(i.filter(snapshot_predicate(i, "i_snapshot", snapshot)), c)
-    return (
-        k.join(i, _same_site("k", "i"), "left")
-        .join(cv, _same_site("k", "cv"), "left")
-        .join(sl, _same_site("k", "sl"), "left")
-    )
+    for side, right in (("i", i), ("cv", cv), ("sl", sl)):
+        k = left_join(k, right, _at_site("k", side), rows=hot_rows)
+    return k
+
 
+def comparison(roles: Roles, snapshot: dt.date | Column, hot_rows: int | None = None) -> DataFrame:
+    """The comparison table (S7): one row per candidate row (times fan-out).
 
-def comparison(roles: Roles, snapshot: dt.date | Column) -> DataFrame:
-    """The comparison table (S7): one row per candidate row (times fan-out)."""
-    return _project(joined(roles, snapshot), roles)
+    ``hot_rows``: a (product, location) that a right side holds in more rows is
+    split over several tasks (``operators.skew``); it takes a count of each
+    right side's keys first.
+    """
+    return _project(joined(roles, snapshot, hot_rows), roles)
 
 
 def _date_key(d: Column) -> Column:
@@ -249,8 +257,10 @@ def comparison_concat_key(roles: Roles, snapshot: dt.date | Column) -> DataFrame
     snapshots instead of shuffling every snapshot into the join.
 
     Kept for parity with analyses written this way; ``comparison`` is the
-    one to run. A string key is its own partitioning, so this form costs one
-    more shuffle of the joined rows than the composite key does.
+    one to run. A string key is its own partitioning, so the CoV and service
+    joins, which share the candidate's, come first: what is shuffled again for
+    the string key is the candidate with two measures, and the wide rows that
+    the baseline makes are shuffled no more.
     """
     k, i, c, cv, sl = _bound(roles)
     i = i.filter(snapshot_predicate(i, "i_snapshot", snapshot))
@@ -265,9 +275,9 @@ def comparison_concat_key(roles: Roles, snapshot: dt.date | Column) -> DataFrame
     k = k.withColumn("_key", k_key)
     i = baseline_with_factor(i.withColumn("_ikey", i_key), c)
     j = (
-        k.join(i, F.col("_key") == F.col("_ikey"), "left")
-        .join(cv, _same_site("k", "cv"), "left")
+        k.join(cv, _same_site("k", "cv"), "left")
         .join(sl, _same_site("k", "sl"), "left")
+        .join(i, F.col("_key") == F.col("_ikey"), "left")
     )
     return _project(j, roles)
 

@@ -23,9 +23,10 @@ and then corrected by one against the actual edges, so rounding in the
 estimate never puts a value on the wrong side of an edge. An empty input uses
 the range [0, 1]; a single distinct value ``v`` uses [v - 0.5, v + 0.5].
 
-Steps 2 and 3 both read the same filtered input; Spark reuses the shuffle
-exchanges they share, so the upstream joins are not shuffled twice. Six
-histograms cost the same two passes as one.
+Steps 2 and 3 both read the same filtered input. Over a lazy comparison that
+would run its joins twice, so ``written`` puts the values (a narrow table: one
+column for each histogram) into the shared folder first. Six histograms cost
+the same two passes as one.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.session import materialize
+
 # Histogram settings of the source analysis (H1).
 DIFF_RANGE = (-500.0, 500.0, 20)
 COV_RANGE = (0.1, 1.6, 10)
@@ -76,12 +79,8 @@ def _outer_edges(vmin: Column, vmax: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
-def histograms(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
-    """Rows ``(name, bin, bin_lo, bin_hi, n, label)``: every bin of every spec.
-
-    ``bin`` counts from 0; ``label`` is the bar label: the count as text, NULL
-    for an empty bin (H3).
-    """
+def values(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
+    """Columns ``v0``, ``v1``, ...: each spec's in-range values, of the rows that have any."""
     names = list(specs)
     idx = range(len(names))
 
@@ -92,10 +91,27 @@ def histograms(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
     any_in_range = None
     for i in idx:
         any_in_range = in_range_of(i) if any_in_range is None else any_in_range | in_range_of(i)
-    vals = df.filter(any_in_range).select(
+    return df.filter(any_in_range).select(
         *[F.when(in_range_of(i), F.col(specs[names[i]].column)).alias(f"v{i}") for i in idx]
     )
 
+
+def written(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
+    """``values`` as a table in the shared folder: what makes ``df`` runs once, and both passes read the specs' columns alone."""
+    return materialize(values(df, specs), "histogram-values")
+
+
+def histograms(df: DataFrame, specs: dict[str, HistogramSpec], vals: DataFrame | None = None) -> DataFrame:
+    """Rows ``(name, bin, bin_lo, bin_hi, n, label)``: every bin of every spec.
+
+    ``bin`` counts from 0; ``label`` is the bar label: the count as text, NULL
+    for an empty bin (H3). ``vals`` are the ``values`` of ``df`` where they are
+    at hand already.
+    """
+    names = list(specs)
+    idx = range(len(names))
+    vals = values(df, specs) if vals is None else vals
+
     # pass 1: the data range of each histogram -> one row per histogram
     # (hid, name, lo, hi, bins); at most len(specs) rows, so broadcasting it
     # is safe
@@ -153,8 +169,8 @@ def histograms(df: DataFrame, specs: dict[str, HistogramSpec]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, lower: float, upper: float, bins: int) -> DataFrame:
     """H2: one histogram, rows ``(bin, bin_lo, bin_hi, n, label)``."""
-    return histograms(df, {"h": HistogramSpec(column, lower, upper, bins)}).drop("name")
+    return spec_histogram(df, HistogramSpec(column, lower, upper, bins))
 
 
-def spec_histogram(df: DataFrame, spec: HistogramSpec) -> DataFrame:
-    return histogram(df, spec.column, spec.lower, spec.upper, spec.bins)
+def spec_histogram(df: DataFrame, spec: HistogramSpec, vals: DataFrame | None = None) -> DataFrame:
+    return histograms(df, {"h": spec}, vals).drop("name")

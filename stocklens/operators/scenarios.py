@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocklens import schema as S
+from stocklens.operators.skew import left_join
 from stocklens.sources import ingest
 
 # Columns that tell a row's scenario and file.
@@ -124,16 +125,15 @@ def scenario_pair(
     one: DataFrame,
     two: DataFrame,
     cols: S.CandidateCols = S.CandidateCols(),
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """J8 + P16: scenario one LEFT JOIN scenario two on (product, location)."""
+    """J8 + P16: scenario one LEFT JOIN scenario two on (product, location).
+
+    ``hot_rows``: keys that the second holds in more rows are split (``operators.skew``).
+    """
     a = S.bind(one, cols, "one_")
     b = S.bind(two, cols, "two_")
-    j = a.join(
-        b,
-        (F.col("one_product") == F.col("two_product"))
-        & (F.col("one_location") == F.col("two_location")),
-        "left",
-    )
+    j = left_join(a, b, [("one_product", "two_product"), ("one_location", "two_location")], rows=hot_rows)
     shown = [
         F.col(f"{side}_{attr}").alias(f"{name}_{k}")
         for name, attr in PAIR_SHOWN.items()

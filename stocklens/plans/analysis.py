@@ -35,6 +35,7 @@ class Analysis:
     snapshot: dt.date | Column
     segment: str
     thresholds: rules.Thresholds = field(default_factory=rules.Thresholds)
+    hot_rows: int | None = None  # a (product, location) in more rows of a right side is split, see operators.skew
 
     def __post_init__(self):
         self.roles.validate()  # schema metadata only; fails before any job
@@ -64,14 +65,19 @@ class Analysis:
     # -- comparison and populations ------------------------------------------
     @cached_property
     def comparison(self) -> DataFrame:
-        return compare.comparison(self.roles, self.snapshot)
+        return compare.comparison(self.roles, self.snapshot, self.hot_rows)
 
     def with_comparison(self, cmp: DataFrame) -> "Analysis":
         """Same analysis over an already built (e.g. materialised) comparison."""
-        out = Analysis(self.roles, self.snapshot, self.segment, self.thresholds)
+        out = Analysis(self.roles, self.snapshot, self.segment, self.thresholds, self.hot_rows)
         out.__dict__["comparison"] = cmp  # pre-fills the cached property
         return out
 
+    @property
+    def _at_hand(self) -> bool:
+        """Whether the comparison was written, so that reading it again runs no join."""
+        return self.__dict__.get("comparison_at_hand", False)
+
     def materialized(self) -> "Analysis":
         """The comparison written once to the shared folder (S7, the CTAS).
 
@@ -81,7 +87,9 @@ class Analysis:
         """
         from stocklens.session import materialize
 
-        return self.with_comparison(materialize(self.comparison, "comparison"))
+        out = self.with_comparison(materialize(self.comparison, "comparison"))
+        out.__dict__["comparison_at_hand"] = True
+        return out
 
     @property
     def final(self) -> DataFrame:
@@ -100,11 +108,16 @@ class Analysis:
         return rollups.summary(self.classified)
 
     def histogram(self, name: str) -> DataFrame:
-        return histogram.spec_histogram(populations.existing(self.comparison), histogram.SPECS[name])
+        spec = histogram.SPECS[name]
+        return histogram.spec_histogram(populations.existing(self.comparison), spec, self._values({"h": spec}))
 
     def histograms(self) -> DataFrame:
-        """All six histograms of the analysis in two passes over F2."""
-        return histogram.histograms(populations.existing(self.comparison), histogram.SPECS)
+        """All six histograms of the analysis in two passes over F2's values."""
+        return histogram.histograms(populations.existing(self.comparison), histogram.SPECS, self._values(histogram.SPECS))
+
+    def _values(self, specs: dict[str, histogram.HistogramSpec]) -> DataFrame | None:
+        """The histograms' values, written, so that the comparison's joins run once; None where there is no join to run."""
+        return None if self._at_hand else histogram.written(populations.existing(self.comparison), specs)
 
     def segment_snapshot_count(self) -> DataFrame:
         return rollups.count_rows(
@@ -164,4 +177,4 @@ class Analysis:
     def scenario_pair(self) -> DataFrame:
         if self.roles.candidate2 is None:
             raise ValueError("the scenario pair needs a second candidate (roles.candidate2)")
-        return scenarios.scenario_pair(self.roles.candidate, self.roles.candidate2)
+        return scenarios.scenario_pair(self.roles.candidate, self.roles.candidate2, hot_rows=self.hot_rows)

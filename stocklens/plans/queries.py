@@ -151,6 +151,30 @@ def _star_projection(a: Analysis) -> DataFrame:
     return Analysis(roles, a.snapshot, a.segment).classified
 
 
+def _hot(a: Analysis) -> Analysis:
+    """The analysis with a third of the CoV rows, and of the second scenario's, on one key, and that key split."""
+    k = a.roles.candidate
+    first = k.select(F.min(F.struct("PartName", "PartSite"))).scalar()
+    cov, two = a.roles.cov, a.roles.candidate2
+    moved = F.col("CV") <= 0.5
+    cov = cov.withColumns({c: F.when(moved, first.getField(k)).otherwise(F.col(c)) for c, k in (("PRDID", "PartName"), ("LOCID", "PartSite"))})
+    moved = F.col("Daily_Demandweek_CoV") <= 0.4
+    two = two.withColumns({c: F.when(moved, first.getField(c)).otherwise(F.col(c)) for c in ("PartName", "PartSite")})
+    return Analysis(replace(a.roles, cov=cov, candidate2=two), a.snapshot, a.segment, hot_rows=200)
+
+
+@_reg("join_hot_key")
+def _join_hot_key(a: Analysis) -> DataFrame:
+    """J1, J3, J4 with a hot key on the right side of J3."""
+    return _keyed(_hot(a).comparison, "base_product", "base_cov", "service_level", "final_su_diff")
+
+
+@_reg("pair_hot_key")
+def _pair_hot_key(a: Analysis) -> DataFrame:
+    """J8 with a hot key in the second scenario."""
+    return _hot(a).scenario_pair()
+
+
 # --- populations (F2-F7) ------------------------------------------------------
 REGISTRY["pop_existing"] = lambda a: populations.existing(a.comparison)
 REGISTRY["pop_final_units"] = lambda a: populations.final_units(a.comparison)

@@ -79,3 +79,35 @@ def test_no_cross_products_in_headline_plans(spark):
         plan = _plan(df)
         assert "CartesianProduct" not in plan
         assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_histogram_runs_the_joins_once(spark, no_broadcast):
+    """H2: the values are written by one run of the four joins; both passes read that table, its one column."""
+    from stocklens.operators import histogram, populations
+
+    a = Analysis.from_tables(spark, SF001)
+    spec = histogram.SPECS["hist_final_su"]
+    existing = populations.existing(a.comparison)
+    assert _plan(histogram.values(existing, {"h": spec})).count("SortMergeJoin") == 4
+    got = a.histogram("hist_final_su")
+    plan = _plan(got)
+    assert "SortMergeJoin" not in plan and set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"v0:double"}
+    lazy = histogram.spec_histogram(existing, spec)
+    assert _plan(lazy).count("SortMergeJoin") > 4
+    assert sorted(map(str, got.collect())) == sorted(map(str, lazy.collect()))
+    assert "histogram-values" not in _plan(a.materialized().histograms())
+
+
+def test_concatenated_key_shuffles_wide_rows_once(spark, no_broadcast):
+    """No exchange holds a baseline column but the baseline's own; what is dealt by the string key is the candidate's side."""
+    from stocklens.operators import compare
+
+    a = Analysis.from_tables(spark, SF001)
+    cmp = compare.comparison_concat_key(a.roles, a.snapshot)
+    plan = _plan(cmp)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(keys) == 7 and sum("_key" in k or "_ikey" in k for k in keys) == 2
+    tree = plan.splitlines()
+    joins = [(len(x) - len(x.lstrip(" :+-*(0123456789)")), x) for x in tree if "SortMergeJoin" in x]
+    assert "_key" in min(joins)[1]  # the last join is the one with the baseline
+    assert sorted(map(str, cmp.collect())) == sorted(map(str, a.comparison.collect()))
