@@ -52,8 +52,9 @@ from stocklens.session import materialize
 
 SHINGLE = 3  # words, of op8
 THRESHOLD = 90  # percent, of op8
-LEVELS = 8
-BEFORE = 8  # entries before an entry that it carries, by which pairs are not listed again
+LEVELS = 4
+BEFORE = 6  # entries before an entry that it carries, by which pairs are not listed again
+HUB_ENTRIES, HUB_SHARED = 8, 3  # entries of a node that look for a hub; as many as it must share with one
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
@@ -203,12 +204,6 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("sid", "n", "level", "prefix", "parity").mapInArrow(run, schema)
 
 
-def _entries(postings: DataFrame) -> DataFrame:
-    """A row per entry: token, pos in place of the lists."""
-    kept = [c for c in postings.columns if c not in ("tokens", "places")]
-    return postings.select(*kept, F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(*kept, F.col("e.tokens").alias("token"), F.col("e.places").alias("pos"))
-
-
 def _near(a: str, b: str, threshold: int):
     """Sizes that allow the similarity."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
@@ -269,28 +264,47 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, t
 
 
 def _hub_pairs(postings: DataFrame, threshold: int) -> DataFrame:
-    """Each node with one hub: of the hubs of its entries the one it shares most with, if it shares as many as its level asks for."""
+    """Each node with one hub: of the hubs of some of its entries the one it shares most of these with.
+
+    The entries are the ones with the smallest tokens, which near copies mostly have in common. This pass only spares the
+    exact one work: what it misses is found there.
+    """
     size = F.floor(F.log(F.col("n")) * 4)
-    p = _entries(postings.drop(*FOLDED)).drop("pos").withColumn("size", size).withColumn("rank", F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32)))
+    few = postings.drop(*FOLDED, "places").withColumn("tokens", F.slice(F.array_sort("tokens"), 1, HUB_ENTRIES))
+    p = few.select("sid", "n", "level", F.explode("tokens").alias("token"), size.alias("size"), (F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32))).alias("rank"))
     hubs = p.groupBy("token", "size").agg(
         F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.count(F.lit(1)).alias("nodes")
     )
-    met = p.drop("alone", "rank").join(hubs.filter("nodes > 1").drop("nodes"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m", threshold))
+    met = p.drop("rank").join(hubs.filter("nodes > 1").drop("nodes"), ["token", "size"]).filter((F.col("sid") != F.col("hub")) & _near("n", "m", threshold))
     most = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("level").alias("level"))
-    most = most.filter("k >= level").groupBy("sid").agg(F.max_by("hub", "k").alias("hub"))
+    most = most.filter(F.col("k") >= F.least("level", F.lit(HUB_SHARED))).groupBy("sid").agg(F.max_by("hub", "k").alias("hub"))
     return most.select(F.col("sid").alias("b"), F.col("hub").alias("a"))
 
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """sid, n, level, folds, root, tokens and places: of a node's entries those whose token stands in several components, in the node's order."""
+    """sid, n, level, folds, root, tokens and places: of a node's entries those whose token stands in several components, in the node's order.
+
+    A bitmap of these tokens thins the lists where they are, so they are not taken apart and put together again; a token that
+    it holds by chance only makes work.
+    """
     rooted = postings.drop("alone").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rooted = materialize(rooted, "rooted-postings")
     tokens = rooted.select("root", F.explode("tokens").alias("token"))
-    mixed = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = _entries(rooted.select("sid", "tokens", "places")).join(mixed, "token")
-    lists = left.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("e"))
-    own = lists.select("sid", F.col("e.token").alias("tokens"), F.col("e.pos").alias("places"))
-    return materialize(own.join(rooted.drop("tokens", "places"), "sid"), "mixed-postings")
+    mixed = materialize(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "mixed-tokens")
+    bitmap = hashing.seen_twice(mixed, lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=hashing.bits_for(mixed.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, places = b.column(0), b.column(1)
+            flat = np.asarray(tokens.flatten())
+            held = hashing.maybe_twice(bitmap, flat.astype(np.uint64))
+            starts = np.concatenate(([0], np.cumsum(np.asarray(tokens.value_lengths())))).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(held)))[starts].astype(np.int32)
+            columns = [pa.ListArray.from_arrays(ends, pa.array(x[held])) for x in (flat, np.asarray(places.flatten()))]
+            yield pa.RecordBatch.from_arrays([*columns, *b.columns[2:]], b.schema.names).filter(pa.array(np.diff(ends) > 0))
+
+    kept = ["sid", "n", "level", "root", *FOLDED]
+    thinned = rooted.select("tokens", "places", *kept).mapInArrow(run, "tokens array<long>, places array<int>, sid long, n long, level int, root long, fold0 long, fold1 long")
+    return materialize(thinned, "mixed-postings")
 
 
 def _met(lists: DataFrame, threshold: int) -> DataFrame:
@@ -300,18 +314,25 @@ def _met(lists: DataFrame, threshold: int) -> DataFrame:
     share one of these, they have met on that one already and are not listed again.
     """
     each = lists.select("sid", "n", "level", "root", *FOLDED, "tokens", F.posexplode(F.arrays_zip("tokens", "places")).alias("i", "e"))
+    packed = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("e.places").cast("long"), 8) + F.col("level")  # in one long
     p = each.select(
-        "sid", "n", "level", "root", *FOLDED, F.col("e.tokens").alias("token"), F.col("e.places").alias("pos"),
+        "sid", "root", *FOLDED, F.col("e.tokens").alias("token"), packed.alias("of"),
         F.slice("tokens", F.greatest(F.col("i") - BEFORE, F.lit(0)) + 1, F.least("i", F.lit(BEFORE))).alias("before"),
     )
     x, y = p.alias("x"), p.alias("y")  # of the same columns, so that entries are dealt once
-    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") > F.col("y.sid")))
-    # the level with which an entry comes into the prefix of its node
-    at = [F.expr(f"{side}.pos + 1 - {side}.n + ({threshold} * {side}.n + 99) div 100") for side in "xy"]
+    n, at, level = [], [], []
+    for side in "xy":
+        own = F.shiftrightunsigned(f"{side}.of", 32)
+        place = F.shiftrightunsigned(f"{side}.of", 8).bitwiseAND((1 << 24) - 1)
+        n.append(own)
+        level.append(F.col(f"{side}.of").bitwiseAND(255))
+        at.append(place + 1 - own + F.floor((own * threshold + 99) / 100))  # the level with which the entry comes into the prefix
+    larger = (n[0] > n[1]) | ((n[0] == n[1]) & (F.col("x.sid") > F.col("y.sid")))
+    sizes = F.least(*n) * 100 >= F.greatest(*n) * threshold
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDED), F.lit(0))
-    both = F.col("x.n") + F.col("y.n")
+    both = n[0] + n[1]
     spare = both - 2 * F.floor((threshold * both + 99 + threshold) / (100 + threshold))  # as _spare
-    fits = larger & _near("x.n", "y.n", threshold) & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= F.greatest("x.level", "y.level")) & (differ <= spare)
+    fits = larger & sizes & (F.col("x.root") != F.col("y.root")) & (F.greatest(*at) <= F.greatest(*level)) & (differ <= spare)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits & ~F.arrays_overlap("x.before", "y.before"))
     return met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
