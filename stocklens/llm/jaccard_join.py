@@ -54,7 +54,7 @@ SHINGLE = 3  # words, of op8
 THRESHOLD = 90  # percent, of op8
 LEVELS = 4
 BEFORE = 6  # entries before an entry that it carries, by which pairs are not listed again
-HUB_ENTRIES, HUB_SHARED = 8, 3  # entries of a node that look for a hub; as many as it must share with one
+HUB_ENTRIES, HUB_SHARED = 4, 2  # entries of a node that look for a hub; as many as it must share with one
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
