@@ -9,8 +9,15 @@ own steps.
 In a rule ``*`` is any run of bytes without ``/`` and ``**`` any run at all.
 Rules see ``.host/path``, so ``*.org/`` fits org and all its subdomains.
 
+Rules and globs may come from tables of thousands (``rules_of``, ``globs_of``):
+they are compiled once, and sent along if they have ``MOST_RULE_BYTES`` at most,
+for a byte of a rule is a bit in 256 masks (16 MB in all); more raise an error. URLs
+go through in blocks whose states have ``STATE_BYTES``, however many rules there are.
+
 Null URLs and URLs without ``://`` have empty host and path; no rule fits
-them and they are allowed. Order and repetition of rows do not matter.
+them and they are allowed. Order and repetition of rows do not matter; of rules
+of equal length that fit, the first by bytes wins. Null rules are none. An
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values of the contract: rule -> verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 # The method's own rules for URLs that none of the above fits: hosts with a label that begins so.
 BLOCKED = ("*.casino**", "*.cheap-pills**", "*.adult**", "*.ads-track**")
+MOST_RULE_BYTES = 1 << 18
+STATE_BYTES = 1 << 24
 
 
 @dataclass
@@ -35,7 +45,8 @@ class Automaton:
     step: np.ndarray
     stay: np.ndarray
     start: np.ndarray
-    ends: list[tuple[int, np.uint64]]
+    words: np.ndarray  # of each rule's last bit
+    bits: np.ndarray
 
 
 def compile_globs(globs: list[str]) -> Automaton:
@@ -51,29 +62,55 @@ def compile_globs(globs: list[str]) -> Automaton:
                 states.append((raw[i], None))
                 i += 1
         parsed.append(states)
-    n_bits = sum(map(len, parsed))
-    bits = np.zeros((3, 256, n_bits), bool)  # step, stay, (start in row 0)
-    ends, at = [], 0
+    width = max(1, -(-sum(map(len, parsed)) // 64))
+    step, stay, start = np.zeros((256, width), np.uint64), np.zeros((256, width), np.uint64), np.zeros(width, np.uint64)
+    at, ends = 0, []
     for states in parsed:
-        bits[2, 0, at] = True
         for k, (byte, star) in enumerate(states):
+            word, bit = (at + k) // 64, np.uint64(1) << np.uint64((at + k) % 64)
+            if k == 0:
+                start[word] |= bit
             if byte is not None:
-                bits[0, byte, at + k] = True
+                step[byte, word] |= bit
             if star:
-                bits[1, :, at + k] = True
-                bits[1, ord("/"), at + k] = star == "any"
+                stay[:, word] |= bit
+                if star != "any":
+                    stay[ord("/"), word] &= ~bit
         at += len(states)
-        ends.append(((at - 1) // 64, np.uint64(1) << np.uint64((at - 1) % 64)))
-    width = max(1, -(-n_bits // 64))
-    packed = np.zeros((3, 256, width * 8), np.uint8)
-    raw8 = np.packbits(bits, axis=2, bitorder="little")
-    packed[:, :, : raw8.shape[2]] = raw8
-    masks = packed.view("<u8")
-    return Automaton(masks[0], masks[1], masks[2, 0], ends)
+        ends.append(at - 1)
+    last = np.array(ends, np.int64)
+    return Automaton(step, stay, start, last // 64, np.uint64(1) << (last % 64).astype(np.uint64))
+
+
+def _bounded(texts: DataFrame, column: str) -> None:
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    if size > MOST_RULE_BYTES:
+        raise ValueError(f"rules of {size} bytes; at most {MOST_RULE_BYTES} are sent to every task")
+
+
+def globs_of(table: DataFrame, column: str = "glob") -> tuple[str, ...]:
+    """The distinct globs of a table, for ``judge``."""
+    texts = table.select(F.col(column).cast("string").alias("glob")).filter("glob is not null").distinct()
+    _bounded(texts, "glob")
+    return tuple(sorted(r["glob"] for r in texts.collect()))
+
+
+def rules_of(table: DataFrame, rule: str = "rule", verdict: str = "verdict") -> dict[str, str]:
+    """Rules (host and path) with their verdicts, allow or block, from a table; where a rule has both, it blocks."""
+    texts = table.select(F.col(rule).cast("string").alias("rule"), F.col(verdict).cast("string").alias("verdict")).filter("rule is not null and verdict in ('allow', 'block')")
+    texts = texts.groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    _bounded(texts, "rule")
+    return {r["rule"]: r["verdict"] for r in texts.collect()}
+
+
+def matches(auto: Automaton, urls: list[bytes]) -> Iterator[np.ndarray]:
+    """Boolean matrices, URL x rule, of the URLs in turn, a block at a time."""
+    block = max(1, STATE_BYTES // (8 * len(auto.start)))
+    for at in range(0, len(urls), block):
+        yield _matched(auto, urls[at : at + block])
 
 
-def matches(auto: Automaton, urls: list[bytes]) -> np.ndarray:
-    """Boolean matrix, URL x rule."""
+def _matched(auto: Automaton, urls: list[bytes]) -> np.ndarray:
     size = np.fromiter(map(len, urls), np.int64, len(urls))
     order = np.argsort(-size, kind="stable")
     size, start = size[order], (np.cumsum(size) - size)[order]
@@ -88,9 +125,8 @@ def matches(auto: Automaton, urls: list[bytes]) -> np.ndarray:
         moved = now << up
         moved[:, 1:] |= now[:, :-1] >> carry
         state[:active] = (moved & auto.step[byte]) | (now & auto.stay[byte])
-    out = np.zeros((len(urls), len(auto.ends)), bool)
-    for k, (word, bit) in enumerate(auto.ends):
-        out[order, k] = (state[:, word] & bit) != 0
+    out = np.empty((len(urls), len(auto.words)), bool)
+    out[order] = (state[:, auto.words] & auto.bits) != 0
     return out
 
 
@@ -110,18 +146,19 @@ def canonical(url: str | None) -> tuple[str, str]:
 def judge(pages: DataFrame, *, rules: dict[str, str] | None = None, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. Of the rules that fit, the longest wins."""
     rules = RULES if rules is None else rules
-    names = sorted(rules, key=len, reverse=True)
+    names = sorted(rules, key=lambda r: (-len(r), r.encode()))
+    first = len(names)
     auto = compile_globs([f"*.{r}**" for r in names] + list(blocked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [canonical(u) for u in b.column(1).to_pylist()]
-            hit = matches(auto, [f".{h}{p}".encode() for h, p in parts])
             rule, verdict = [], []
-            for row in hit:
-                k = next((k for k in range(len(names)) if row[k]), None)
-                rule.append(None if k is None else names[k])
-                verdict.append(("block" if row[len(names) :].any() else "allow") if k is None else rules[names[k]])
+            for hit in matches(auto, [f".{h}{p}".encode() for h, p in parts]):
+                fits = np.where(hit[:, :first].any(axis=1), hit[:, :first].argmax(axis=1), -1) if first else np.full(len(hit), -1)
+                for k, bad in zip(fits.tolist(), hit[:, first:].any(axis=1).tolist(), strict=True):
+                    rule.append(None if k < 0 else names[k])
+                    verdict.append(("block" if bad else "allow") if k < 0 else rules[names[k]])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
                 ["page_id", "host", "path", "rule", "verdict"],
