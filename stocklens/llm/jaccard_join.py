@@ -54,7 +54,7 @@ SHINGLE = 3  # words, of op8
 THRESHOLD = 90  # percent, of op8
 LEVELS = 4
 BEFORE = 6  # entries before an entry that it carries, by which pairs are not listed again
-HUB_ENTRIES, HUB_SHARED = 4, 2  # entries of a node that look for a hub; as many as it must share with one
+HUB_ENTRIES, HUB_SHARED = 6, 2  # entries of a node that look for a hub; as many as it must share with one
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
@@ -198,9 +198,9 @@ def _postings(nodes: DataFrame) -> DataFrame:
             folds = np.array([fold(np.frombuffer(x.as_buffer(), np.uint8), 16).view(np.int64) for x in b.column(4)], np.int64).reshape(-1, 2)
             columns = [pa.array(alone), pa.ListArray.from_arrays(before, pa.array(tokens[at].astype(np.int64))), pa.ListArray.from_arrays(before, pa.array(places)), *(pa.array(x) for x in folds.T)]
             some = pa.array(np.diff(before) > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED]).filter(some)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns, b.column(4)], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED, "parity"]).filter(some)
 
-    schema = "sid long, n long, level int, alone int, tokens array<long>, places array<int>, fold0 long, fold1 long"
+    schema = "sid long, n long, level int, alone int, tokens array<long>, places array<int>, fold0 long, fold1 long, parity binary"
     return nodes.select("sid", "n", "level", "prefix", "parity").mapInArrow(run, schema)
 
 
@@ -270,7 +270,7 @@ def _hub_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     exact one work: what it misses is found there.
     """
     size = F.floor(F.log(F.col("n")) * 4)
-    few = postings.drop(*FOLDED, "places").withColumn("tokens", F.slice(F.array_sort("tokens"), 1, HUB_ENTRIES))
+    few = postings.drop(*FOLDED, "places", "parity").withColumn("tokens", F.slice(F.array_sort("tokens"), 1, HUB_ENTRIES))
     p = few.select("sid", "n", "level", F.explode("tokens").alias("token"), size.alias("size"), (F.col("alone") * F.lit(1 << 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32))).alias("rank"))
     hubs = p.groupBy("token", "size").agg(
         F.min_by("sid", "rank").alias("hub"), F.min_by("n", "rank").alias("m"), F.count(F.lit(1)).alias("nodes")
@@ -302,8 +302,8 @@ def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
             columns = [pa.ListArray.from_arrays(ends, pa.array(x[held])) for x in (flat, np.asarray(places.flatten()))]
             yield pa.RecordBatch.from_arrays([*columns, *b.columns[2:]], b.schema.names).filter(pa.array(np.diff(ends) > 0))
 
-    kept = ["sid", "n", "level", "root", *FOLDED]
-    thinned = rooted.select("tokens", "places", *kept).mapInArrow(run, "tokens array<long>, places array<int>, sid long, n long, level int, root long, fold0 long, fold1 long")
+    kept = ["sid", "n", "level", "root", *FOLDED, "parity"]
+    thinned = rooted.select("tokens", "places", *kept).mapInArrow(run, "tokens array<long>, places array<int>, sid long, n long, level int, root long, fold0 long, fold1 long, parity binary")
     return materialize(thinned, "mixed-postings")
 
 
@@ -352,10 +352,10 @@ def _enough(a: tuple, b: tuple, threshold: int) -> bool:
 
 
 def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for."""
+    """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for, and whose bitmaps allow the similarity."""
     lists = _mixed(postings, roots)
     pairs = materialize(_met(lists, threshold), "met-pairs")
-    own = lists.select("sid", "n", "level", "tokens", "places")
+    own = lists.select("sid", "n", "level", "tokens", "places", "parity")
     sides = [own.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own.columns[1:]]) for c in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +365,10 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFr
                     (n, level, np.asarray(tokens.values), np.asarray(places.values))
                     for n, level, tokens, places in zip(*(batch.column(k).to_pylist() for k in at[:2]), *(batch.column(k) for k in at[2:]), strict=True)
                 ]
-                for at in ((2, 3, 4, 5), (6, 7, 8, 9))
+                for at in ((2, 3, 4, 5), (7, 8, 9, 10))
             ]
-            keep = [_enough(a, b, threshold) for a, b in zip(*nodes, strict=True)]
+            bits = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(k)] for k in (6, 11)]
+            keep = [least_difference(p, q) <= _spare(a[0] + b[0], threshold) and _enough(a, b, threshold) for a, b, p, q in zip(*nodes, *bits, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", *[f"{x}_{c}" for c in "ab" for x in own.columns[1:]])
