@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,19 +90,31 @@ def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([keys & mask, second]).astype(np.uint32)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Small 32-bit numbers, compressed: first all lowest bytes, then the next ones, which are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 def _partial(keys: list[np.ndarray], bits: int) -> pa.RecordBatch:
     cells, counts = np.unique(_cells(np.concatenate(keys), bits), return_counts=True)
     slices = cells >> SLICE_BITS
     starts = np.flatnonzero(np.concatenate(([True], slices[1:] != slices[:-1])))
     ends = np.append(starts[1:], len(cells))
-    low = (cells & np.uint32((1 << SLICE_BITS) - 1)) | ((counts > 1).astype(np.uint32) << np.uint32(31))
-    return pa.RecordBatch.from_pydict({"slice": slices[starts].astype(np.int32), "cells": [low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+    low, more = cells & np.uint32((1 << SLICE_BITS) - 1), (counts > 1).astype(np.uint32)
+    steps = [pack((np.diff(low[a:b], prepend=np.uint32(0)) << np.uint32(1)) | more[a:b]) for a, b in zip(starts, ends, strict=True)]
+    return pa.RecordBatch.from_pydict({"slice": slices[starts].astype(np.int32), "cells": steps})
 
 
 def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: int = 2, bits: int = SKETCH_BITS) -> np.ndarray:
     """Count-min sketch, counts kept up to two: a bit per cell, whether it was counted ``least`` times (2 or 1).
 
-    ``keys_of`` gives arrays of 64-bit keys from a batch. Each task sends its cells by slice; slices are
+    ``keys_of`` gives arrays of 64-bit keys from a batch. Each task sends its cells by slice, as steps from one
+    to the next; slices are
     merged where they meet, a batch at a time, in a fixed array. The result has 16 MB at most, less with ``bits_for`` the
     number of keys.
     """
@@ -123,8 +136,8 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 into = counts.setdefault(k, np.zeros(1 << SLICE_BITS, np.uint8))
-                cells = np.frombuffer(raw.as_buffer(), np.uint32)
-                at, more = cells & np.uint32((1 << SLICE_BITS) - 1), (cells >> np.uint32(31)).astype(np.uint8)
+                steps = unpack(raw.as_buffer())
+                at, more = np.cumsum(steps >> np.uint32(1), dtype=np.int64), (steps & np.uint32(1)).astype(np.uint8)
                 into[at] = np.minimum(into[at] + 1 + more, 2)  # a partial sketch has a cell once
         for k, v in counts.items():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "cells": [np.packbits(v >= least).tobytes()]})

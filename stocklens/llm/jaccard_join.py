@@ -38,7 +38,6 @@ equal sets. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,13 +122,13 @@ def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
             if n:
                 counts += np.bincount(np.concatenate(_cells(np.concatenate(held))), minlength=size).astype(np.uint32)
         for k in range(size // part) if counts is not None else ():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": [zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1)]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": [hashing.pack(counts[k * part : (k + 1) * part])]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums.setdefault(k, np.zeros(part, np.uint64))[:] += np.frombuffer(zlib.decompress(raw), np.uint32)
+                sums.setdefault(k, np.zeros(part, np.uint64))[:] += hashing.unpack(raw)
         for k, v in sums.items():
             logs = np.floor(np.log2(np.maximum(v, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "counts": [logs.tobytes()]})
