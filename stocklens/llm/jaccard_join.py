@@ -374,15 +374,32 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def _nodes(sets: DataFrame) -> DataFrame:
+    """sid, check, n, rep, key, level, parity, prefix of every distinct set; ``rep`` is the smallest id that has it.
+
+    A bitmap tells which sets may occur twice. Only these are dealt by set; all others are nodes where they are read.
+    """
+    some = sets.filter("n > 0")
+    twice = hashing.seen_twice(some.select("sid"), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), bits=hashing.bits_for(some.count()))
+    row = some.select(*_SET, F.col("doc_id").alias("rep"), "key", "level", "parity", "prefix")
+
+    def held(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(hashing.maybe_twice(twice, np.asarray(b.column(0)).astype(np.uint64)) == wanted))
+
+        return row.mapInArrow(run, row.schema)
+
+    order = F.coalesce("rep", F.lit(_LAST))
+    each = [F.min("rep").alias("rep"), F.min_by("key", order).alias("key"), *[F.first(c).alias(c) for c in ("level", "parity", "prefix")]]
+    return held(False).unionByName(held(True).groupBy(*_SET).agg(*each))
+
+
 def join(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key, n, sid, root, component_id of every document; ``key`` is a hash of its text, ``root`` one of its component."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     sets = materialize(_sets(d, frequencies(d, shingle), shingle, threshold), "shingle-sets")
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    nodes = sets.filter("n > 0").groupBy(*_SET).agg(
-        F.min("doc_id").alias("rep"), F.min_by("key", order).alias("key"), F.first("level").alias("level"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
-    )
-    nodes = materialize(nodes, "shingle-nodes")
+    nodes = materialize(_nodes(sets), "shingle-nodes")
     postings = materialize(_postings(nodes), "shingle-postings")
     links = _linked(_hub_pairs(postings, threshold), nodes, d, shingle, threshold)
     more = _linked(_open_pairs(postings, components(links), threshold), nodes, d, shingle, threshold)
