@@ -11,8 +11,12 @@ Plan shape (chosen for scale, left to Catalyst/AQE for the physical join):
   ``supplier`` is a dimension; AQE broadcasts it when its measured size is
   under ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a
   sort-merge join (with skew splitting) when it is not.
-* The aggregate by (part, nation) runs partial/final, so a hot part or
-  nation is combined map-side before the shuffle.
+* The narrow lines are shuffled and then aggregated. Few of them share a part
+  and a nation, so combining them before the shuffle leaves nearly as many rows,
+  only wider ones, out of a hash table that spills as the tasks' input grows.
+  ``pair`` deals them by part and nation, the buckets that it is staged in, and
+  by year they are dealt by part alone, so that the part join moves them no
+  more. The lines of a hot key stream through the few groups that it has.
 * ``part`` attributes are joined *after* the aggregate: at most one row per
   part and nation reaches that join, so no key can be hot there.
 
@@ -39,6 +43,8 @@ SNAPSHOT = dt.date(2001, 12, 31)
 DECOY_SNAPSHOT = dt.date(1998, 12, 31)
 SEGMENT = "ECONOMY"
 
+BUCKETED = ("product", "location")  # columns of the staged ``pair`` that it is bucketed by
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,8 +54,12 @@ def _flag_sum(flag: str, value: str) -> Column:
     return F.sum(F.when(F.col("l_returnflag") == flag, F.col(value)).otherwise(F.lit(0)))
 
 
-def pair(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
-    """``pair``: one row per (part ``p``, supplier nation ``n``); ``by_year`` also per year ``y`` of shipping."""
+def pair(spark: SparkSession, sf_dir: str, by_year: bool = False, parts: int | None = None) -> DataFrame:
+    """``pair``: one row per (part ``p``, supplier nation ``n``); ``by_year`` also per year ``y`` of shipping.
+
+    The lines are dealt to ``parts`` partitions. ``pair`` has ``product`` and ``location``, the names of part and nation
+    in the roles, by which it is dealt; by year they are left to ``history``.
+    """
     year = [F.year("l_shipdate").alias("y")] if by_year else []
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linenumber", *year
@@ -61,9 +71,18 @@ def pair(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
         (F.col("p_size") / F.lit(4.0)).alias("f"),
         F.floor("p_retailprice").cast("double").alias("price"),
     )
+    lines = li.join(sup, li.l_suppkey == sup.s_suppkey).select(
+        F.col("l_partkey").alias("p"), F.col("s_nationkey").alias("n"), *["y"][: len(year)],
+        "l_quantity", "l_returnflag", "l_linenumber",
+    )
+    keys = ["p", "n", *["y"][: len(year)]]
+    dealt = lines.repartition(*([parts] if parts else []), *([F.col("p")] if by_year else _site()))
+    if not by_year:  # named behind the shuffle, which carries the numbers alone
+        keys = [*BUCKETED, *keys]
+        dealt = _named(dealt)
     agg = (
-        li.join(sup, li.l_suppkey == sup.s_suppkey)
-        .groupBy(F.col("l_partkey").alias("p"), F.col("s_nationkey").alias("n"), *["y"][: len(year)])
+        dealt
+        .groupBy(*keys)
         .agg(
             _flag_sum("R", "l_quantity").alias("qr"),
             _flag_sum("A", "l_quantity").alias("qa"),
@@ -78,18 +97,28 @@ def pair(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
             F.count(F.lit(1)).alias("cn"),
         )
     )
-    return agg.join(part, agg.p == part.p_partkey).drop("p_partkey")
+    joined = agg.join(part, agg.p == part.p_partkey).drop("p_partkey")
+    return joined.select(*[c for c in joined.columns if c not in BUCKETED], *[c for c in BUCKETED if c in keys])
 
 
 def _key(prefix: str, c: str) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
+def _site() -> list[Column]:
+    """The names of part and nation in the roles."""
+    return [_key("P", "p"), _key("N", "n")]
+
+
+def _named(pr: DataFrame) -> DataFrame:
+    return pr.withColumns(dict(zip(BUCKETED, _site(), strict=True)))
+
+
 def _candidate(pr: DataFrame, q: str, d: str, weekly_cov: Column, lt_cov: Column) -> DataFrame:
     p, n = F.col("p"), F.col("n")
     return pr.select(
-        _key("P", "p").alias("PartName"),
-        _key("N", "n").alias("PartSite"),
+        F.col("product").alias("PartName"),
+        F.col("location").alias("PartSite"),
         F.col(q).cast("double").alias("Safety_StockUnits"),
         F.col(d).cast("double").alias("Safety_StockDays"),
         weekly_cov.alias("Daily_Demandweek_CoV"),
@@ -116,6 +145,10 @@ def candidate2(pr: DataFrame) -> DataFrame:
     return _candidate(pr.filter(F.col("qa") > 0), "qa", "da", cov, cov)
 
 
+def _in_baseline() -> Column:
+    return (F.col("qn") > 0) | (F.col("qa") > 0)
+
+
 def _baseline_rows(pr: DataFrame, *snapshots: Column) -> DataFrame:
     """Baseline rows of the pairs that have one, once for each of ``snapshots``."""
     p, n, f = F.col("p"), F.col("n"), F.col("f")
@@ -126,8 +159,8 @@ def _baseline_rows(pr: DataFrame, *snapshots: Column) -> DataFrame:
         return x.cast("double") * f
 
     body = [
-        _key("P", "p").alias("PRDID"),
-        _key("N", "n").alias("LOCID"),
+        F.col("product").alias("PRDID"),
+        F.col("location").alias("LOCID"),
         F.when(n % 6 == 0, F.lit(0.0)).otherwise(F.col("da").cast("double")).alias(
             "IOSAFETYSTOCKDAYSOFSUPPLY"
         ),
@@ -158,7 +191,7 @@ def _baseline_rows(pr: DataFrame, *snapshots: Column) -> DataFrame:
         bucket(F.col("c3")).alias("SU_Situational_Cycle_C"),
         F.lit(0.0).alias("SU_Unknown_U"),
     ]
-    kept = pr.filter((F.col("qn") > 0) | (F.col("qa") > 0))
+    kept = pr.filter(_in_baseline())
     out = None
     for date in snapshots:
         rows = kept.select(*body[:2], date.alias("KEYFIGUREDATE"), *body[2:])
@@ -173,7 +206,7 @@ def baseline(pr: DataFrame) -> DataFrame:
 
 def history(by_year: DataFrame) -> DataFrame:
     """A baseline snapshot at the end of every year of shipping, of that year's lines."""
-    return _baseline_rows(by_year, F.make_date("y", F.lit(12), F.lit(31)))
+    return _baseline_rows(_named(by_year), F.make_date("y", F.lit(12), F.lit(31)))
 
 
 def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +227,8 @@ def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cov(pr: DataFrame) -> DataFrame:
     p, n = F.col("p"), F.col("n")
     return pr.filter(F.col("qt") > 0).select(
-        _key("P", "p").alias("PRDID"),
-        _key("N", "n").alias("LOCID"),
+        F.col("product").alias("PRDID"),
+        F.col("location").alias("LOCID"),
         (((p * 7 + n) % 16 + 1).cast("double") / 10).alias("CV"),
     )
 
@@ -203,8 +236,8 @@ def cov(pr: DataFrame) -> DataFrame:
 def service(pr: DataFrame) -> DataFrame:
     p, n = F.col("p"), F.col("n")
     return pr.filter((F.col("qr") > 0) | (F.col("qn") > 0)).select(
-        _key("P", "p").alias("PRDID"),
-        _key("N", "n").alias("LOCID"),
+        F.col("product").alias("PRDID"),
+        F.col("location").alias("LOCID"),
         ((p % 10 + 90).cast("double") / 100).alias("Service_Level"),
     )
 
@@ -236,6 +269,16 @@ def fixture_roles(spark: SparkSession, sf_dir: str, pr: DataFrame | None = None)
 # change, as Spark lists them, whatever the file system or form of path -- so
 # changed inputs, also a part file rewritten in place, are staged again.
 # ``cleanup`` deletes what was staged.
+#
+# The staged ``pair`` is a table bucketed by product and location, which the
+# scan reports as its partitioning: the sides of the comparison, each a
+# projection of it under other names, meet without being shuffled. It has one
+# row per key, so no bucket holds much more than another. The number of buckets
+# goes by the bytes of the source tables, one task each; what is not enough for
+# two is left in plain files.
+
+BUCKET_BYTES = 4 << 20  # of source files
+MAX_BUCKETS = 100_000  # Spark's own limit
 
 _STAGED: dict[tuple, str] = {}
 _STAGE_LOCK = threading.Lock()
@@ -249,30 +292,49 @@ def _signature(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), digest).first())
 
 
+def _parts(signature: tuple) -> int:
+    """Partitions for the lines of source files of so many bytes."""
+    return min(max(1, -(-(signature[1] or 0) // BUCKET_BYTES)), MAX_BUCKETS)
+
+
+def _table(path: str) -> str:
+    """The catalog's name of the table staged in ``path``."""
+    return f"spark_catalog.default.stocklens_{path.rsplit('/', 1)[1].replace('-', '_')}"
+
+
 def staged_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pair`` for ``sf_dir``, computed and written once, then read back."""
+    """``pair`` for ``sf_dir``, computed and written once, in buckets, then read back."""
     from stocklens.session import app_id, scratch_path
 
-    key = (app_id(spark), sf_dir, _signature(spark, sf_dir))
+    signature = _signature(spark, sf_dir)
+    key = (app_id(spark), sf_dir, signature)
     with _STAGE_LOCK:
         path = _STAGED.get(key)
         if path is None:
-            path = scratch_path(spark, "pair")
-            pair(spark, sf_dir).write.mode("overwrite").parquet(path)
+            path, parts = scratch_path(spark, "pair"), _parts(signature)
+            rows = pair(spark, sf_dir, parts=parts)
+            if parts == 1:
+                rows.write.parquet(path)
+            else:
+                # dealt by the buckets' own hash, so a task writes one bucket, in one file; Spark drops this exchange
+                # where the part join left the rows as they were dealt
+                rows = rows.repartition(parts, *BUCKETED)
+                rows.write.format("parquet").bucketBy(parts, *BUCKETED).option("path", path).saveAsTable(_table(path))
             _STAGED[key] = path
-    return spark.read.parquet(path)
+    return spark.table(_table(path)) if _parts(signature) > 1 else spark.read.parquet(path)
 
 
 def staged_history(spark: SparkSession, sf_dir: str) -> SnapshotHistory:
     """``history`` for ``sf_dir``, partitioned by its date, written once."""
     from stocklens.session import app_id, scratch_path
 
-    key = (app_id(spark), sf_dir, "history", _signature(spark, sf_dir))
+    signature = _signature(spark, sf_dir)
+    key = (app_id(spark), sf_dir, "history", signature)
     with _STAGE_LOCK:
         path = _STAGED.get(key)
         if path is None:
             path = scratch_path(spark, "history")
-            SnapshotHistory.write(history(pair(spark, sf_dir, by_year=True)), path)
+            SnapshotHistory.write(history(pair(spark, sf_dir, by_year=True, parts=_parts(signature))), path)
             _STAGED[key] = path
     return SnapshotHistory(spark, path)
 
@@ -284,7 +346,9 @@ def cleanup(spark: SparkSession) -> int:
     with _STAGE_LOCK:
         mine = [k for k in _STAGED if k[0] == app_id(spark)]
         for k in mine:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop(k))
+            staged = _STAGED.pop(k)
+            spark.sql(f"DROP TABLE IF EXISTS {_table(staged)}")  # external: the files go with the folder
+            path = spark._jvm.org.apache.hadoop.fs.Path(staged)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return len(mine)
 
