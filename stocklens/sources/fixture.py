@@ -325,7 +325,10 @@ def staged_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_history(spark: SparkSession, sf_dir: str) -> SnapshotHistory:
-    """``history`` for ``sf_dir``, partitioned by its date, written once."""
+    """``history`` for ``sf_dir``, partitioned by its date, written once.
+
+    The rows are dealt to the files by year while they are narrow, before the baseline's columns are made of them.
+    """
     from stocklens.session import app_id, scratch_path
 
     signature = _signature(spark, sf_dir)
@@ -334,7 +337,8 @@ def staged_history(spark: SparkSession, sf_dir: str) -> SnapshotHistory:
         path = _STAGED.get(key)
         if path is None:
             path = scratch_path(spark, "history")
-            SnapshotHistory.write(history(pair(spark, sf_dir, by_year=True, parts=_parts(signature))), path)
+            rows = pair(spark, sf_dir, by_year=True, parts=_parts(signature)).filter(_in_baseline())
+            SnapshotHistory.write(history(rows.hint("rebalance", F.col("y"))), path, dealt=True)
             _STAGED[key] = path
     return SnapshotHistory(spark, path)
 

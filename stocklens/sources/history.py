@@ -27,9 +27,10 @@ class SnapshotHistory:
     column: str = S.BaselineCols().snapshot
 
     @staticmethod
-    def write(baseline: DataFrame, path: str, column: str = S.BaselineCols().snapshot) -> "SnapshotHistory":
-        """Write a new history; files are sized by bytes."""
-        writer = baseline.hint("rebalance", F.col(S.quoted(column))).write.mode("overwrite")
+    def write(baseline: DataFrame, path: str, column: str = S.BaselineCols().snapshot, dealt: bool = False) -> "SnapshotHistory":
+        """Write a new history; files are sized by bytes. ``dealt``: the rows come rebalanced by date already."""
+        rows = baseline if dealt else baseline.hint("rebalance", F.col(S.quoted(column)))
+        writer = rows.write.mode("overwrite")
         writer.partitionBy(column).parquet(path)
         return SnapshotHistory(baseline.sparkSession, path, column)
 

@@ -87,3 +87,19 @@ def test_timestamps_take_a_date_from_a_query(spark, history):
     df = spark.sql("SELECT * FROM VALUES (timestamp'2001-12-31 10:00:00'), (timestamp'2001-12-30 23:59:59'), (timestamp'2002-01-01 00:00:00') AS t(at)")
     got = df.filter(snapshot_predicate(df, "at", history.latest_date())).collect()
     assert [r["at"].hour for r in got] == [10]
+
+
+def test_a_history_is_dealt_while_its_rows_are_narrow(spark, tmp_path, monkeypatch):
+    """The rows go to their year's files before the baseline's columns are made; files stay one a day where they are small."""
+    plans = []
+    write = SnapshotHistory.write
+    monkeypatch.setattr(SnapshotHistory, "write", staticmethod(lambda df, path, **how: plans.append((df, how)) or write(df, path, **how)))
+    fixture.cleanup(spark)
+    staged = fixture.staged_history(spark, SF001)
+    (df, how), = plans
+    assert how == {"dealt": True}
+    tree = _plan(df)
+    assert "REBALANCE" in tree and tree.index(" AS PRDID") < tree.index("REBALANCE") and " AS PRDID" not in tree[tree.index("REBALANCE"):]
+    assert len(_files(staged.path.removeprefix("file:"))) == staged.dates().count()
+    plain = fixture.history(fixture.pair(spark, SF001, by_year=True))
+    assert staged.rows().exceptAll(plain.select(staged.rows().columns)).isEmpty() and staged.rows().count() == plain.count()
