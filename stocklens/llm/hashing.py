@@ -110,12 +110,12 @@ def _partial(keys: list[np.ndarray], bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slice": slices[starts].astype(np.int32), "cells": steps})
 
 
-def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: int = 2, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Count-min sketch, counts kept up to two: a bit per cell, whether it was counted ``least`` times (2 or 1).
+def seen(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: tuple[int, ...], bits: int = SKETCH_BITS) -> list[np.ndarray]:
+    """Count-min sketch, counts kept up to two: for each of ``least`` (2 or 1) a bit per cell, whether it was counted so often.
 
     ``keys_of`` gives arrays of 64-bit keys from a batch. Each task sends its cells by slice, as steps from one
     to the next; slices are
-    merged where they meet, a batch at a time, in a fixed array. The result has 16 MB at most, less with ``bits_for`` the
+    merged where they meet, a batch at a time, in a fixed array. A bitmap has 16 MB at most, less with ``bits_for`` the
     number of keys.
     """
 
@@ -140,14 +140,19 @@ def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
                 at, more = np.cumsum(steps >> np.uint32(1), dtype=np.int64), (steps & np.uint32(1)).astype(np.uint8)
                 into[at] = np.minimum(into[at] + 1 + more, 2)  # a partial sketch has a cell once
         for k, v in counts.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "cells": [np.packbits(v >= least).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "cells": [b"".join(np.packbits(v >= n).tobytes() for n in least)]})
 
     schema = "slice int, cells binary"
     merged = rows.mapInArrow(sketch, schema).repartition("slice").mapInArrow(merge, schema).collect()
-    out = np.zeros(((2 << bits) >> SLICE_BITS, (1 << SLICE_BITS) // 8), np.uint8)
+    out = np.zeros((len(least), (2 << bits) >> SLICE_BITS, (1 << SLICE_BITS) // 8), np.uint8)
     for r in merged:
-        out[r["slice"]] = np.frombuffer(r["cells"], np.uint8)
-    return out.reshape(-1)
+        out[:, r["slice"]] = np.frombuffer(r["cells"], np.uint8).reshape(len(least), -1)
+    return [x.reshape(-1) for x in out]
+
+
+def seen_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *, least: int = 2, bits: int = SKETCH_BITS) -> np.ndarray:
+    """One bitmap of ``seen``."""
+    return seen(rows, keys_of, least=(least,), bits=bits)[0]
 
 
 def maybe_twice(sketch: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -175,29 +175,50 @@ def _sets(docs: DataFrame, logs: np.ndarray, shingle: int, threshold: int) -> Da
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, sid long, check long, level int, parity binary, prefix array<long>")
 
 
-def _prefix_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield np.asarray(batch.column(0).flatten()).astype(np.uint64)
+def size_class(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Classes of sizes: two sets whose sizes allow the similarity are in the same one or in neighbouring ones."""
+    width = max(np.log(100 / threshold), 1e-6) * (1 + 1e-9)  # a little more, for rounding
+    return np.floor(np.log(n) / width).astype(np.uint64)
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
-    """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node may have too, with their places in the node's order."""
+def _sized(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return hashing.mix(tokens + hashing.mix(classes + np.uint64(1)))
+
+
+def _postings(nodes: DataFrame, threshold: int) -> DataFrame:
+    """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node of a fitting size may have too, with their places in the node's order.
+
+    A node with fewer of these than its level asks for has no partner.
+    """
     entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    sketch = hashing.seen_twice(nodes.select("prefix"), _prefix_keys, bits=hashing.bits_for(entries))
+
+    def lists(b: pa.RecordBatch, n: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.asarray(b.column(prefix).value_lengths())
+        classes = size_class(np.asarray(b.column(n)), threshold)
+        return np.asarray(b.column(prefix).flatten()).astype(np.uint64), np.repeat(classes, lengths), lengths
+
+    def keys(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _sized(*lists(b, 0, 1)[:2])
+
+    once, twice = hashing.seen(nodes.select("n", "prefix"), keys, least=(1, 2), bits=hashing.bits_for(entries))
+    step = np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
-            tokens = np.asarray(lists.flatten()).astype(np.uint64)
-            starts = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))).astype(np.int64)
-            shared = hashing.maybe_twice(sketch, tokens)
+            tokens, classes, lengths = lists(b, 1, 3)
+            starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+            shared = hashing.maybe_twice(twice, _sized(tokens, classes))
+            for other in (classes - step, classes + step):
+                rest = np.flatnonzero(~shared)
+                shared[rest] = hashing.maybe_twice(once, _sized(tokens[rest], other[rest]))
             before = np.concatenate(([0], np.cumsum(shared)))[starts].astype(np.int32)
             at = np.flatnonzero(shared)
             places = (at - np.repeat(starts[:-1], np.diff(starts))[at]).astype(np.int32)
             alone = (np.diff(starts) - np.diff(before)).astype(np.int32)
             folds = np.array([fold(np.frombuffer(x.as_buffer(), np.uint8), 16).view(np.int64) for x in b.column(4)], np.int64).reshape(-1, 2)
             columns = [pa.array(alone), pa.ListArray.from_arrays(before, pa.array(tokens[at].astype(np.int64))), pa.ListArray.from_arrays(before, pa.array(places)), *(pa.array(x) for x in folds.T)]
-            some = pa.array(np.diff(before) > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns, b.column(4)], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED, "parity"]).filter(some)
+            enough = pa.array(np.diff(before) >= np.asarray(b.column(2)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns, b.column(4)], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED, "parity"]).filter(enough)
 
     schema = "sid long, n long, level int, alone int, tokens array<long>, places array<int>, fold0 long, fold1 long, parity binary"
     return nodes.select("sid", "n", "level", "prefix", "parity").mapInArrow(run, schema)
@@ -299,7 +320,8 @@ def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
             starts = np.concatenate(([0], np.cumsum(np.asarray(tokens.value_lengths())))).astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(held)))[starts].astype(np.int32)
             columns = [pa.ListArray.from_arrays(ends, pa.array(x[held])) for x in (flat, np.asarray(places.flatten()))]
-            yield pa.RecordBatch.from_arrays([*columns, *b.columns[2:]], b.schema.names).filter(pa.array(np.diff(ends) > 0))
+            enough = np.diff(ends) >= np.asarray(b.column(4))
+            yield pa.RecordBatch.from_arrays([*columns, *b.columns[2:]], b.schema.names).filter(pa.array(enough))
 
     kept = ["sid", "n", "level", "root", *FOLDED, "parity"]
     thinned = rooted.select("tokens", "places", *kept).mapInArrow(run, "tokens array<long>, places array<int>, sid long, n long, level int, root long, fold0 long, fold1 long, parity binary")
@@ -400,7 +422,7 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     sets = materialize(_sets(d, frequencies(d, shingle), shingle, threshold), "shingle-sets")
     nodes = materialize(_nodes(sets), "shingle-nodes")
-    postings = materialize(_postings(nodes), "shingle-postings")
+    postings = materialize(_postings(nodes, threshold), "shingle-postings")
     links = _linked(_hub_pairs(postings, threshold), nodes, d, shingle, threshold)
     more = _linked(_open_pairs(postings, components(links), threshold), nodes, d, shingle, threshold)
     roots = components(links.union(more)).withColumnRenamed("node", "sid")

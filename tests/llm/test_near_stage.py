@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -67,3 +68,32 @@ def test_documents_that_share_passages(spark, monkeypatch, before, shingle, thre
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, shingle=shingle, threshold=threshold).collect()}
     assert [got[k] for k in range(len(texts))] == _components(texts, shingle, threshold)
+
+
+@pytest.mark.parametrize("threshold", [1, 37, 60, 80, 90, 99, 100])
+def test_sizes_that_fit_are_in_neighbouring_classes(threshold):
+    n = np.arange(1, 5000)
+    most = n * 100 // threshold  # of a partner
+    at, last = (jaccard_join.size_class(x, threshold).astype(np.int64) for x in (n, most))
+    assert (np.diff(at) >= 0).all() and (last - at >= 0).all() and (last - at <= 1).all()
+
+
+def test_entries_that_only_sizes_that_do_not_fit_share_are_not_dealt(spark, monkeypatch):
+    """The rare shingles of a short and a long text are the same ones, the rest is common: no pair, so the short one has no entries."""
+    common = [f"c{j}" for j in range(300)]
+    passage = [f"p{j}" for j in range(8)]
+    short, long = " ".join(passage + common[:20]), " ".join(passage + common)
+    texts = [short, long, *[" ".join(common[:20])] * 8, *[" ".join(common)] * 8]
+    held = {}
+
+    def keep(df, name):
+        held[name] = materialize(df, name)
+        return held[name]
+
+    materialize = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", keep)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == _components(texts, 3, 90) == [0, 1] + [2] * 8 + [1] * 8
+    assert 26 in {r.n for r in held["shingle-nodes"].collect()}
+    assert 26 not in {r.n for r in held["shingle-postings"].collect()}
