@@ -28,8 +28,9 @@ pair on few of the entries that it shares, so that groups of documents that
 are alike but do not link list few pairs; shared entries are counted from the
 two nodes' own lists.
 
-Sketches grow with the number of keys up to a fixed size and only order or prefilter. Hot shingles: minima
-are aggregated in part, joins are split by AQE.
+Sketches grow with the number of keys up to a fixed size and only order or prefilter. Which prefix shingles
+several nodes have is counted over all of them, so what is listed does not grow as a sketch fills. Hot shingles:
+counts and minima are aggregated in part, joins are split by AQE.
 
 Null and empty texts have an empty set and link with nothing. Ids that are
 null are never a component's id unless it has no other. Repeated rows have
@@ -55,6 +56,7 @@ LEVELS = 4
 BEFORE = 6  # entries before an entry that it carries, by which pairs are not listed again
 HUB_ENTRIES, HUB_SHARED = 6, 2  # entries of a node that look for a hub; as many as it must share with one
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
+IN_BITMAP = 1 << 21  # shared tokens that a bitmap thins the lists by; more are joined
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
 FOLDED = ["fold0", "fold1"]  # two longs
@@ -181,47 +183,61 @@ def size_class(n: np.ndarray, threshold: int) -> np.ndarray:
     return np.floor(np.log(n) / width).astype(np.uint64)
 
 
-def _sized(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return hashing.mix(tokens + hashing.mix(classes + np.uint64(1)))
+def _shared_tokens(nodes: DataFrame, threshold: int) -> DataFrame:
+    """The tokens that stand in the prefixes of two nodes of fitting sizes, counted over all prefixes.
 
+    A token's nodes are marked by size class, classes 64 apart alike: more nodes than marks, or neighbouring marks, and two may fit.
+    """
 
-def _postings(nodes: DataFrame, threshold: int) -> DataFrame:
-    """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node of a fitting size may have too, with their places in the node's order.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = np.uint64(1) << (size_class(np.asarray(b.column(0)), threshold) & np.uint64(63))
+            each = np.repeat(marks.view(np.int64), np.asarray(b.column(1).value_lengths()))
+            yield pa.RecordBatch.from_arrays([b.column(1).flatten(), pa.array(each)], ["token", "mark"])
 
-    A node with fewer of these than its level asks for has no partner.
-    """
-    entries = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    entries = nodes.select("n", "prefix").mapInArrow(run, "token long, mark long")
+    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.bit_or("mark").alias("marks"))
+    next_to = F.shiftleft("marks", 1).bitwiseOR(F.shiftrightunsigned("marks", 63))
+    return tokens.filter((F.col("nodes") > F.bit_count("marks")) | (F.col("marks").bitwiseAND(next_to) != 0)).select("token")
 
-    def lists(b: pa.RecordBatch, n: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.asarray(b.column(prefix).value_lengths())
-        classes = size_class(np.asarray(b.column(n)), threshold)
-        return np.asarray(b.column(prefix).flatten()).astype(np.uint64), np.repeat(classes, lengths), lengths
 
-    def keys(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _sized(*lists(b, 0, 1)[:2])
+def _postings(nodes: DataFrame, threshold: int) -> DataFrame:
+    """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node of a fitting size may have too, with their places in the node's order.
 
-    once, twice = hashing.seen(nodes.select("n", "prefix"), keys, least=(1, 2), bits=hashing.bits_for(entries))
-    step = np.uint64(1)
+    A node with fewer of these than its level asks for has no partner. A bitmap of the shared tokens thins the lists where
+    they are; what it holds by chance only makes work. More than ``IN_BITMAP`` tokens would fill it, and are joined.
+    """
+    shared = materialize(_shared_tokens(nodes, threshold), "shared-tokens")
+    count = shared.count()
+    lists = nodes.select("sid", "n", "level", F.size("prefix").alias("length"), "parity", "prefix")
+    bitmap = None
+    if count <= IN_BITMAP:
+        bits = min(hashing.SKETCH_BITS, hashing.bits_for(count) + 2)
+        bitmap = hashing.seen_twice(shared, lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=bits)
+    else:
+        met = nodes.select("sid", F.posexplode("prefix").alias("place", "token")).join(shared, "token")
+        entries = met.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("e"))
+        lists = lists.drop("prefix").join(entries, "sid").select("sid", "n", "level", "length", "parity", "e.token", "e.place")
+
+    def thin(prefix: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+        lengths, tokens = np.asarray(prefix.value_lengths()), np.asarray(prefix.flatten())
+        starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+        held = hashing.maybe_twice(bitmap, tokens.astype(np.uint64))
+        ends = np.concatenate(([0], np.cumsum(held)))[starts].astype(np.int32)
+        places = (np.arange(len(tokens)) - np.repeat(starts[:-1], lengths)).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(tokens[held])), pa.ListArray.from_arrays(ends, pa.array(places[held]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, classes, lengths = lists(b, 1, 3)
-            starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-            shared = hashing.maybe_twice(twice, _sized(tokens, classes))
-            for other in (classes - step, classes + step):
-                rest = np.flatnonzero(~shared)
-                shared[rest] = hashing.maybe_twice(once, _sized(tokens[rest], other[rest]))
-            before = np.concatenate(([0], np.cumsum(shared)))[starts].astype(np.int32)
-            at = np.flatnonzero(shared)
-            places = (at - np.repeat(starts[:-1], np.diff(starts))[at]).astype(np.int32)
-            alone = (np.diff(starts) - np.diff(before)).astype(np.int32)
+            tokens, places = thin(b.column(5)) if bitmap is not None else b.columns[5:]
+            held = np.asarray(tokens.value_lengths())
+            alone = (np.asarray(b.column(3)) - held).astype(np.int32)
             folds = np.array([fold(np.frombuffer(x.as_buffer(), np.uint8), 16).view(np.int64) for x in b.column(4)], np.int64).reshape(-1, 2)
-            columns = [pa.array(alone), pa.ListArray.from_arrays(before, pa.array(tokens[at].astype(np.int64))), pa.ListArray.from_arrays(before, pa.array(places)), *(pa.array(x) for x in folds.T)]
-            enough = pa.array(np.diff(before) >= np.asarray(b.column(2)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns, b.column(4)], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED, "parity"]).filter(enough)
+            enough = pa.array(held >= np.asarray(b.column(2)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(alone), tokens, places, *(pa.array(x) for x in folds.T), b.column(4)], ["sid", "n", "level", "alone", "tokens", "places", *FOLDED, "parity"]).filter(enough)
 
     schema = "sid long, n long, level int, alone int, tokens array<long>, places array<int>, fold0 long, fold1 long, parity binary"
-    return nodes.select("sid", "n", "level", "prefix", "parity").mapInArrow(run, schema)
+    return lists.mapInArrow(run, schema)
 
 
 def _near(a: str, b: str, threshold: int):

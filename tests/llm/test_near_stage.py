@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stocklens.llm import jaccard_join
+from stocklens.llm import hashing, jaccard_join
 
 
 def _sets(texts, size):
@@ -97,3 +98,47 @@ def test_entries_that_only_sizes_that_do_not_fit_share_are_not_dealt(spark, monk
     assert [got[k] for k in range(len(texts))] == _components(texts, 3, 90) == [0, 1] + [2] * 8 + [1] * 8
     assert 26 in {r.n for r in held["shingle-nodes"].collect()}
     assert 26 not in {r.n for r in held["shingle-postings"].collect()}
+
+
+def _nodes_with(spark, shared, sizes, *, entries):
+    """Nodes of these sizes with as many entries of their own, and the ``shared`` tokens at the places 3, 4, ..."""
+    own = F.transform(F.sequence(F.lit(1), F.lit(entries)), lambda x: F.xxhash64("sid", x))
+    rows = spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(zip(sizes, shared, strict=True))], "sid long, n long, shared array<long>")
+    prefix = F.concat(F.slice(own, 1, 3), "shared", F.slice(own, 4, entries))
+    return rows.repartition(4).select("sid", "n", F.lit(2).alias("level"), F.unhex(F.lit("00" * 32)).alias("parity"), prefix.alias("prefix"))
+
+
+@pytest.mark.parametrize("most", [jaccard_join.IN_BITMAP, 0])
+def test_no_entries_are_kept_by_chance_however_full_a_sketch_would_be(spark, monkeypatch, most):
+    """Many more entries than a sketch has cells: only those stay that nodes of fitting sizes share."""
+    monkeypatch.setattr(hashing, "SKETCH_BITS", hashing.SLICE_BITS)
+    monkeypatch.setattr(jaccard_join, "IN_BITMAP", most)
+    sizes, shared = [2000] * 900, [[] for _ in range(900)]
+    for k, sid in enumerate((0, 1, 2, 3, 4)):
+        sizes[sid], shared[sid] = (2000, 2400, 2000, 60, 2000)[k], ([11, 12, 13], [11, 12, 13], [21, 22], [21, 22], [11])[k]
+    nodes = _nodes_with(spark, shared, sizes, entries=4000)
+    got = {r.sid: r for r in jaccard_join._postings(nodes, 80).collect()}
+    assert sorted(got) == [0, 1]  # 2 and 3 are of far sizes, 4 shares less than its level
+    for r in got.values():
+        assert (r.tokens, r.places, r.alone, r.level) == ([11, 12, 13], [3, 4, 5], 4000, 2)
+        assert (r.fold0, r.fold1, len(r.parity)) == (0, 0, 32)
+
+
+@pytest.mark.parametrize(("classes", "kept"), [((30, 30), True), ((30, 31), True), ((63, 64), True), ((30, 32), False), ((30, 32, 34), False), ((30, 32, 33), True), ((30, 62), False)])
+def test_tokens_of_fitting_sizes(spark, classes, kept):
+    """A token is shared where two of its nodes are in one class or in neighbouring ones."""
+    sizes = [round(np.exp((c + 0.5) * np.log(100 / 90))) for c in classes]
+    assert [int(jaccard_join.size_class(np.array(n), 90)) for n in sizes] == list(classes)
+    rows = spark.createDataFrame([(n, [7, -k]) for k, n in enumerate(sizes, 1)], "n long, prefix array<long>")
+    assert [r.token for r in jaccard_join._shared_tokens(rows, 90).collect()] == [7] * kept
+
+
+def test_lists_that_are_joined_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "IN_BITMAP", 0)
+    texts = [*_texts(), "", " \t", None, "one", "one", "ONE two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for shingle, threshold in ((3, 90), (5, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, shingle=shingle, threshold=threshold).collect()}
+        some = [k for k, t in enumerate(texts) if t and t.split()]
+        assert [got[k] for k in some] == [some[c] for c in _components([texts[k] for k in some], shingle, threshold)]
+        assert all(got[k] == k for k in range(len(texts)) if k not in some)
