@@ -29,12 +29,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, from links (a, b) of longs; the root is the component's smallest node.
 
     A node with very many links is never gathered: minima are aggregated in part, and joined back (AQE splits a
-    hot key). Every round is written, so a lost executor costs a re-read.
+    hot key). Every round is written, so a lost executor costs a re-read. ``links`` is counted first: give a table
+    that is written.
     """
-    start = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    together = (lambda df: df.coalesce(1)) if links.count() <= ONE_TASK else (lambda df: df)
+    start = together(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct()
     edges = materialize(start, "links")
     mark = _mark(edges)
-    together = (lambda df: df.coalesce(1)) if mark[0] <= ONE_TASK else (lambda df: df)
     for _ in range(MOST_ROUNDS):
         both = together(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

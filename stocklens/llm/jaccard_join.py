@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from stocklens.llm import hashing
 from stocklens.llm.components import components
-from stocklens.session import materialize
+from stocklens.session import in_few, materialize
 
 SHINGLE = 3  # words, of op8
 THRESHOLD = 90  # percent, of op8
@@ -56,6 +56,7 @@ LEVELS = 4
 BEFORE = 6  # entries before an entry that it carries, by which pairs are not listed again
 HUB_ENTRIES, HUB_SHARED = 6, 2  # entries of a node that look for a hub; as many as it must share with one
 COMPARE_COST = 8  # of comparing a pair, in prefix entries read
+LEAST_FILES, DOCS_A_FILE = 12, 4000  # of the tables between the steps, where a session shuffles to more partitions
 IN_BITMAP = 1 << 21  # shared tokens that a bitmap thins the lists by; more are joined
 FREQUENCY_BITS, PART_BITS = 21, 17
 PARITY_BITS = 8  # binary logarithm of a bitmap's least size
@@ -201,13 +202,18 @@ def _shared_tokens(nodes: DataFrame, threshold: int) -> DataFrame:
     return tokens.filter((F.col("nodes") > F.bit_count("marks")) | (F.col("marks").bitwiseAND(next_to) != 0)).select("token")
 
 
-def _postings(nodes: DataFrame, threshold: int) -> DataFrame:
+def _files(docs: DataFrame) -> int:
+    """The most files that a table between the steps needs: it grows with the documents, however many partitions the session shuffles to."""
+    return max(LEAST_FILES, docs.count() // DOCS_A_FILE)
+
+
+def _postings(nodes: DataFrame, threshold: int, files: int = LEAST_FILES) -> DataFrame:
     """sid, n, level, alone, tokens, places and the folded bitmap: a node's prefix entries that another node of a fitting size may have too, with their places in the node's order.
 
     A node with fewer of these than its level asks for has no partner. A bitmap of the shared tokens thins the lists where
     they are; what it holds by chance only makes work. More than ``IN_BITMAP`` tokens would fill it, and are joined.
     """
-    shared = materialize(_shared_tokens(nodes, threshold), "shared-tokens")
+    shared = materialize(in_few(_shared_tokens(nodes, threshold), files), "shared-tokens")
     count = shared.count()
     lists = nodes.select("sid", "n", "level", F.size("prefix").alias("length"), "parity", "prefix")
     bitmap = None
@@ -245,10 +251,11 @@ def _near(a: str, b: str, threshold: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, files: int) -> DataFrame:
     """sid, text of the nodes in ``pairs``. A bitmap of their texts' keys thins the documents before they are joined."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = materialize(nodes.join(wanted, "sid").select("sid", F.coalesce("rep", F.lit(_LAST)).alias("r"), F.col("key").alias("k")), "wanted-nodes")
+    wanted = nodes.join(wanted, "sid").select("sid", F.coalesce("rep", F.lit(_LAST)).alias("r"), F.col("key").alias("k"))
+    wanted = materialize(in_few(wanted, files), "wanted-nodes")
     bitmap = hashing.seen_twice(wanted.select("k"), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=hashing.bits_for(wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +263,7 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array(hashing.maybe_twice(bitmap, np.asarray(b.column(1)).astype(np.uint64))))
 
     few = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("r"), F.col("key").alias("k"), "text").mapInArrow(run, "r long, k long, text string")
-    return materialize(few.join(wanted, ["r", "k"]).select("sid", "text").dropDuplicates(["sid"]), "node-texts")
+    return materialize(in_few(few.join(wanted, ["r", "k"]).select("sid", "text").dropDuplicates(["sid"]), files), "node-texts")
 
 
 def _spare(both: int, threshold: int) -> int:
@@ -279,10 +286,10 @@ def _bitmaps_near(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFra
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: int, files: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = materialize(_bitmaps_near(pairs, nodes, threshold), "node-pairs")
-    texts = _texts_of(pairs, nodes, docs)
+    pairs = materialize(in_few(_bitmaps_near(pairs, nodes, threshold), files, dealt=True), "node-pairs")
+    texts = _texts_of(pairs, nodes, docs, files)
     both = pairs.join(texts.withColumnsRenamed({"sid": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"sid": "a", "text": "ta"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +303,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, t
                 keep.append(100 * shared >= threshold * (len(own) + len(other) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "node-links")
+    return materialize(in_few(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), files, dealt=True), "node-links")
 
 
 def _hub_pairs(postings: DataFrame, threshold: int) -> DataFrame:
@@ -317,7 +324,7 @@ def _hub_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     return most.select(F.col("sid").alias("b"), F.col("hub").alias("a"))
 
 
-def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
+def _mixed(postings: DataFrame, roots: DataFrame, files: int) -> DataFrame:
     """sid, n, level, folds, root, tokens and places: of a node's entries those whose token stands in several components, in the node's order.
 
     A bitmap of these tokens thins the lists where they are, so they are not taken apart and put together again; a token that
@@ -325,7 +332,8 @@ def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """
     rooted = postings.drop("alone").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     tokens = rooted.select("root", F.explode("tokens").alias("token"))
-    mixed = materialize(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "mixed-tokens")
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    mixed = materialize(in_few(mixed, files), "mixed-tokens")
     bitmap = hashing.seen_twice(mixed, lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=hashing.bits_for(mixed.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,10 +396,10 @@ def _enough(a: tuple, b: tuple, threshold: int) -> bool:
     return k >= level and int(i[inside].max() + j[inside].max()) + 2 - 2 * k <= _spare(a[0] + b[0], threshold)
 
 
-def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int, files: int) -> DataFrame:
     """All pairs (a, b) across components that share as many prefix entries as the higher of the two levels asks for, and whose bitmaps allow the similarity."""
-    lists = _mixed(postings, roots)
-    pairs = materialize(_met(lists, threshold), "met-pairs")
+    lists = _mixed(postings, roots, files)
+    pairs = materialize(in_few(_met(lists, threshold), files), "met-pairs")
     own = lists.select("sid", "n", "level", "tokens", "places", "parity")
     sides = [own.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own.columns[1:]]) for c in "ab"]
 
@@ -412,7 +420,7 @@ def _open_pairs(postings: DataFrame, roots: DataFrame, threshold: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def _nodes(sets: DataFrame) -> DataFrame:
+def _nodes(sets: DataFrame, files: int) -> DataFrame:
     """sid, check, n, rep, key, level, parity, prefix of every distinct set; ``rep`` is the smallest id that has it.
 
     A bitmap tells which sets may occur twice. Only these are dealt by set; all others are nodes where they are read.
@@ -430,19 +438,21 @@ def _nodes(sets: DataFrame) -> DataFrame:
 
     order = F.coalesce("rep", F.lit(_LAST))
     each = [F.min("rep").alias("rep"), F.min_by("key", order).alias("key"), *[F.first(c).alias(c) for c in ("level", "parity", "prefix")]]
-    return held(False).unionByName(held(True).groupBy(*_SET).agg(*each))
+    return held(False).unionByName(in_few(held(True).groupBy(*_SET).agg(*each), files))
 
 
 def join(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key, n, sid, root, component_id of every document; ``key`` is a hash of its text, ``root`` one of its component."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     sets = materialize(_sets(d, frequencies(d, shingle), shingle, threshold), "shingle-sets")
-    nodes = materialize(_nodes(sets), "shingle-nodes")
-    postings = materialize(_postings(nodes, threshold), "shingle-postings")
-    links = _linked(_hub_pairs(postings, threshold), nodes, d, shingle, threshold)
-    more = _linked(_open_pairs(postings, components(links), threshold), nodes, d, shingle, threshold)
+    files = _files(sets)
+    nodes = materialize(_nodes(sets, files), "shingle-nodes")
+    postings = materialize(_postings(nodes, threshold, files), "shingle-postings")
+    links = _linked(_hub_pairs(postings, threshold), nodes, d, shingle, threshold, files)
+    more = _linked(_open_pairs(postings, components(links), threshold, files), nodes, d, shingle, threshold, files)
     roots = components(links.union(more)).withColumnRenamed("node", "sid")
-    rooted = materialize(nodes.select(*_SET, "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-nodes")
+    rooted = nodes.select(*_SET, "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = materialize(in_few(rooted, files), "rooted-nodes")
     ids = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     named = rooted.join(ids, "root").select(*_SET, "root", "component")
     out = sets.select("doc_id", "key", *_SET).join(named, _SET, "left")
@@ -465,7 +475,8 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESH
     stay = named.withColumn("place", first).filter("place = 1").select(F.col("doc_id").alias("i"), F.col("key").alias("j"))
     every = rows.filter("n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
     judged = every.join(stay, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("j")), "left")
-    special = materialize(judged.filter("j is null or rows > 1").select("doc_id", "key", F.col("j").isNotNull().alias("stays")), "rows-that-go")
+    special = judged.filter("j is null or rows > 1").select("doc_id", "key", F.col("j").isNotNull().alias("stays"))
+    special = materialize(in_few(special, _files(docs)), "rows-that-go")
     bits = hashing.bits_for(special.count())
     bitmap = hashing.seen_twice(special.select(F.xxhash64("doc_id", "key")), lambda b: iter([np.asarray(b.column(0)).astype(np.uint64)]), least=1, bits=bits)
 

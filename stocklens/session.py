@@ -90,6 +90,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def in_few(df: DataFrame, most: int, *, dealt: bool = False) -> DataFrame:
+    """``df`` in at most ``most`` partitions, where the session shuffles to more.
+
+    A small table written from many partitions is as many files, and each costs more than its rows (on local
+    folders Hadoop starts a process for every file and its checksums). Partitions are put together as they are; with
+    ``dealt`` rows are shuffled, so that the work below keeps its tasks and a split hot key its parts: for narrow rows.
+    """
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= most:
+        return df
+    return df.repartition(most) if dealt else df.coalesce(most)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 

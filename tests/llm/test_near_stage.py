@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stocklens.llm import hashing, jaccard_join
+from stocklens.llm import components, hashing, jaccard_join
 
 
 def _sets(texts, size):
@@ -142,3 +142,32 @@ def test_lists_that_are_joined_give_the_same_components(spark, monkeypatch):
         some = [k for k, t in enumerate(texts) if t and t.split()]
         assert [got[k] for k in some] == [some[c] for c in _components([texts[k] for k in some], shingle, threshold)]
         assert all(got[k] == k for k in range(len(texts)) if k not in some)
+
+
+def test_small_tables_are_few_files_however_many_partitions_the_session_has(spark, monkeypatch):
+    """Of 64 shuffle partitions no table between the steps is written as more than LEAST_FILES files; the rows are the same."""
+    texts = [*_texts(), *[" ".join([f"g{g}w{j}" for j in range(80)] + [f"x{g}y{k}"]) for g in range(40) for k in range(3)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    written = {}
+
+    def keep(df, name):
+        out = materialize(df, name)
+        written[name] = max(written.get(name, 0), len(out.inputFiles()))
+        return out
+
+    materialize = jaccard_join.materialize
+    for module in (jaccard_join, components):
+        monkeypatch.setattr(module, "materialize", keep)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(r.doc_id for r in jaccard_join.keep_one(docs, shingle=5, threshold=80).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(set(_components(texts, 5, 80)))
+    few = ("shared-tokens", "node-pairs", "wanted-nodes", "node-texts", "node-links", "links", "mixed-tokens", "met-pairs", "rooted-nodes", "rows-that-go")
+    assert {k: n for k, n in written.items() if n > jaccard_join.LEAST_FILES and k in few} == {}
+    assert set(few) <= set(written)
